@@ -71,6 +71,9 @@ class Block:
 def block_from_arrow(batch, width: int, halves: bool) -> Block:
     """A block from Arrow columns ``w*``, ``h*``, ``mult`` and, if present, ``flag``."""
     words = -(-width // 64)
+    if batch.num_rows == 0:  # one side of a cell may be missing, columns and all
+        none = np.zeros((0, words), dtype=np.int64)
+        return Block(none, none if halves else None, np.zeros(0, np.int64), np.zeros(0, bool))
 
     def values(name: str, dtype) -> np.ndarray:
         return np.asarray(batch.column(name).to_numpy(zero_copy_only=False), dtype=dtype)
