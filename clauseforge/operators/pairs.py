@@ -236,14 +236,11 @@ def _grid(pos: TableSide, neg: TableSide, kernel, partitions) -> DataFrame:
     down, across = grid_shape(pos.vectors, neg.vectors, tasks)
     words = one_columns(pos.width) + (half_columns(pos.width) if pos.halves else [])
     group = F.pmod(F.xxhash64(*words), F.lit(2**31 - 1))
-    left = pos.df.select(
-        *words, "mult", "flag",
-        _cells(group, down, across, own_is_row=True),
-    )
-    right = neg.df.select(
-        *words, "mult", "flag",
-        _cells(group, across, down, own_is_row=False),
-    )
+    columns = [*words, "mult", "flag"]
+    left = pos.df.select(*columns, _cells(group, down, across, own_is_row=True))
+    # Both sides come from one table; the aliases keep their columns apart.
+    other = neg.df.select(*[F.col(c).alias(c) for c in columns])
+    right = other.select(*columns, _cells(group, across, down, own_is_row=False))
     # Sized by work, not bytes: an explicit number is left alone by AQE.
     left, right = left.repartition(tasks, "cell"), right.repartition(tasks, "cell")
     width, halves = pos.width, pos.halves

@@ -233,10 +233,12 @@ ORACLE = {
     "learned_terms_grid": _PART_TERMS,
     "learned_terms_documents": _fit(DOCUMENTS_KEPT, DOCUMENT_WIDTH, _terms(DOCUMENT_WIDTH)),
     "formula_terms": _fit(PART_ROWS, PART_WIDTH, _term_texts(PART_WIDTH)),
-    "model_metadata": (
-        "SELECT 'x4x8^ + x1x7' AS formula, sum(label)::BIGINT AS training_pos, "
-        f"(count(*) - sum(label))::BIGINT AS training_neg, {PART_WIDTH} AS width, 2 AS term_count "
-        f"FROM ({PART_ROWS})"
+    "model_metadata": _fit(
+        PART_ROWS,
+        PART_WIDTH,
+        f"SELECT (SELECT string_agg(term_text, ' + ' ORDER BY term_no) FROM ({_term_texts(PART_WIDTH)})) "
+        "AS formula, sum(label)::BIGINT AS training_pos, (count(*) - sum(label))::BIGINT AS training_neg, "
+        f"{PART_WIDTH} AS width, (SELECT len(done)::INTEGER FROM fit WHERE NOT more) AS term_count FROM inst",
     ),
     "conflicting_vectors": (
         f"SELECT vector, count(*) AS rows FROM (SELECT {_bit_text(DOCUMENT_TESTS)} AS vector, quality "
