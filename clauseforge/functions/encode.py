@@ -13,7 +13,7 @@ NUCLEOTIDES = "ACGT"
 
 def characters(text: Column) -> Column:
     """One array element per character."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def one_hot(text: Column, alphabet: str = NUCLEOTIDES) -> Column:

@@ -8,7 +8,6 @@ values, ``h0, h1, ...`` ("the value is 0.5").
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column
@@ -49,6 +48,11 @@ def _signed(word: int) -> int:
     return word - (1 << WORD) if word >> (WORD - 1) else word
 
 
+def _big(word: int) -> str:
+    """A bigint literal; the lowest value has no literal of its own."""
+    return f"{word}L" if word > -(1 << (WORD - 1)) else "(-9223372036854775807L - 1L)"
+
+
 @dataclass(frozen=True)
 class Mask:
     """A conjunction: bits that must be 1 (``ones``) and bits that must be 0 (``zeros``)."""
@@ -79,25 +83,23 @@ class Mask:
         """True where every literal is met exactly (an uncertain value meets none)."""
         tests = []
         for i, one, zero in self._pairs():
-            w = F.col(f"w{i}")
             if one:
-                tests.append(w.bitwiseAND(F.lit(one)) == F.lit(one))
+                tests.append(f"(w{i} & {_big(one)}) = {_big(one)}")
             if zero:
-                known = w.bitwiseOR(F.col(f"h{i}")) if halves else w
-                tests.append(known.bitwiseAND(F.lit(zero)) == F.lit(0))
-        return reduce(lambda a, b: a & b, tests, F.lit(True))
+                known = f"(w{i} | h{i})" if halves else f"w{i}"
+                tests.append(f"({known} & {_big(zero)}) = 0")
+        return F.expr(" AND ".join(tests) or "true")
 
     def allows(self, halves: bool) -> Column:
         """True where no literal is contradicted (an uncertain value contradicts none)."""
         tests = []
         for i, one, zero in self._pairs():
-            w = F.col(f"w{i}")
             if one:
-                possible = w.bitwiseOR(F.col(f"h{i}")) if halves else w
-                tests.append(possible.bitwiseAND(F.lit(one)) == F.lit(one))
+                possible = f"(w{i} | h{i})" if halves else f"w{i}"
+                tests.append(f"({possible} & {_big(one)}) = {_big(one)}")
             if zero:
-                tests.append(w.bitwiseAND(F.lit(zero)) == F.lit(0))
-        return reduce(lambda a, b: a & b, tests, F.lit(True))
+                tests.append(f"(w{i} & {_big(zero)}) = 0")
+        return F.expr(" AND ".join(tests) or "true")
 
     def exact_rows(self, ones: np.ndarray, halves: np.ndarray | None) -> np.ndarray:
         """:meth:`exact` over word arrays."""

@@ -8,6 +8,7 @@ share costs no more than any other. Everything later works on this table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
@@ -20,6 +21,8 @@ from clauseforge.functions.predicates import feature_array
 from clauseforge.storage import cut_lineage
 
 CONFLICT_CHOICES = ("error", "drop")
+# Pair-literal products one task should get before a second task is worth it.
+TASK_WORK = 1 << 28
 
 
 def split_by_label(df: DataFrame, label: str = "label", features: str = "features"):
@@ -98,6 +101,7 @@ class Instances:
     negatives: int
     positive_vectors: int
     negative_vectors: int
+    parents: tuple[DataFrame, ...] = ()
 
     def side(self, which: str) -> DataFrame:
         """``(w*, [h*], mult)`` of one side, ``"pos"`` or ``"neg"``."""
@@ -111,7 +115,8 @@ class Instances:
         return 8 * words + 9
 
     def release(self) -> None:
-        self.df.unpersist()
+        for df in (self.df, *self.parents):
+            df.unpersist()
 
 
 def gather_instances(
@@ -137,15 +142,24 @@ def gather_instances(
     distinct = distinct_vectors(df, width, label, features)
     if on_conflict == "drop":
         distinct = distinct.filter((F.col("pos") == 0) | (F.col("neg") == 0))
-    # The rows are few bytes but many pairs each: an explicit number keeps AQE
-    # from merging them by size into fewer tasks than there are cores.
-    spread = partitions or df.sparkSession.sparkContext.defaultParallelism
-    distinct = distinct.repartition(spread, *one_columns(width))
     if durable:
         distinct = cut_lineage(distinct)
-    if cache:
+    elif cache:
         distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
-    return _with_totals(distinct, width)
+    found = _with_totals(distinct, width)
+    spread = partitions or _tasks(found, df.sparkSession.sparkContext.defaultParallelism)
+    # The rows are few bytes but many pairs each: an explicit number keeps AQE
+    # from merging them by size into fewer tasks than the work needs.
+    spaced = distinct.repartition(spread, *one_columns(width))
+    if cache:
+        spaced = spaced.persist(StorageLevel.MEMORY_AND_DISK)
+    return replace(found, df=spaced, parents=() if durable or not cache else (distinct,))
+
+
+def _tasks(found: Instances, parallelism: int) -> int:
+    """As many tasks as the pair work of a full step fills, up to the parallelism."""
+    work = found.positive_vectors * found.negative_vectors * 2 * found.width
+    return max(1, min(parallelism, math.ceil(work / TASK_WORK)))
 
 
 def _with_totals(distinct: DataFrame, width: int) -> Instances:
@@ -171,7 +185,7 @@ def _with_totals(distinct: DataFrame, width: int) -> Instances:
 
 def restrict(instances: Instances, keep: Column) -> Instances:
     """The same instances after a row filter, with fresh totals."""
-    return replace(_with_totals(instances.df.filter(keep), instances.width))
+    return _with_totals(instances.df.filter(keep), instances.width)
 
 
 __all__ = [

@@ -15,15 +15,18 @@ shuffled.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseforge.functions.masks import Mask, half_columns, one_columns
+from clauseforge.operators import blocks
 from clauseforge.operators.blocks import (
     Block,
     Rule,
@@ -33,6 +36,10 @@ from clauseforge.operators.blocks import (
     relevance_sum,
 )
 
+# The block arithmetic travels inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(blocks)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STRATEGIES = ("auto", "broadcast_positive", "broadcast_negative", "cross")
 BROADCAST_LIMIT = 64 * 1024 * 1024
 # Rows of one side in one grid cell. A cell moves two groups and works on their
@@ -208,11 +215,12 @@ def _nothing(kernel):
 
 
 def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positive: bool):
-    sent = big.df.sparkSession.sparkContext.broadcast(small.block)
+    held_rows = (small.block.ones, small.block.halves, small.block.mult, small.block.flag)
+    sent = big.df.sparkSession.sparkContext.broadcast(held_rows)
     width, halves = big.width, big.halves
 
     def task(batches):
-        held = sent.value
+        held = Block(*sent.value)
         sums, counts, seen = 0, _nothing(kernel), False
         for batch in batches:
             if batch.num_rows == 0:
@@ -232,8 +240,9 @@ def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positi
 
 def _grid(pos: TableSide, neg: TableSide, kernel, partitions) -> DataFrame:
     spark = pos.df.sparkSession
-    tasks = partitions or 4 * spark.sparkContext.defaultParallelism
-    down, across = grid_shape(pos.vectors, neg.vectors, tasks)
+    most = partitions or 4 * spark.sparkContext.defaultParallelism
+    down, across = grid_shape(pos.vectors, neg.vectors, most)
+    tasks = min(most, down * across)
     words = one_columns(pos.width) + (half_columns(pos.width) if pos.halves else [])
     group = F.pmod(F.xxhash64(*words), F.lit(2**31 - 1))
     columns = [*words, "mult", "flag"]
@@ -286,9 +295,9 @@ def grid_shape(pos_rows: int, neg_rows: int, tasks: int) -> tuple[int, int]:
 def merged(partials: DataFrame) -> DataFrame:
     """Partial rows summed per key."""
     return partials.groupBy("key").agg(
-        F.sum("r").cast("decimal(38,0)").alias("r"),
-        F.sum("pos").alias("pos"),
-        F.sum("neg").alias("neg"),
+        F.expr("CAST(sum(r) AS decimal(38,0)) AS r"),
+        F.expr("sum(pos) AS pos"),
+        F.expr("sum(neg) AS neg"),
     )
 
 

@@ -17,6 +17,8 @@ from clauseforge.plans.fixtures import (
     part_features,
     part_instances,
     table,
+    uncertain_part_instances,
+    widened,
 )
 from clauseforge.plans.job import train_job
 from clauseforge.plans.learner import fit_labelled, learn_term
@@ -87,7 +89,7 @@ def uncovered_positives(spark, sf_dir):
 
 
 def _whole_texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("text")
+    return widened(table(spark, sf_dir, "documents").select("text"))
 
 
 def onehot_sum(spark, sf_dir):
@@ -122,6 +124,14 @@ def vector_roundtrip(spark, sf_dir):
     return arrays.select("id", F.posexplode("features").alias("feature", "value"))
 
 
+def assembled_columns(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice"
+    )
+    both = encode.to_arrays(encode.assemble(part, ["p_size", "p_retailprice"]))
+    return both.select("id", F.posexplode("features").alias("feature", "value"))
+
+
 def text_source(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -154,12 +164,10 @@ def pair_semi(spark, sf_dir):
     return _text(rel.pair_distances(_gathered(left)), "pairs")
 
 
-def _relevance(strategy: str, instances=part_instances, limit: int | None = None):
+def _relevance(strategy: str, instances=part_instances, halves: str = "weighted"):
     def query(spark, sf_dir):
-        options = {} if limit is None else {"limit": limit}
-        return _text(
-            rel.relevance(_gathered(instances(spark, sf_dir)), strategy=strategy, **options), "r"
-        )
+        gathered = _gathered(instances(spark, sf_dir))
+        return _text(rel.relevance(gathered, strategy=strategy, halves=halves), "r")
 
     return query
 
@@ -302,6 +310,7 @@ QUERIES = {
     "onehot_sum": onehot_sum,
     "index_encode": index_encode,
     "vector_roundtrip": vector_roundtrip,
+    "assembled_columns": assembled_columns,
     "text_source": text_source,
     "pair_distance": pair_distance,
     "pair_distance_documents": pair_distance_documents,
@@ -311,6 +320,8 @@ QUERIES = {
     "relevance_broadcast_negative": _relevance("broadcast_negative"),
     "relevance_grid": _relevance("cross"),
     "relevance_documents": relevance_documents,
+    "relevance_uncertain": _relevance("broadcast_positive", uncertain_part_instances),
+    "relevance_uncertain_distance": _relevance("cross", uncertain_part_instances, "distance"),
     "top_literal": top_literal,
     "survivor_counts": survivor_counts,
     "relevance_update": relevance_update,

@@ -28,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when it comes in fewer pieces than there are cores.
+
+    For tables of one or two small files whose rows cost much to process; a
+    table of many files passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def indicator(test: Column) -> Column:
     return F.when(test, F.lit(1.0)).otherwise(F.lit(0.0))
 
@@ -43,6 +53,21 @@ def part_features(part: DataFrame) -> DataFrame:
     return part.withColumn("features", F.array(*[indicator(t) for t in tests]))
 
 
+def uncertain_part_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`part_instances`, where the ``p_size % 5`` features of large parts are uncertain."""
+    part = part_features(table(spark, sf_dir, "part"))
+    sizes = range(len(PART_TYPES), len(PART_TYPES) + 5)
+    blurred = F.transform(
+        "features",
+        lambda x, i: F.when((F.col("p_size") > 40) & i.isin(list(sizes)), F.lit(0.5)).otherwise(x),
+    )
+    return part.select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.expr(PART_RULE), 1).otherwise(0).alias("label"),
+        blurred.alias("features"),
+    )
+
+
 def part_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, label, features)`` with a label that follows a known rule."""
     part = part_features(table(spark, sf_dir, "part"))
@@ -71,7 +96,7 @@ def document_features(documents: DataFrame) -> DataFrame:
 
 def document_instances(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
     """``(id, label, features)`` of the labelled documents."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
     return document_features(documents.join(labels, "doc_id")).select(
         F.col("doc_id").alias("id"), "label", "features"

@@ -85,6 +85,48 @@ rel AS (
 SELECT lit, CAST(r AS VARCHAR) AS r FROM rel {tail}"""
 
 
+def _uncertain_relevance(width: int, weighted: bool) -> str:
+    """Three-valued rows: ``one`` and ``half`` bit sets, more than 64 rows in all.
+
+    A pair with certain differences shares one unit over those. With ``weighted``,
+    a pair with uncertain differences only shares it over them instead.
+    """
+    sizes = sum(1 << k for k in range(len(PART_TYPES), len(PART_TYPES) + 5))
+    rows = f"""
+SELECT label, CASE WHEN p_size > 40 THEN bits & ~{sizes}::BIGINT ELSE bits END AS one,
+       CASE WHEN p_size > 40 THEN {sizes}::BIGINT ELSE 0 END AS half
+FROM ({PART_ROWS}) JOIN part ON id = p_partkey"""
+    gap = "bit_count(to_one | to_zero)"
+    if weighted:
+        weight = f"CASE WHEN c > 0 THEN round({UNIT}::DOUBLE / c) ELSE 0 END"
+        loose = f"CASE WHEN c = 0 AND m > 0 THEN round({UNIT // 2}::DOUBLE / m) ELSE 0 END"
+    else:
+        weight = f"CASE WHEN c + m1 > 0 THEN round({UNIT}::DOUBLE / (c + m1)) ELSE 0 END"
+        loose = "0"
+    return f"""
+WITH inst AS MATERIALIZED ({rows}),
+sets AS (
+  SELECT p.one & ~n.one & ~n.half AS to_one, n.one & ~p.one & ~p.half AS to_zero,
+         (p.one & n.half) | (p.half & ~n.one & ~n.half) AS to_one_half,
+         (n.half & ~p.one & ~p.half) | (p.half & n.one) AS to_zero_half,
+         p.half & n.half AS shared
+  FROM inst p, inst n WHERE p.label = 1 AND n.label = 0),
+pairs AS (
+  SELECT *, {gap} AS c, bit_count(to_one_half | to_zero_half | shared) AS m,
+         bit_count(to_one_half | to_zero_half) AS m1 FROM sets),
+weights AS MATERIALIZED (
+  SELECT to_one, to_zero, to_one_half, to_zero_half, shared,
+         sum(CAST({weight} AS HUGEINT)) AS w, sum(CAST({loose} AS HUGEINT)) AS v
+  FROM pairs GROUP BY ALL),
+lits AS (SELECT unnest(range(0, {width}))::INTEGER AS k)
+SELECT lit, CAST(r AS VARCHAR) AS r FROM (
+  SELECT k AS lit, sum(((to_one >> k) & 1) * w + 2 * ((to_one_half >> k) & 1) * v + ((shared >> k) & 1) * v) AS r
+  FROM lits, weights GROUP BY k
+  UNION ALL
+  SELECT k + {width}, sum(((to_zero >> k) & 1) * w + 2 * ((to_zero_half >> k) & 1) * v + ((shared >> k) & 1) * v)
+  FROM lits, weights GROUP BY k)"""
+
+
 def _fit(rows: str, width: int, select: str) -> str:
     """The whole training as a recursive query, one row per chosen literal.
 
@@ -208,6 +250,10 @@ ORACLE = {
         f"CASE WHEN (({_bits(PART_TESTS)}) >> feature) & 1 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS value "
         f"FROM part, (SELECT unnest(range(0, {PART_WIDTH})) AS feature)"
     ),
+    "assembled_columns": (
+        "SELECT p_partkey AS id, 0 AS feature, p_size::DOUBLE AS value FROM part "
+        "UNION ALL SELECT p_partkey, 1, p_retailprice FROM part"
+    ),
     "text_source": (
         "SELECT toxic AS label, translate(text, chr(13) || chr(10), '  ') AS seq, count(*) AS rows "
         "FROM documents JOIN labels USING (doc_id) WHERE text <> '' GROUP BY ALL"
@@ -220,6 +266,8 @@ ORACLE = {
     "relevance_broadcast_negative": _PART_RELEVANCE,
     "relevance_grid": _PART_RELEVANCE,
     "relevance_documents": _relevance(DOCUMENTS_KEPT, DOCUMENT_WIDTH),
+    "relevance_uncertain": _uncertain_relevance(PART_WIDTH, True),
+    "relevance_uncertain_distance": _uncertain_relevance(PART_WIDTH, False),
     "top_literal": _relevance(PART_ROWS, PART_WIDTH, tail="ORDER BY rel.r DESC, lit LIMIT 1"),
     "survivor_counts": (
         f"SELECT count(*) FILTER (WHERE {PART_LABEL} = 1) AS p, "
