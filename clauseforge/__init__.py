@@ -7,7 +7,6 @@ batch and streaming DataFrames with it, and keep it as tables.
 from clauseforge.errors import (
     EmptySideError,
     InconsistentDataError,
-    InstanceFormatError,
     NoProgressError,
     RuleLearningError,
 )
@@ -17,7 +16,6 @@ from clauseforge.plans.model import RuleModel, load_model
 __all__ = [
     "EmptySideError",
     "InconsistentDataError",
-    "InstanceFormatError",
     "NoProgressError",
     "RuleLearningError",
     "RuleModel",

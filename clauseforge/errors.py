@@ -9,10 +9,6 @@ class EmptySideError(RuleLearningError, ValueError):
     """The positive or the negative side has no rows."""
 
 
-class InstanceFormatError(RuleLearningError, ValueError):
-    """Feature vectors differ in width or hold values other than 0, 0.5 and 1."""
-
-
 class InconsistentDataError(RuleLearningError):
     """A chosen literal removes no negative, as when a vector carries both labels."""
 

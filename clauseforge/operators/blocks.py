@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 
 UNIT_BITS = 36
 # Tiles of at most 512 rows with multiplicity digits below 256 keep each
@@ -90,6 +91,25 @@ def block_from_arrow(batch, width: int, halves: bool) -> Block:
     )
 
 
+def packed_batch(batch: pa.RecordBatch, width: int, kept: int) -> pa.RecordBatch:
+    """The first ``kept`` columns as they are, then the feature lists of the next as words."""
+    lists = batch.column(kept)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    sound = not lists.null_count and bool((lists.value_lengths().to_numpy() == width).all())
+    one, half = values == 1.0, values == 0.5
+    if not sound or not (one | half | (values == 0.0)).all():
+        raise ValueError(f"a feature vector is not {width} values of 0, 0.5 or 1")
+    columns = list(batch.columns[:kept])
+    for bits in (one, half):
+        padded = np.zeros((len(lists), -(-width // 64) * 64), dtype=bool)
+        padded[:, :width] = bits.reshape(-1, width)
+        words = np.packbits(padded, axis=1, bitorder="little").view(np.int64)
+        columns += [pa.array(words[:, i]) for i in range(words.shape[1])]
+    names = batch.schema.names[:kept]
+    names += [f"{plane}{i}" for plane in "wh" for i in range(-(-width // 64))]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
     """Word arrays to a 0/1 matrix, one column per feature."""
     raw = np.ascontiguousarray(words).view(np.uint8)

@@ -9,17 +9,25 @@ share costs no more than any other. Everything later works on this table.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from clauseforge.errors import EmptySideError, InstanceFormatError
-from clauseforge.functions.masks import half_columns, one_columns, pack_word
+from clauseforge.errors import EmptySideError
+from clauseforge.functions.masks import half_columns, one_columns
 from clauseforge.functions.predicates import feature_array
+from clauseforge.operators import blocks
+from clauseforge.operators.blocks import packed_batch
 from clauseforge.storage import cut_lineage
 
+# Packing travels inside the task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(blocks)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CONFLICT_CHOICES = ("error", "drop")
 # Pair-literal products one task should get before a second task is worth it.
 TASK_WORK = 1 << 28
@@ -56,24 +64,23 @@ def vector_width(df: DataFrame, features: str = "features") -> int | None:
 
 
 def pack(df: DataFrame, width: int, features: str = "features", keep: list[str] | None = None) -> DataFrame:
-    """Feature vectors as word columns; a vector of another width or value is an error."""
-    values = feature_array(df, features)
-    # One pass over the values covers the width, nulls and the value domain.
-    sound = F.coalesce(
-        (F.size(values) == width) & F.forall(values, lambda x: F.coalesce(x.isin(0.0, 0.5, 1.0), F.lit(False))),
-        F.lit(False),
-    )
-    message = f"a feature vector is not {width} values of 0, 0.5 or 1"
-    checked = df.select(
-        *(keep or []),
-        F.when(sound, values).otherwise(F.raise_error(F.lit(message)).cast("array<double>")).alias("v"),
-    )
-    v = F.col("v")
-    return checked.select(
-        *(keep or []),
-        *[pack_word(v, i, 1.0).alias(c) for i, c in enumerate(one_columns(width))],
-        *[pack_word(v, i, 0.5).alias(c) for i, c in enumerate(half_columns(width))],
-    )
+    """Feature vectors as word columns; a vector of another width or value is an error.
+
+    Array functions would take one interpreted call per feature; packing whole
+    Arrow batches is several times faster, and its output is n/8 bytes a row.
+    """
+    kept = list(keep or [])
+    rows = df.select(*kept, feature_array(df, features).alias("__features"))
+    fields = [rows.schema[c] for c in kept] + [
+        StructField(c, LongType()) for c in one_columns(width) + half_columns(width)
+    ]
+
+    def task(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield packed_batch(batch, width, len(kept))
+
+    return rows.mapInArrow(task, StructType(fields))
 
 
 def distinct_vectors(df: DataFrame, width: int, label: str = "label", features: str = "features") -> DataFrame:
@@ -101,6 +108,7 @@ class Instances:
     negatives: int
     positive_vectors: int
     negative_vectors: int
+    tasks: int = 1
     parents: tuple[DataFrame, ...] = ()
 
     def side(self, which: str) -> DataFrame:
@@ -127,16 +135,18 @@ def gather_instances(
     partitions: int | None = None,
     durable: bool = True,
     cache: bool = True,
+    width: int | None = None,
 ) -> Instances:
     """Pack and count ``df`` once, keep the result, and take its totals.
 
     ``on_conflict="drop"`` leaves out vectors that carry both labels. With
     ``durable`` the distinct table goes to the checkpoint folder, so losing an
-    executor later costs a file read and not the scan and shuffle.
+    executor later costs a file read and not the scan and shuffle. Naming the
+    ``width`` saves the look at the first row, which is a job of its own.
     """
     if on_conflict not in CONFLICT_CHOICES:
         raise ValueError(f"on_conflict must be one of {CONFLICT_CHOICES}")
-    width = vector_width(df, features)
+    width = width or vector_width(df, features)
     if not width:
         raise EmptySideError("the instance table is empty" if width is None else "the vectors are empty")
     distinct = distinct_vectors(df, width, label, features)
@@ -153,7 +163,7 @@ def gather_instances(
     spaced = distinct.repartition(spread, *one_columns(width))
     if cache:
         spaced = spaced.persist(StorageLevel.MEMORY_AND_DISK)
-    return replace(found, df=spaced, parents=() if durable or not cache else (distinct,))
+    return replace(found, df=spaced, tasks=spread, parents=() if durable or not cache else (distinct,))
 
 
 def _tasks(found: Instances, parallelism: int) -> int:
@@ -181,23 +191,3 @@ def _with_totals(distinct: DataFrame, width: int) -> Instances:
     return Instances(
         distinct, width, bool(row["halves"]), row["p"], row["q"], row["p_rows"], row["q_rows"]
     )
-
-
-def restrict(instances: Instances, keep: Column) -> Instances:
-    """The same instances after a row filter, with fresh totals."""
-    return _with_totals(instances.df.filter(keep), instances.width)
-
-
-__all__ = [
-    "Instances",
-    "InstanceFormatError",
-    "conflicting_vectors",
-    "distinct_vectors",
-    "gather_instances",
-    "pack",
-    "register_sides",
-    "restrict",
-    "split_by_label",
-    "union_sides",
-    "vector_width",
-]

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 
 import numpy as np
@@ -48,32 +48,35 @@ GROUP_ROWS = 32768
 CELL_PAIRS = 1 << 22
 
 TALLY_SCHEMA = "key int, r decimal(38,0), pos bigint, neg bigint"
+# Partial rows the driver may add up itself; more are merged in Spark.
+DRIVER_ROWS = 1 << 16
 # The key under which the flagged rows of each side are counted.
 TOTALS = -1
 
 
 @dataclass
 class TableSide:
-    """A side that stays distributed: ``(w*, [h*], mult)``."""
+    """A side that stays distributed: ``(w*, [h*], mult)``, in ``tasks`` partitions."""
 
     df: DataFrame
     width: int
     halves: bool
     vectors: int
+    tasks: int
 
     def pick(self, keep: Mask, erased_by: Mask | None = None) -> TableSide:
         """Rows that meet ``keep``; flagged are all of them, or those ``erased_by`` drops."""
         flag = F.lit(True) if erased_by is None else ~erased_by.exact(self.halves)
         rows = self.df.filter(keep.exact(self.halves)).withColumn("flag", flag)
-        return TableSide(rows, self.width, self.halves, self.vectors)
+        return replace(self, df=rows)
 
     def covered(self, term: Mask) -> TableSide:
         rows = self.df.filter(term.allows(self.halves)).withColumn("flag", F.lit(True))
-        return TableSide(rows, self.width, self.halves, self.vectors)
+        return replace(self, df=rows)
 
     def uncovered(self, term: Mask) -> TableSide:
         rows = self.df.filter(~term.allows(self.halves))
-        return TableSide(rows, self.width, self.halves, self.vectors)
+        return replace(self, df=rows)
 
 
 @dataclass
@@ -292,6 +295,16 @@ def grid_shape(pos_rows: int, neg_rows: int, tasks: int) -> tuple[int, int]:
     return down, across
 
 
+def fetch_tally(partials: DataFrame, pos, neg, width: int) -> list:
+    """The partial rows on the driver: one row per key and task while those are few,
+    else merged to one row per key first."""
+    table = next((s for s in (pos, neg) if isinstance(s, TableSide)), None)
+    broadcast = isinstance(pos, ArraySide) or isinstance(neg, ArraySide)
+    if broadcast and table.tasks * (2 * width + 1) <= DRIVER_ROWS:
+        return partials.collect()
+    return merged(partials).collect()
+
+
 def merged(partials: DataFrame) -> DataFrame:
     """Partial rows summed per key."""
     return partials.groupBy("key").agg(

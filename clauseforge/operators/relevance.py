@@ -50,9 +50,10 @@ def sides(
         df = instances.side(which)
         if fetched:
             return array_side(df, instances.width, instances.halves)
-        if partitions and partitions > 0:
-            df = df.repartition(partitions).persist()
-        return TableSide(df, instances.width, instances.halves, vectors)
+        tasks = instances.tasks
+        if partitions and partitions > 0 and partitions != tasks:
+            df, tasks = df.repartition(partitions).persist(), partitions
+        return TableSide(df, instances.width, instances.halves, vectors, tasks)
 
     return (
         side("pos", instances.positive_vectors, chosen == "broadcast_positive", positive_partitions),

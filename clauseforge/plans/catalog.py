@@ -13,7 +13,11 @@ from clauseforge.operators import evaluate
 from clauseforge.operators import instances as inst
 from clauseforge.operators import relevance as rel
 from clauseforge.plans.fixtures import (
+    DOCUMENT_WIDTH,
+    LINE_WIDTH,
+    PART_WIDTH,
     document_instances,
+    lineitem_instances,
     part_features,
     part_instances,
     table,
@@ -28,7 +32,6 @@ from clauseforge.sources.model_store import parse_rows
 from clauseforge.storage import fresh_path
 from clauseforge.streaming import flows
 
-PART_WIDTH = 27
 # The literal "p_type is PROMO", its negation's partner "p_size % 5 is
 # not 1", and the term both make.
 PROMO = 3
@@ -38,12 +41,12 @@ LETTERS = "aetn"
 
 
 def _model(spark: SparkSession, sf_dir: str) -> RuleModel:
-    return fit_labelled(part_instances(spark, sf_dir))
+    return fit_labelled(part_instances(spark, sf_dir), width=PART_WIDTH)
 
 
-def _gathered(df: DataFrame, on_conflict: str = "error") -> inst.Instances:
+def _gathered(df: DataFrame, width: int = PART_WIDTH, on_conflict: str = "error") -> inst.Instances:
     """Instances for one lazy query: written once, not held in memory."""
-    return inst.gather_instances(df, on_conflict=on_conflict, cache=False)
+    return inst.gather_instances(df, on_conflict=on_conflict, cache=False, width=width)
 
 
 def _text(df: DataFrame, *decimals: str) -> DataFrame:
@@ -154,7 +157,11 @@ def pair_distance(spark, sf_dir):
 
 
 def pair_distance_documents(spark, sf_dir):
-    return _text(rel.pair_distances(_gathered(document_instances(spark, sf_dir))), "pairs")
+    return _text(rel.pair_distances(_gathered(document_instances(spark, sf_dir), DOCUMENT_WIDTH)), "pairs")
+
+
+def pair_distance_lineitem(spark, sf_dir):
+    return _text(rel.pair_distances(_gathered(lineitem_instances(spark, sf_dir), LINE_WIDTH)), "pairs")
 
 
 def pair_semi(spark, sf_dir):
@@ -164,16 +171,16 @@ def pair_semi(spark, sf_dir):
     return _text(rel.pair_distances(_gathered(left)), "pairs")
 
 
-def _relevance(strategy: str, instances=part_instances, halves: str = "weighted"):
+def _relevance(strategy: str, instances=part_instances, width: int = PART_WIDTH, halves: str = "weighted"):
     def query(spark, sf_dir):
-        gathered = _gathered(instances(spark, sf_dir))
+        gathered = _gathered(instances(spark, sf_dir), width)
         return _text(rel.relevance(gathered, strategy=strategy, halves=halves), "r")
 
     return query
 
 
 def relevance_documents(spark, sf_dir):
-    gathered = _gathered(document_instances(spark, sf_dir), on_conflict="drop")
+    gathered = _gathered(document_instances(spark, sf_dir), DOCUMENT_WIDTH, "drop")
     return _text(rel.relevance(gathered), "r")
 
 
@@ -196,12 +203,12 @@ def relevance_update(spark, sf_dir):
 
 
 def first_term_trace(spark, sf_dir):
-    trace = learn_term(part_instances(spark, sf_dir))
+    trace = learn_term(part_instances(spark, sf_dir), width=PART_WIDTH)
     return _text(trace.select("step", "lit", "r", "p", "q"), "r")
 
 
 def first_term_trace_documents(spark, sf_dir):
-    trace = learn_term(document_instances(spark, sf_dir), on_conflict="drop")
+    trace = learn_term(document_instances(spark, sf_dir), on_conflict="drop", width=DOCUMENT_WIDTH)
     return _text(trace.select("step", "lit", "r", "p", "q"), "r")
 
 
@@ -210,7 +217,7 @@ def learned_terms(spark, sf_dir):
 
 
 def learned_terms_documents(spark, sf_dir):
-    model = fit_labelled(document_instances(spark, sf_dir), on_conflict="drop")
+    model = fit_labelled(document_instances(spark, sf_dir), on_conflict="drop", width=DOCUMENT_WIDTH)
     return model.terms_table(spark)
 
 
@@ -220,7 +227,7 @@ def formula_terms(spark, sf_dir):
 
 def _learned(strategy: str):
     def query(spark, sf_dir):
-        return fit_labelled(part_instances(spark, sf_dir), strategy=strategy).terms_table(spark)
+        return fit_labelled(part_instances(spark, sf_dir), strategy=strategy, width=PART_WIDTH).terms_table(spark)
 
     return query
 
@@ -231,12 +238,10 @@ def model_metadata(spark, sf_dir):
 
 
 def conflicting_vectors(spark, sf_dir):
-    df = document_instances(spark, sf_dir)
-    width = inst.vector_width(df)
-    if width is None:
-        return spark.createDataFrame([], "vector string, rows bigint")
-    found = inst.conflicting_vectors(inst.distinct_vectors(df, width))
-    return found.select(bit_string(width).alias("vector"), (F.col("pos") + F.col("neg")).alias("rows"))
+    distinct = inst.distinct_vectors(document_instances(spark, sf_dir), DOCUMENT_WIDTH)
+    return inst.conflicting_vectors(distinct).select(
+        bit_string(DOCUMENT_WIDTH).alias("vector"), (F.col("pos") + F.col("neg")).alias("rows")
+    )
 
 
 # Classification and evaluation
@@ -314,14 +319,16 @@ QUERIES = {
     "text_source": text_source,
     "pair_distance": pair_distance,
     "pair_distance_documents": pair_distance_documents,
+    "pair_distance_lineitem": pair_distance_lineitem,
     "pair_semi": pair_semi,
     "relevance_vector": _relevance("auto"),
     "relevance_broadcast_positive": _relevance("broadcast_positive"),
     "relevance_broadcast_negative": _relevance("broadcast_negative"),
     "relevance_grid": _relevance("cross"),
     "relevance_documents": relevance_documents,
+    "relevance_lineitem": _relevance("auto", lineitem_instances, LINE_WIDTH),
     "relevance_uncertain": _relevance("broadcast_positive", uncertain_part_instances),
-    "relevance_uncertain_distance": _relevance("cross", uncertain_part_instances, "distance"),
+    "relevance_uncertain_distance": _relevance("cross", uncertain_part_instances, halves="distance"),
     "top_literal": top_literal,
     "survivor_counts": survivor_counts,
     "relevance_update": relevance_update,

@@ -19,6 +19,15 @@ DOCUMENT_WORDS = [
 ]
 DOCUMENT_LANGUAGES = ["de", "en", "es", "fr"]
 
+LINE_NUMBERS = [1, 2, 3, 4, 5, 6, 7]
+LINE_STATUSES = ["F", "O"]
+LINE_PERCENTS = list(range(11))
+LINE_YEARS = list(range(1992, 2002))
+
+PART_WIDTH = len(PART_TYPES) + 5 + len(PART_WORDS)
+DOCUMENT_WIDTH = len(DOCUMENT_LANGUAGES) + len(DOCUMENT_WORDS)
+LINE_WIDTH = len(LINE_NUMBERS) + len(LINE_STATUSES) + len(LINE_PERCENTS) + len(LINE_YEARS)
+
 PART_RULE = (
     "(p_type = 'ECONOMY' AND p_size % 5 = 0) OR (p_type = 'PROMO' AND p_size % 5 <> 1)"
 )
@@ -78,6 +87,22 @@ def part_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest table: returned lines against the others, few vectors with many copies."""
+    lines = table(spark, sf_dir, "lineitem")
+    percent = F.round(F.col("l_discount") * 100).cast("int")
+    tests = (
+        [F.col("l_linenumber") == x for x in LINE_NUMBERS]
+        + [F.col("l_linestatus") == x for x in LINE_STATUSES]
+        + [percent == x for x in LINE_PERCENTS]
+        + [F.year("l_shipdate") == x for x in LINE_YEARS]
+    )
+    return lines.select(
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.array(*[indicator(t) for t in tests]).alias("features"),
+    )
+
+
 def document_words(text: Column) -> Column:
     """The distinct lower-case ASCII words of a whole text that are in the list."""
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -36,7 +36,7 @@ from clauseforge.operators.pairs import (
     ArraySide,
     TableSide,
     choose_strategy,
-    merged,
+    fetch_tally,
     pair_tally,
 )
 from clauseforge.operators.relevance import sides
@@ -119,7 +119,7 @@ class _Training:
         pos, neg = _bounded(pos, p), _bounded(neg, q)
         partials, sent = pair_tally(pos, neg, rule)
         try:
-            rows = merged(partials).collect()  # 2n + 1 rows
+            rows = fetch_tally(partials, pos, neg, self.width)
         finally:
             if sent is not None:
                 sent.destroy()
@@ -134,7 +134,7 @@ class _Training:
         )
         for row in rows:
             if row["key"] != TOTALS:
-                state.r[row["key"]] = int(row["r"])
+                state.r[row["key"]] += int(row["r"])
                 state.pos[row["key"]] += row["pos"]
                 state.neg[row["key"]] += row["neg"]
         for side, counts in ((pos, state.pos), (neg, state.neg)):
@@ -222,10 +222,7 @@ class _Training:
     def _cut_if_due(self, term_no: int) -> None:
         if isinstance(self.pos, TableSide) and term_no % TERMS_PER_CUT == 0:
             earlier = self._owned
-            spread = self.pos.df.sparkSession.sparkContext.defaultParallelism
-            self._owned = cut_lineage(self.pos.df.repartition(spread)).persist(
-                StorageLevel.MEMORY_AND_DISK
-            )
+            self._owned = cut_lineage(self.pos.df).persist(StorageLevel.MEMORY_AND_DISK)
             self.pos = replace(self.pos, df=self._owned)
             if earlier is not None:
                 earlier.unpersist()
@@ -288,6 +285,7 @@ def fit_labelled(
     limit: int = BROADCAST_LIMIT,
     partitions: tuple[int | None, int | None] = (None, None),
     max_terms: int | None = None,
+    width: int | None = None,
 ) -> RuleModel:
     """Learn a formula that tells ``label = 1`` from ``label = 0``."""
     if verbose:
@@ -295,7 +293,7 @@ def fit_labelled(
         log.setLevel(logging.INFO)
     started = time.perf_counter()
     instances = gather_instances(
-        df, label, features, on_conflict, partitions=_widest(partitions), cache=use_cache
+        df, label, features, on_conflict, _widest(partitions), cache=use_cache, width=width
     )
     chosen = choose_strategy(
         strategy,

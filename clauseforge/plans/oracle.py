@@ -5,6 +5,10 @@ from __future__ import annotations
 from clauseforge.plans.fixtures import (
     DOCUMENT_LANGUAGES,
     DOCUMENT_WORDS,
+    LINE_NUMBERS,
+    LINE_PERCENTS,
+    LINE_STATUSES,
+    LINE_YEARS,
     PART_RULE,
     PART_TYPES,
     PART_WORDS,
@@ -21,6 +25,13 @@ DOCUMENT_TESTS = [f"lang = '{x}'" for x in DOCUMENT_LANGUAGES] + [
     f"list_contains(words, '{w}')" for w in DOCUMENT_WORDS
 ]
 
+LINE_TESTS = (
+    [f"l_linenumber = {x}" for x in LINE_NUMBERS]
+    + [f"l_linestatus = '{x}'" for x in LINE_STATUSES]
+    + [f"round(l_discount * 100) = {x}" for x in LINE_PERCENTS]
+    + [f"year(l_shipdate) = {x}" for x in LINE_YEARS]
+)
+
 
 def _bits(tests: list[str]) -> str:
     return " + ".join(f"(CASE WHEN {t} THEN {1 << k} ELSE 0 END)::BIGINT" for k, t in enumerate(tests))
@@ -44,6 +55,9 @@ DOCUMENT_ROWS = (
 )
 
 
+LINE_ROWS = f"SELECT (l_returnflag = 'R')::INTEGER AS label, {_bits(LINE_TESTS)} AS bits FROM lineitem"
+
+
 def _consistent(rows: str) -> str:
     return (
         f"SELECT * FROM ({rows}) WHERE bits NOT IN "
@@ -85,6 +99,26 @@ rel AS (
 SELECT lit, CAST(r AS VARCHAR) AS r FROM rel {tail}"""
 
 
+def _counted_pairs(rows: str) -> str:
+    """Pairs of distinct vectors with the number of row pairs behind each."""
+    return f"""
+inst AS MATERIALIZED (SELECT label, bits, count(*)::HUGEINT AS c FROM ({rows}) GROUP BY ALL),
+pairs AS MATERIALIZED (
+  SELECT p.bits AS pb, n.bits AS nb, p.c * n.c AS m, bit_count(xor(p.bits, n.bits))::INTEGER AS d
+  FROM inst p, inst n WHERE p.label = 1 AND n.label = 0)"""
+
+
+def _counted_relevance(rows: str, width: int) -> str:
+    return f"""
+WITH {_counted_pairs(rows)},
+lits AS (SELECT unnest(range(0, {2 * width}))::INTEGER AS lit),
+rel AS (
+  SELECT lit, coalesce(sum(m * CAST(round({UNIT}::DOUBLE / d) AS HUGEINT))
+    FILTER (WHERE {_told_apart(width)} = 1), 0) AS r
+  FROM lits LEFT JOIN (SELECT * FROM pairs WHERE d > 0) ON true GROUP BY lit)
+SELECT lit, CAST(r AS VARCHAR) AS r FROM rel"""
+
+
 def _uncertain_relevance(width: int, weighted: bool) -> str:
     """Three-valued rows: ``one`` and ``half`` bit sets, more than 64 rows in all.
 
@@ -260,12 +294,16 @@ ORACLE = {
     ),
     "pair_distance": _distances(PART_ROWS),
     "pair_distance_documents": _distances(DOCUMENT_ROWS),
+    "pair_distance_lineitem": (
+        f"WITH {_counted_pairs(LINE_ROWS)} SELECT d, CAST(sum(m) AS VARCHAR) AS pairs FROM pairs GROUP BY d"
+    ),
     "pair_semi": _distances(PART_ROWS, "(bits >> 3) & 1 = 1"),
     "relevance_vector": _PART_RELEVANCE,
     "relevance_broadcast_positive": _PART_RELEVANCE,
     "relevance_broadcast_negative": _PART_RELEVANCE,
     "relevance_grid": _PART_RELEVANCE,
     "relevance_documents": _relevance(DOCUMENTS_KEPT, DOCUMENT_WIDTH),
+    "relevance_lineitem": _counted_relevance(LINE_ROWS, len(LINE_TESTS)),
     "relevance_uncertain": _uncertain_relevance(PART_WIDTH, True),
     "relevance_uncertain_distance": _uncertain_relevance(PART_WIDTH, False),
     "top_literal": _relevance(PART_ROWS, PART_WIDTH, tail="ORDER BY rel.r DESC, lit LIMIT 1"),
