@@ -177,7 +177,7 @@ def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
     total = np.zeros(width + 1, dtype=object)
     for left, right in _tiles(pos, neg):
         p, n = unpack(left.ones, width), unpack(right.ones, width)
-        gap = _gap(p.astype(np.float32), n.astype(np.float32))
+        gap = _gap(p.astype(np.float32), n.astype(np.float32)).astype(np.intp)
         for right_shift, right_digit in _digits(right.mult):
             for left_shift, left_digit in _digits(left.mult):
                 weight = np.outer(left_digit, right_digit).ravel()
@@ -187,63 +187,78 @@ def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
 
 
 def _gap(p: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Positions where row i of ``p`` and row j of ``n`` differ."""
-    both = p @ n.T
-    return (p.sum(1)[:, None] + n.sum(1)[None, :] - 2.0 * both).astype(np.intp)
+    """Positions where row i of ``p`` and row j of ``n`` differ, in one product.
+
+    |p| + |n| - 2 p.n, with the two row sums carried as extra columns.
+    """
+    left = np.column_stack([-2.0 * p, p.sum(1), np.ones(len(p))]).astype(np.float32)
+    right = np.column_stack([n, np.ones(len(n)), n.sum(1)]).astype(np.float32)
+    return left @ right.T
 
 
-def _unit_table(width: int, bits: int) -> np.ndarray:
-    """round(2**bits / d) for d = 0..n, with nothing for d = 0."""
-    table = np.zeros(width + 1)
-    table[1:] = np.rint(2.0**bits / np.arange(1, width + 1))
-    return table
+def _share(gap: np.ndarray, bits: int = UNIT_BITS) -> np.ndarray:
+    """round(2**bits / gap), with nothing where the gap is 0."""
+    weight = gap.astype(np.float64)
+    none = weight == 0.0 if weight.min() == 0.0 else None
+    with np.errstate(divide="ignore"):
+        np.divide(2.0**bits, weight, out=weight)
+    if none is not None:
+        weight[none] = 0.0
+    return np.rint(weight, out=weight)
 
 
 def _tile(pos: Block, neg: Block, rule: Rule) -> np.ndarray:
+    p1 = unpack(pos.ones, rule.width).astype(np.float32)
+    n1 = unpack(neg.ones, rule.width).astype(np.float32)
+    if rule.halves is None:
+        return _certain_tile(pos.mult, neg.mult, p1, n1)
+    return _uncertain_tile(pos, neg, p1, n1, rule)
+
+
+def _certain_tile(pos_mult, neg_mult, p1: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    width = p1.shape[1]
+    weight = _share(_gap(p1, n1))
+    total = np.zeros(2 * width, dtype=object)
+    for right_shift, right_digit in _digits(neg_mult):
+        # The last column collects the whole row, from which the zeros follow.
+        right = np.column_stack([n1 * right_digit[:, None], right_digit])
+        product = weight @ right
+        to_one = product[:, :width]
+        wants_one = p1 * (product[:, width:] - to_one)
+        wants_zero = (1.0 - p1) * to_one
+        for left_shift, left_digit in _digits(pos_mult):
+            scale = 1 << (left_shift + right_shift)
+            total[:width] += _whole_sum(left_digit, wants_one) * scale
+            total[width:] += _whole_sum(left_digit, wants_zero) * scale
+    return total
+
+
+def _uncertain_tile(pos: Block, neg: Block, p1, n1, rule: Rule) -> np.ndarray:
     width = rule.width
     total = np.zeros(2 * width, dtype=object)
-    p1 = unpack(pos.ones, width).astype(np.float32)
-    n1 = unpack(neg.ones, width).astype(np.float32)
-    ph = nh = None
-    if rule.halves is None:
-        weight = _unit_table(width, UNIT_BITS)[_gap(p1, n1)]
-        p0 = 1.0 - p1
+    ph = unpack(pos.halves, width).astype(np.float32)
+    nh = unpack(neg.halves, width).astype(np.float32)
+    p0, n0 = 1.0 - p1 - ph, 1.0 - n1 - nh
+    certain = p1 @ n0.T + p0 @ n1.T
+    both_half = ph @ nh.T
+    touched = ph.sum(1)[:, None] + nh.sum(1)[None, :]
+    loose = None
+    if rule.halves == "distance":
+        weight = _share(certain + touched - 2.0 * both_half)
     else:
-        ph = unpack(pos.halves, width).astype(np.float32)
-        nh = unpack(neg.halves, width).astype(np.float32)
-        p0, n0 = 1.0 - p1 - ph, 1.0 - n1 - nh
-        certain = (p1 @ n0.T + p0 @ n1.T).astype(np.intp)
-        both_half = ph @ nh.T
-        touched = ph.sum(1)[:, None] + nh.sum(1)[None, :]
-        if rule.halves == "distance":
-            gap = certain + (touched - 2.0 * both_half).astype(np.intp)
-            weight = _unit_table(width, UNIT_BITS)[gap]
-        else:
-            weight = _unit_table(width, UNIT_BITS)[certain]
-            unsure = (touched - both_half).astype(np.intp)
-            half_weight = np.where(certain == 0, _unit_table(width, UNIT_BITS - 1)[unsure], 0.0)
+        weight = _share(certain)
+        loose = np.where(certain == 0.0, _share(touched - both_half, UNIT_BITS - 1), 0.0)
     for right_shift, right_digit in _digits(neg.mult):
-        lean = weight * right_digit
-        to_one = lean @ n1.astype(np.float64)
-        if rule.halves is None:
-            to_zero = lean.sum(1)[:, None] - to_one
-        else:
-            to_zero = lean @ n0.astype(np.float64)
-        wants_one = p1 * to_zero
-        wants_zero = p0 * to_one
-        extra_one = extra_zero = None
-        if rule.halves == "weighted" and half_weight.any():
-            lean = half_weight * right_digit
-            h1, h0, hh = (lean @ m.astype(np.float64) for m in (n1, n0, nh))
-            extra_one = 2.0 * (p1 * hh + ph * h0) + ph * hh
-            extra_zero = 2.0 * (p0 * hh + ph * h1) + ph * hh
+        r1, r0, rh = (m * right_digit[:, None] for m in (n1, n0, nh))
+        wants_one, wants_zero = p1 * (weight @ r0), p0 * (weight @ r1)
+        if loose is not None and loose.any():
+            h1, h0, hh = loose @ r1, loose @ r0, loose @ rh
+            wants_one = wants_one + 2.0 * (p1 * hh + ph * h0) + ph * hh
+            wants_zero = wants_zero + 2.0 * (p0 * hh + ph * h1) + ph * hh
         for left_shift, left_digit in _digits(pos.mult):
             scale = 1 << (left_shift + right_shift)
             total[:width] += _whole_sum(left_digit, wants_one) * scale
             total[width:] += _whole_sum(left_digit, wants_zero) * scale
-            if extra_one is not None:
-                total[:width] += _whole_sum(left_digit, extra_one) * scale
-                total[width:] += _whole_sum(left_digit, extra_zero) * scale
     return total
 
 
