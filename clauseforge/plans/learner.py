@@ -105,7 +105,7 @@ class _Training:
         self.has_halves = instances.halves
         self.halves = halves if instances.halves else None
         self.carry = carry
-        self.pos, self.neg = sides(instances, strategy, limit, *partitions)
+        self.pos, self.neg = self._originals = sides(instances, strategy, limit, *partitions)
         self.p, self.q = instances.positives, instances.negatives
         self.trace: list[Step] = []
         self._owned: DataFrame | None = None
@@ -228,8 +228,10 @@ class _Training:
                 earlier.unpersist()
 
     def release(self) -> None:
-        if self._owned is not None:
-            self._owned.unpersist()
+        held = [side.df for side in self._originals if isinstance(side, TableSide)]
+        for df in (self._owned, *held):
+            if df is not None and df.is_cached:
+                df.unpersist()
 
 
 def _bounded(side, rows: int):
