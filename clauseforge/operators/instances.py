@@ -31,6 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CONFLICT_CHOICES = ("error", "drop")
 # Pair-literal products one task should get before a second task is worth it.
 TASK_WORK = 1 << 28
+LONG_TASK_WORK = 1 << 34
 
 
 def split_by_label(df: DataFrame, label: str = "label", features: str = "features"):
@@ -167,9 +168,11 @@ def gather_instances(
 
 
 def _tasks(found: Instances, parallelism: int) -> int:
-    """As many tasks as the pair work of a full step fills, up to the parallelism."""
+    """As many tasks as the pair work of a full step fills: one per core at first,
+    then up to four per core, so that long tasks balance and retry cheaply."""
     work = found.positive_vectors * found.negative_vectors * 2 * found.width
-    return max(1, min(parallelism, math.ceil(work / TASK_WORK)))
+    filled = min(parallelism, math.ceil(work / TASK_WORK))
+    return max(1, filled, min(4 * parallelism, math.ceil(work / LONG_TASK_WORK)))
 
 
 def _with_totals(distinct: DataFrame, width: int) -> Instances:

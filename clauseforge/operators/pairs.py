@@ -43,8 +43,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STRATEGIES = ("auto", "broadcast_positive", "broadcast_negative", "cross")
 BROADCAST_LIMIT = 64 * 1024 * 1024
 # Rows of one side in one grid cell. A cell moves two groups and works on their
-# product, so larger groups mean fewer bytes moved per pair.
-GROUP_ROWS = 32768
+# product, so larger groups mean fewer bytes moved per pair; at this size a cell
+# is a few megabytes and minutes of work at most.
+GROUP_ROWS = 65536
 CELL_PAIRS = 1 << 22
 
 TALLY_SCHEMA = "key int, r decimal(38,0), pos bigint, neg bigint"

@@ -18,6 +18,7 @@ from clauseforge.plans.fixtures import (
     PART_WIDTH,
     document_instances,
     lineitem_instances,
+    order_dates,
     part_features,
     part_instances,
     table,
@@ -38,6 +39,7 @@ PROMO = 3
 NOT_ONE = PART_WIDTH + 7
 PROMO_TERM = {3: 1, 7: 0}
 LETTERS = "aetn"
+DIGITS = "0123456789"
 
 
 def _model(spark: SparkSession, sf_dir: str) -> RuleModel:
@@ -252,6 +254,12 @@ def classify(spark, sf_dir):
     return classified.select("id", "class")
 
 
+def sequence_rules(spark, sf_dir):
+    encoded = encode.encode(order_dates(spark, sf_dir), "seq", alphabet=DIGITS)
+    model = fit_labelled(encoded, width=10 * len(DIGITS))
+    return model.transform(encoded).select("id", "class")
+
+
 def classify_reloaded(spark, sf_dir):
     train_path, model_path = fresh_path(spark, "train"), fresh_path(spark, "rules")
     df = part_instances(spark, sf_dir)
@@ -342,6 +350,7 @@ QUERIES = {
     "model_metadata": model_metadata,
     "conflicting_vectors": conflicting_vectors,
     "classify": classify,
+    "sequence_rules": sequence_rules,
     "classify_reloaded": classify_reloaded,
     "classify_csv_model": classify_csv_model,
     "saved_term_rows": saved_term_rows,

@@ -103,6 +103,16 @@ def lineitem_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, label, seq)``: order dates as ten-character sequences; March and December are positive."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.month("o_orderdate").isin(3, 12).cast("int").alias("label"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("seq"),
+    )
+
+
 def document_words(text: Column) -> Column:
     """The distinct lower-case ASCII words of a whole text that are in the list."""
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -331,6 +331,10 @@ ORACLE = {
         f"FROM {_DOCUMENTS}) GROUP BY vector HAVING count(DISTINCT quality) = 2"
     ),
     "classify": _CLASSES,
+    "sequence_rules": (
+        "SELECT o_orderkey AS id, CASE WHEN month(o_orderdate) IN (3, 12) THEN 1.0 ELSE 0.0 END::DOUBLE "
+        "AS class FROM orders"
+    ),
     "classify_reloaded": _CLASSES,
     "classify_csv_model": _CLASSES,
     "saved_term_rows": _fit(

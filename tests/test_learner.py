@@ -12,10 +12,15 @@ from clauseforge import (
     fit_labelled,
     learn_term,
 )
+from clauseforge.functions.encode import encode, to_vectors
+from clauseforge.operators import pairs
+from clauseforge.operators.evaluate import accuracy
 from clauseforge.operators.instances import gather_instances, split_by_label
 from clauseforge.operators.pairs import choose_strategy, grid_shape
 from clauseforge.operators.relevance import relevance, relevance_after, top_literal
+from clauseforge.plans import learner
 from clauseforge.plans.fixtures import part_instances
+from clauseforge.sources.sequences import read_labelled_sequences
 
 STRATEGIES = ["auto", "broadcast_positive", "broadcast_negative", "cross"]
 UNIT = 2**36
@@ -173,6 +178,42 @@ def test_top_literal_takes_the_lowest_of_a_tie(spark):
     assert top_literal(rows).head()["lit"] == 2
 
 
+def test_vectors_and_double_labels(spark):
+    df = instances(spark, [(1, 0), (0, 1)], [(0, 0), (1, 1)])
+    df = to_vectors(df).withColumn("label", F.col("label").cast("double"))
+    assert fit_labelled(df).formula == "x1x2^ + x1^x2"
+
+
+def test_sequences_end_to_end(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    reads = sorted({"".join(rng.choice(list("ACGTN"), 12)) for _ in range(300)})
+    wanted = {r: int(r[4:6] in ("AG", "GT")) for r in reads}
+    for label in (1, 0):
+        lines = [r for r in reads if wanted[r] == label]
+        (tmp_path / f"{label}.txt").write_text("\r\n".join(lines) + "\r\n")
+    rows = read_labelled_sequences(spark, str(tmp_path / "1.txt"), str(tmp_path / "0.txt"))
+    model = fit_labelled(encode(rows, "seq"))
+    assert model.width == 48
+    row = accuracy(model.transform(encode(rows, "seq"))).head()
+    assert (row["hits"], row["rows"], row["accuracy"]) == (len(reads), len(reads), 1.0)
+
+
+def test_many_terms_with_distributed_positives(spark, monkeypatch):
+    monkeypatch.setattr(learner, "TERMS_PER_CUT", 2)
+    df = heads160(spark, "0.001", "toxic")
+    by_negative = fit_labelled(df, strategy="broadcast_negative")
+    assert [(s.lit, s.r, s.p, s.q) for s in by_negative.trace] == [
+        (s.lit, s.r, s.p, s.q) for s in fit_labelled(df).trace
+    ]
+
+
+def test_merging_in_spark_and_on_the_driver_agree(spark, monkeypatch):
+    df = part_instances(spark, f"{TESTDATA}/sf0.001")
+    here = fit_labelled(df, partitions=(4, 4)).trace
+    monkeypatch.setattr(pairs, "DRIVER_ROWS", 0)
+    assert fit_labelled(df, partitions=(4, 4)).trace == here
+
+
 def test_first_term_trace(spark):
     trace = learn_term(part_instances(spark, f"{TESTDATA}/sf0.001")).orderBy("step").collect()
     assert [(r["lit"], r["p"], r["q"]) for r in trace] == [(3, 28, 11), (34, 28, 0)]
@@ -188,5 +229,5 @@ def test_a_broadcast_past_its_limit_becomes_the_grid(spark):
 
 def test_grid_groups_are_bounded():
     down, across = grid_shape(10_000_000, 400, 64)
-    assert 10_000_000 / down <= 32768 and across >= 1
+    assert 10_000_000 / down <= 65536 and across >= 1
     assert grid_shape(3, 3, 64) == (1, 1)
