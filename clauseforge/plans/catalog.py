@@ -173,6 +173,13 @@ def pair_semi(spark, sf_dir):
     return _text(rel.pair_distances(_gathered(left)), "pairs")
 
 
+def pair_semi_uncovered(spark, sf_dir):
+    df = part_instances(spark, sf_dir)
+    left_over = (F.col("label") == 0) | ~term_allows(F.col("features"), PROMO_TERM)
+    left = df.join(df.filter(left_over).select("id"), "id", "left_semi")
+    return _text(rel.pair_distances(_gathered(left)), "pairs")
+
+
 def _relevance(strategy: str, instances=part_instances, width: int = PART_WIDTH, halves: str = "weighted"):
     def query(spark, sf_dir):
         gathered = _gathered(instances(spark, sf_dir), width)
@@ -329,6 +336,7 @@ QUERIES = {
     "pair_distance_documents": pair_distance_documents,
     "pair_distance_lineitem": pair_distance_lineitem,
     "pair_semi": pair_semi,
+    "pair_semi_uncovered": pair_semi_uncovered,
     "relevance_vector": _relevance("auto"),
     "relevance_broadcast_positive": _relevance("broadcast_positive"),
     "relevance_broadcast_negative": _relevance("broadcast_negative"),

@@ -35,6 +35,7 @@ from clauseforge.operators.pairs import (
     TOTALS,
     ArraySide,
     TableSide,
+    array_side,
     choose_strategy,
     fetch_tally,
     pair_tally,
@@ -106,6 +107,8 @@ class _Training:
         self.halves = halves if instances.halves else None
         self.carry = carry
         self.pos, self.neg = self._originals = sides(instances, strategy, limit, *partitions)
+        # With both sides too large to broadcast, later steps may still have few rows left.
+        self.broadcast_rows = 0 if strategy == "cross" else limit // instances.row_bytes
         self.p, self.q = instances.positives, instances.negatives
         self.trace: list[Step] = []
         self._owned: DataFrame | None = None
@@ -113,10 +116,14 @@ class _Training:
     def rule(self, p: int, q: int) -> Rule:
         return Rule(self.width, self.halves, p + q)
 
-    def tally(self, pos, neg, p: int, q: int) -> _State:
-        """Run one job over the pairs that have a flagged row."""
-        rule = self.rule(p, q)
-        pos, neg = _bounded(pos, p), _bounded(neg, q)
+    def tally(self, pos, neg, p: int, q: int, rule: Rule | None = None) -> _State:
+        """Sum up the pairs that have a flagged row, among at most p and q rows, in one job.
+
+        If neither side is an array, the smaller one is fetched first once its
+        bound is below the broadcast limit.
+        """
+        rule = rule or self.rule(p, q)
+        pos, neg = self._formed(_bounded(pos, p), _bounded(neg, q))
         partials, sent = pair_tally(pos, neg, rule)
         try:
             rows = fetch_tally(partials, pos, neg, self.width)
@@ -142,6 +149,16 @@ class _Training:
                 counts += side.flagged_counts()[0].astype(object)
         return state
 
+    def _formed(self, pos, neg):
+        if isinstance(pos, TableSide) and isinstance(neg, TableSide):
+            small = min(pos.vectors, neg.vectors)
+            if small <= self.broadcast_rows:
+                if pos.vectors == small:
+                    pos = array_side(pos.df, self.width, self.has_halves)
+                else:
+                    neg = array_side(neg.df, self.width, self.has_halves)
+        return pos, neg
+
     def root(self) -> _State:
         """All positives left against all negatives."""
         everything = Mask.empty(self.width)
@@ -203,7 +220,7 @@ class _Training:
         carried = self._can_carry(state, left, self.q, covered, left)
         if carried:
             everything = Mask.empty(self.width)
-            lost = self.tally(covered_side, self.neg.pick(everything), self.p, self.q)
+            lost = self.tally(covered_side, self.neg.pick(everything), covered, self.q, state.rule)
             # The negatives are all still there.
             lost.neg = np.zeros_like(lost.neg)
         self.pos = self.pos.uncovered(mask)

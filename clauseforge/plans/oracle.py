@@ -298,6 +298,9 @@ ORACLE = {
         f"WITH {_counted_pairs(LINE_ROWS)} SELECT d, CAST(sum(m) AS VARCHAR) AS pairs FROM pairs GROUP BY d"
     ),
     "pair_semi": _distances(PART_ROWS, "(bits >> 3) & 1 = 1"),
+    "pair_semi_uncovered": _distances(
+        PART_ROWS, "label = 0 OR NOT ((bits >> 3) & 1 = 1 AND (bits >> 7) & 1 = 0)"
+    ),
     "relevance_vector": _PART_RELEVANCE,
     "relevance_broadcast_positive": _PART_RELEVANCE,
     "relevance_broadcast_negative": _PART_RELEVANCE,

@@ -207,6 +207,18 @@ def test_many_terms_with_distributed_positives(spark, monkeypatch):
     ]
 
 
+def test_late_steps_are_broadcast_once_they_fit(spark, monkeypatch):
+    df = part_instances(spark, f"{TESTDATA}/sf0.01")
+    whole = fit_labelled(df, strategy="cross")
+    fetched, fetch = [], learner.array_side
+    monkeypatch.setattr(learner, "array_side", lambda *a: fetched.append(1) or fetch(*a))
+    limited = fit_labelled(df, limit=200 * 17)  # both sides have more distinct vectors than that
+    assert limited.version.endswith("cross") and fetched
+    assert [(s.lit, s.r, s.p, s.q) for s in limited.trace] == [
+        (s.lit, s.r, s.p, s.q) for s in whole.trace
+    ]
+
+
 def test_merging_in_spark_and_on_the_driver_agree(spark, monkeypatch):
     df = part_instances(spark, f"{TESTDATA}/sf0.001")
     here = fit_labelled(df, partitions=(4, 4)).trace
