@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseforge.llm import binary, counts, packing
+from clauseforge.llm import binary, counts, minhash, oracle, packing, quality
 from clauseforge.llm.tables import table
 from clauseforge.storage import fresh_path
 
@@ -23,12 +23,30 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, cache)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = binary.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
     return binary.read_documents(files)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op6_token_counts, op9_token_binary)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op6_token_counts,
+        op7_quality_rules,
+        op8_minhash_near_dedup,
+        op9_token_binary,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op7_quality_rules": oracle.QUALITY,
+    "op8_minhash_near_dedup": oracle.NEAR_DUPLICATES,
 }
-ORACLE: dict[str, str] = {}
