@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+_TERMS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 QUALITY = rf"""
@@ -37,7 +38,7 @@ WITH words AS (
         (CASE WHEN n_words < 10 THEN 1 ELSE 0 END
         + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
         + CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END
-        + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+        + CASE WHEN n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
         + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
         + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END
         + CASE WHEN 100 * n_letter_words < 60 * n_words THEN 64 ELSE 0 END
@@ -69,3 +70,30 @@ WITH RECURSIVE words AS (
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
 FROM sets JOIN roots USING (doc_id)
 """
+
+DECONTAMINATION = rf"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all({_LOWERED}, '{_TERMS}') AS ws FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all({_LOWERED}, '{_TERMS}') AS ws FROM benchmark
+), item_windows AS (
+    SELECT DISTINCT item_id, ws[i:i + 9] AS w
+    FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM items WHERE len(ws) > 0)
+), sizes AS (
+    SELECT DISTINCT len(w) AS n FROM item_windows
+), doc_windows AS (
+    SELECT doc_id, i, ws[i:i + n - 1] AS w
+    FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs, sizes)
+), hits AS (
+    SELECT doc_id, i, len(w) AS n, item_id FROM doc_windows JOIN item_windows USING (w)
+), words_hit AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits)
+    GROUP BY doc_id
+), names AS (
+    SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS names FROM hits GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+    coalesce(len(names), 0)::BIGINT AS n_items,
+    sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN names USING (doc_id)
+"""

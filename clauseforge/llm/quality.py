@@ -31,7 +31,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 10"),
     ("repeated_words", "100 * n_repeat_words > 20 * n_words"),
     ("symbols", "100 * n_symbols > 20 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 20 * n_words"),
     ("few_letters", "100 * n_letter_words < 60 * n_words"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseforge.llm import binary, counts, minhash, oracle, packing, quality
+from clauseforge.llm import binary, counts, decontaminate, minhash, oracle, packing, quality
 from clauseforge.llm.tables import table
 from clauseforge.storage import fresh_path
 
@@ -18,6 +18,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = fresh_path(spark, "token-counts")
     return counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, cache)
@@ -40,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_decontamination,
         op6_token_counts,
         op7_quality_rules,
         op8_minhash_near_dedup,
@@ -47,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLE: dict[str, str] = {
+    "op2_decontamination": oracle.DECONTAMINATION,
     "op7_quality_rules": oracle.QUALITY,
     "op8_minhash_near_dedup": oracle.NEAR_DUPLICATES,
 }
