@@ -13,8 +13,9 @@ import re
 from array import array
 from collections.abc import Iterable
 
-# Pieces kept in one worker; a full table is emptied and filled anew.
-PIECES_KEPT = 500_000
+# Pieces kept in one worker, twice: when a table is full it becomes the old one,
+# from which pieces that are met again move to the new one.
+PIECES_KEPT = 400_000
 
 # White space other than blank and line end, as any of the libraries sees it.
 _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
@@ -57,33 +58,75 @@ def pieces(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class IdEncoder:
-    """Byte-level ids of texts as little-endian unsigned 32-bit strings."""
+    """Byte-level ids of texts as little-endian unsigned 32-bit strings.
+
+    A piece that is one word of Latin letters is one token run of the
+    vocabulary's splitting rule and goes to its merges directly; a mark after
+    such a word is a run of its own. All other pieces go through the whole rule.
+    """
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
         self.kept: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", got.ids).tobytes() for got in encoded]
+        self.old: dict[str, bytes] = {}
+        self.line_end = self._ids("\n")
+        self.marks = {mark: self._ids(mark) for mark in ".,;:!?"}
+
+    def _ids(self, text: str) -> bytes:
+        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", encoded[0].ids).tobytes()
+
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of a word with its blank, if any, written as a vocabulary writes them."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges.tokenize(word.replace(" ", "\u0120"))]).tobytes()
+
+    def _piece_ids(self, piece: str) -> bytes:
+        if piece.startswith("\r"):
+            return self._ids(piece[1:])
+        bare = piece.startswith("\n")
+        word = piece[1:] if bare else piece
+        mark = b""
+        if word[-1:] in self.marks:
+            word, mark = word[:-1], self.marks[word[-1]]
+        if not word.isalpha() or max(word) > "\xff":
+            return self._ids(piece if bare else " " + piece)
+        if bare:
+            return self.line_end + self._word_ids(word) + mark
+        if mark:
+            known = self.kept.get(word)
+            if known is None:
+                known = self.kept[word] = self._word_ids(" " + word)
+            return known + mark
+        return self._word_ids(" " + word)
 
     def encode(self, text: str) -> bytes:
         parts = pieces(text)
         if not parts:
-            return b"".join(self._ids(_LONE.split(text)))
-        first, *rest = parts
+            return b"".join(map(self._ids, _LONE.split(text)))
+        # The first piece has no blank; no other begins with this character.
+        parts[0] = "\r" + parts[0]
         kept = self.kept
-        missing = set(rest).difference(kept)
+        missing = set(parts).difference(kept)
         if missing:
-            if len(kept) + len(missing) > PIECES_KEPT:
-                kept.clear()
-                missing = set(rest)
-            missing = list(missing)
-            kept.update(
-                zip(missing, self._ids([p if p.startswith("\n") else " " + p for p in missing]))
-            )
-        return self._ids([first])[0] + b"".join(map(kept.__getitem__, rest))
+            if len(kept) > PIECES_KEPT:
+                self.old, self.kept = kept, {}
+                kept, missing = self.kept, set(parts)
+            old = self.old
+            for part in missing:
+                kept[part] = old[part] if part in old else self._piece_ids(part)
+        return b"".join(map(kept.__getitem__, parts))
 
 
 class PieceCounter:
@@ -92,16 +135,19 @@ class PieceCounter:
     def __init__(self, name: str):
         self.tokenizer = load(name)
         self.kept: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def count(self, text: str) -> int:
         # Blanks and line ends are dropped and end every token.
         parts, kept = text.replace("\n", " ").split(" "), self.kept
         missing = set(parts).difference(kept)
         if missing:
-            if len(kept) + len(missing) > PIECES_KEPT:
-                kept.clear()
-                missing = set(parts)
-            missing = list(missing)
+            if len(kept) > PIECES_KEPT:
+                self.old, self.kept = kept, {}
+                kept, missing = self.kept, set(parts)
+            old = self.old
+            kept.update((p, old[p]) for p in missing if p in old)
+            missing = [p for p in missing if p not in old]
             encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
             kept.update((p, len(got.ids)) for p, got in zip(missing, encoded))
         return sum(map(kept.__getitem__, parts))
