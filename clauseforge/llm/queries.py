@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseforge.llm import binary, counts, decontaminate, minhash, oracle, packing, quality
+from clauseforge.llm import binary, counts, decontaminate, minhash, oracle, packing, pii, quality
 from clauseforge.llm.tables import table
 from clauseforge.storage import fresh_path
 
@@ -42,6 +42,10 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_documents(files)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_rules,
         op8_minhash_near_dedup,
         op9_token_binary,
+        op10_pii,
     )
 }
 ORACLE: dict[str, str] = {
