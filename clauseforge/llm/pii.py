@@ -48,7 +48,7 @@ PATTERNS = {
 # A text without these has no match.
 _NEEDS = {"email": "@", "mail": "dot", "phone": "+"}
 
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORDS_BEFORE = {
     "secret": r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ -]?key|key|auth|bearer)[\s=:\"'>-]{0,6}$",
     "number": r"(?i)(?:tel|phone|call|fax|mobile|ssn|social security|passport|account|iban|card)\S{0,4}[\s=:#\"'.]{0,4}$",
