@@ -97,3 +97,56 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN names USING (doc_id)
 """
+
+_CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]")
+
+
+def _controls(value: str) -> str:
+    return " + ".join(
+        f"(len({value}) - len(replace({value}, '{c}', ''))) // {len(c)}" for c in _CONTROLS
+    )
+
+
+CHATS = f"""
+WITH source AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
+        ({_controls("role")}) + ({_controls("text")}) AS marks
+    FROM source
+), sized AS (
+    SELECT *, len(role) + len(text) + 17 + CASE WHEN marks = 0 THEN 0 ELSE
+        1 + 2 * marks + (len(role) - len(replace(role, '~', ''))) + (len(text) - len(replace(text, '~', '')))
+        END AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+    coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+SHARDS = f"""
+WITH hashed AS (
+    SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
+    FROM documents
+), deep AS (
+    SELECT *, unnest(range(0, 61)) AS d FROM hashed
+), prefixes AS (
+    SELECT doc_id, n_bytes, d, h >> (60 - d)::INTEGER AS p FROM deep
+), fits AS (
+    SELECT d, p, sum(n_bytes)::BIGINT AS shard_bytes FROM prefixes GROUP BY d, p
+    HAVING sum(n_bytes) <= 1048576 OR count(*) = 1
+), found AS (
+    SELECT doc_id, n_bytes, d, p, shard_bytes FROM prefixes JOIN fits USING (d, p)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1
+)
+SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d::INTEGER, '0') END AS shard,
+    d::INTEGER AS depth, shard_bytes
+FROM found
+"""

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseforge.llm import binary, counts, decontaminate, minhash, oracle, packing, pii, quality
-from clauseforge.llm.tables import table
+from clauseforge.llm import (
+    binary, chat, counts, decontaminate, minhash, oracle, packing, pii, quality, sharding, toxicity,
+)
+from clauseforge.llm.tables import stored, table
 from clauseforge.storage import fresh_path
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +26,25 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql(
+        """SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'),
+        (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t (conv_id, turn, role, text)"""
+    )
+    return chat.read_back(stored(chat.format_chats(turns.unionByName(own)), "chats"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = fresh_path(spark, "token-counts")
     return counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, cache)
@@ -51,6 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op2_decontamination,
+        op3_chat_formatting,
+        op4_toxicity,
+        op5_sharding,
         op6_token_counts,
         op7_quality_rules,
         op8_minhash_near_dedup,
@@ -60,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_decontamination": oracle.DECONTAMINATION,
+    "op3_chat_formatting": oracle.CHATS,
+    "op5_sharding": oracle.SHARDS,
     "op7_quality_rules": oracle.QUALITY,
     "op8_minhash_near_dedup": oracle.NEAR_DUPLICATES,
 }
