@@ -35,10 +35,15 @@ FOLDS = 5
 # A term needs this many different surroundings in toxic texts, and this share
 # of its texts to be toxic; the most frequent ones are taken.
 SURROUNDINGS = 8
-PURITY = 0.95
+PURITY = 0.7
 TERMS = 2_000
-LEXICONS = 12
-BEGINNINGS = (4, 5, 6)
+# Lexicons of terms above each purity, so many of each.
+TIERS = (0.97, 0.9, PURITY)
+PER_TIER = 4
+LEXICONS = len(TIERS) * PER_TIER
+BEGINNINGS = (4, 5, 6, 7, 8)
+# Lexicon hits per hundred words at which two further voters vote.
+DENSITIES = (1, 3)
 
 INSULTS = frozenset(
     "idiot idiots stupid moron morons dumb loser losers pathetic disgusting scum trash worthless"
@@ -51,7 +56,7 @@ PATTERNS = (
     re.compile(r"\b[A-Z]{4,}(?:\W+[A-Z]{4,}){2,}"),
     re.compile(r"[@#$%*]{3,}"),
 )
-N_VOTERS = LEXICONS + 1 + len(PATTERNS)
+N_VOTERS = LEXICONS + 1 + len(PATTERNS) + len(DENSITIES)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -136,15 +141,22 @@ def choose_terms(sample: DataFrame) -> dict[str, int]:
             F.sum(F.col("n") * F.col("toxic")).alias("toxic"), F.sum("n").alias("all")
         )
         .where(F.col("toxic") >= PURITY * F.col("all"))
-        .select("term").collect()
+        .select("term", (F.col("toxic") / F.col("all")).alias("purity")).collect()
     )
-    best = sorted((r["term"] for r in in_texts), key=lambda t: (-counts[t], t))[:TERMS]
-    # Turn by turn, so that voters have terms of every frequency.
-    return {term: n % LEXICONS for n, term in enumerate(best)}
+    best = sorted(in_texts, key=lambda r: (-counts[r["term"]], r["term"]))[:TERMS]
+    # Within a tier turn by turn, so that voters have terms of every frequency.
+    voters = {}
+    for tier, (least, most) in enumerate(zip(TIERS, (2.0, *TIERS))):
+        inside = [r["term"] for r in best if least <= r["purity"] < most]
+        voters |= {term: tier * PER_TIER + n % PER_TIER for n, term in enumerate(inside)}
+    return voters
 
 
 def voter_hits(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """``doc_id, hits`` (one count per voter) of every row of ``docs (doc_id, text)``."""
+    """``doc_id, hits`` of every row of ``docs (doc_id, text)``.
+
+    ``hits`` has one count per voter and then the number of words.
+    """
 
     def count(batches) -> Iterator:
         import numpy as np
@@ -158,9 +170,11 @@ def voter_hits(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
             return tuple(found + [LEXICONS] * (word in INSULTS))
 
         for batch in batches:
-            grid = np.zeros((batch.num_rows, N_VOTERS), "i4")
+            grid = np.zeros((batch.num_rows, N_VOTERS + 1), "i4")
             for row, (text,) in enumerate(rows_of(batch, "text")):
-                for word in _WORD.findall(text.lower()):
+                words = _WORD.findall(text.lower())
+                grid[row, N_VOTERS] = len(words)
+                for word in words:
                     got = known.get(word)
                     if got is None:
                         if len(known) > 300_000:
@@ -170,7 +184,10 @@ def voter_hits(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
                         grid[row, voter] += 1
                 for n, pattern in enumerate(PATTERNS, start=LEXICONS + 1):
                     grid[row, n] = sum(1 for _ in pattern.finditer(text))
-            offsets = np.arange(0, grid.size + 1, N_VOTERS, dtype="i4")
+            in_lexicons = grid[:, : LEXICONS + 1].sum(axis=1)
+            for n, density in enumerate(DENSITIES, start=N_VOTERS - len(DENSITIES)):
+                grid[:, n] = (100 * in_lexicons >= density * grid[:, N_VOTERS]) & (in_lexicons > 0)
+            offsets = np.arange(0, grid.size + 1, N_VOTERS + 1, dtype="i4")
             hits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grid.reshape(-1)))
             yield pa.record_batch([batch.column("doc_id"), hits], names=["doc_id", "hits"])
 
@@ -188,7 +205,7 @@ def moments(hits: DataFrame):
         for batch in batches:
             if batch.num_rows:
                 flat = batch.column("hits").flatten().to_numpy()
-                votes = (flat.reshape(-1, N_VOTERS) > 0).astype("i8")
+                votes = (flat.reshape(-1, N_VOTERS + 1)[:, :N_VOTERS] > 0).astype("i8")
                 total += votes.T @ votes
                 rows += len(votes)
         yield pa.record_batch(
@@ -250,13 +267,18 @@ def _votes_log_odds(if_toxic, if_other, weight, share: float) -> Column:
     return total
 
 
-def _features() -> Column:
-    """Per voter whether it votes and, damped, how often; and whether any lexicon does."""
-    votes = F.transform("hits", lambda h: (h > 0).cast("double"))
-    counts = F.transform("hits", lambda h: F.log1p(h.cast("double")))
-    lexicons = F.slice("hits", 1, LEXICONS + 1)
-    some = F.array(F.exists(lexicons, lambda h: h > 0).cast("double"))
-    return array_to_vector(F.concat(votes, counts, some))
+def _inputs() -> list[Column]:
+    """Per voter whether it votes, how often, and how densely; the last two damped."""
+    words = F.greatest(F.lit(1), F.col("hits")[N_VOTERS])
+    out = []
+    for i in range(N_VOTERS):
+        hit = F.col("hits")[i]
+        out += [
+            (hit > 0).cast("double"),
+            F.log1p(hit.cast("double")),
+            F.log1p(1000.0 * hit / words),
+        ]
+    return out
 
 
 def score_documents(
@@ -290,7 +312,7 @@ def score_documents(
     # The sample's ids are bounded; every copy of a row has the same hits.
     train = (
         hits.join(F.broadcast(ids), "doc_id")
-        .select(_features().alias("features"), (1 / (1 + F.exp(-odds))).alias("posterior"))
+        .select(array_to_vector(F.array(*_inputs())).alias("features"), (1 / (1 + F.exp(-odds))).alias("posterior"))
         .coalesce(4)
     )
     train = tables.stored(
@@ -301,15 +323,9 @@ def score_documents(
     )
     fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60).fit(train)
     coefficients = fitted.coefficients.toArray().tolist()
-    n = N_VOTERS
-    margin = F.lit(float(fitted.intercept)) + F.when(
-        F.exists(F.slice("hits", 1, LEXICONS + 1), lambda h: h > 0), coefficients[2 * n]
-    ).otherwise(0.0)
-    for i in range(n):
-        hit = F.col("hits")[i]
-        margin = margin + F.when(
-            hit > 0, coefficients[i] + coefficients[n + i] * F.log1p(hit.cast("double"))
-        ).otherwise(0.0)
+    margin = F.lit(float(fitted.intercept))
+    for coefficient, value in zip(coefficients, _inputs()):
+        margin = margin + coefficient * value
     return hits.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
