@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseforge.llm import tables, tokens
@@ -24,7 +24,7 @@ def tokenizer_version(name: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
-def content_digest(text) -> F.Column:
+def content_digest(text: Column) -> Column:
     """Digest of ``text`` with blanks and line ends run together and trimmed.
 
     The vocabulary drops white space between pieces, so that texts which differ

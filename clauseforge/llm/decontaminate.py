@@ -31,12 +31,13 @@ def words(text: Column) -> Column:
 
 
 def word_table(texts: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """``row, id, words`` of every row, stored; ``row`` names the row from then on."""
+    """``row, id, text_hash, words`` of every row, stored; ``row`` names the row from then on."""
     plain = tables.pick(texts, id_col, text_col)
     return tables.stored(
         plain.select(
             F.monotonically_increasing_id().alias("row"),
             F.col(id_col).alias("id"),
+            tables.text_hash(F.col(text_col)).alias("text_hash"),
             words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"),
         ),
         name,
@@ -145,6 +146,19 @@ def find_items(
     return corpus, items, found
 
 
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
+    item_id: str = "item_id", text_col: str = "text",
+) -> DataFrame:
+    """``docs`` without the rows in which a window of an item occurs, columns as they were."""
+    corpus, _, found = find_items(docs, benchmark, window, doc_id, item_id, text_col)
+    rows = tables.stored(found.select("row").distinct(), "contaminated")
+    keys = corpus.select("row", F.col("id").cast("bigint").alias("doc_id"), "text_hash").join(
+        tables.small(rows, rows.count()), "row"
+    )
+    return tables.without(docs, keys.select("doc_id", "text_hash").distinct(), doc_id, text_col)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
     item_id: str = "item_id", text_col: str = "text",

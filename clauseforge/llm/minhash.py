@@ -88,12 +88,12 @@ def _short_codes(values):
 
 
 SKETCH_SCHEMA = (
-    "doc_id bigint, n_shingles bigint, content binary, bands array<bigint>, codes array<bigint>"
+    "doc_id bigint, text_hash bigint, n_shingles bigint, content binary, bands array<bigint>, codes array<bigint>"
 )
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs (doc_id, text)``: set size, digest of the set, band keys, short codes."""
+    """Per row of ``docs (doc_id, text)``: hash of the text, set size, digest of the set, band keys, short codes."""
 
     def build(batches) -> Iterator:
         import numpy as np
@@ -120,15 +120,17 @@ def sketch(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     pa.array(ids, pa.int64()),
+                    batch.column("text_hash"),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     lists(_band_keys(grid), filled, BANDS),
                     lists(_short_codes(grid), filled, 4),
                 ],
-                names=["doc_id", "n_shingles", "content", "bands", "codes"],
+                names=["doc_id", "text_hash", "n_shingles", "content", "bands", "codes"],
             )
 
-    return docs.mapInArrow(build, SKETCH_SCHEMA)
+    hashed = docs.withColumn("text_hash", tables.text_hash(F.col("text")))
+    return hashed.mapInArrow(build, SKETCH_SCHEMA)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -217,16 +219,10 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(
+def _classes(
     docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
-
-    Texts without words are linked with nothing. Rows with equal sets are one
-    class; a row with a null id belongs to the class of its text, is never its
-    representative, and is kept where no row of the class has an id. Repeated
-    rows are each returned. An empty table gives no rows.
-    """
+    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row of ``docs``."""
     plain = tables.documents(docs, id_col, text_col)
     sketches = tables.stored(sketch(plain), "sketches")
     classes = (
@@ -306,11 +302,45 @@ def near_duplicates(
     rooted = classes.select("content", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("content", F.coalesce("root", "rep").alias("root"))
-    return sketches.select("doc_id", "n_shingles", "content").join(
+    return sketches.select("doc_id", "text_hash", "n_shingles", "content").join(
         rooted, "content", "left"
     ).select(
         "doc_id",
+        "text_hash",
         "n_shingles",
         F.coalesce("root", "doc_id").alias("component_id"),
         F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
     )
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+
+    Texts without words are linked with nothing. Rows with equal sets are one
+    class; a row with a null id belongs to the class of its text, is never its
+    representative, and is kept where no row of the class has an id. Repeated
+    rows are each returned. An empty table gives no rows.
+    """
+    return _classes(docs, percent, id_col, text_col).drop("text_hash")
+
+
+def one_of_each(
+    docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, columns as they were.
+
+    Of rows that repeat an id and a text one stays; so it does of rows without
+    an id that have the same text and no like with an id.
+    """
+    found = tables.stored(_classes(docs, percent, id_col, text_col), "classes-of-rows")
+    out = tables.without(
+        docs, found.where(~F.col("kept")).select("doc_id", "text_hash").distinct(), id_col, text_col
+    )
+    again = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    if again.where("n > 1").isEmpty():
+        return out
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    keys = [f"_{docs.columns.index(c)}" for c in (id_col, text_col)]
+    return out.toDF(*names).dropDuplicates(keys).toDF(*docs.columns)

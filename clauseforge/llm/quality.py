@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clauseforge.llm import tables
 from clauseforge.llm.shingles import window_hashes, words_of
@@ -168,8 +169,6 @@ def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
                 names=[*names, *MEASURES],
             )
 
-    schema = plain.schema
-    for name in MEASURES:
-        schema = schema.add(name, "bigint")
+    schema = StructType([*plain.schema.fields, *[StructField(m, LongType()) for m in MEASURES]])
     measured = plain.mapInArrow(measure, schema)
     return apply_policy(_with_bits(measured), policy).where("kept").select(*names).toDF(*docs.columns)

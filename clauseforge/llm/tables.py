@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseforge.storage import fresh_path
@@ -53,3 +53,22 @@ def stored(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast only where ``rows``, its counted size, allows it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(
+    docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows of ``keys (doc_id, text_hash)``, columns as they were."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    doc, text = (F.col(f"_{docs.columns.index(c)}") for c in (id_col, text_col))
+    keys = stored(keys.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "dropped")
+    kept = docs.toDF(*names).join(
+        small(keys, keys.count()),
+        doc.cast("bigint").eqNullSafe(F.col("_doc")) & (text_hash(text) == F.col("_hash")),
+        "left_anti",
+    )
+    return kept.toDF(*docs.columns)

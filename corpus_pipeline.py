@@ -5,19 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauseforge.llm import packing
+from clauseforge.llm import decontaminate, minhash, packing, pii, quality
 from clauseforge.llm.queries import BYTE_BPE
 from clauseforge.llm.tables import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return minhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind, and n_chars follows."""
+    clean = pii.redact(docs)
+    if "n_chars" not in clean.columns:
+        return clean
+    names = [f"_{i}" for i in range(len(clean.columns))]
+    n_chars, text = (clean.columns.index(c) for c in ("n_chars", "text"))
+    length = F.length(f"_{text}").cast(clean.schema[n_chars].dataType)
+    return clean.toDF(*names).select(
+        *[length.alias(n) if i == n_chars else F.col(n) for i, n in enumerate(names)]
+    ).toDF(*clean.columns)
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
     return packing.pack(docs, BYTE_BPE)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack_documents)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", pack_documents),
+]
 
 # Token ids are not expressible in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
