@@ -51,11 +51,18 @@ def encode_misses(misses: DataFrame, tokenizer: str, version: str) -> DataFrame:
         import pyarrow as pa
 
         counter = tokens.piece_counter(tokenizer)
+        # Rows that repeat a document meet in one task.
+        seen: set[bytes] = set()
         for batch in batches:
-            counts = [counter.count(text) for text in batch.column("text").to_pylist()]
+            contents, counts = [], []
+            for content, text in tokens.rows_of(batch, "content", "text"):
+                if content not in seen:
+                    seen.add(content)
+                    contents.append(content)
+                    counts.append(counter.count(text))
             yield pa.record_batch(
                 [
-                    batch.column("content"),
+                    pa.array(contents, pa.binary()),
                     pa.array([version] * len(counts), pa.string()),
                     pa.array(counts, pa.int64()),
                 ],
