@@ -8,9 +8,11 @@ candidates: a pair at similarity 0.75 shares none with a probability below
 6 in a million.
 
 Every bucket first tests its members against its smallest one only. Buckets
-whose members are then still in several components test the pairs across
-components, so that no pair is left out, and a group of copies costs as many
-tests as it has members.
+whose members are then in several components test those of other components
+against a member drawn by hash, another in every bucket, and again while many
+pairs are open. In the end all pairs across components that are still open are
+tested, so that no pair is left out; a group of copies costs as many tests as
+it has members in buckets.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ PERCENT = 75
 # Of the 128 two-bit values, a pair at 0.75 agrees in 104 on average with a
 # deviation of 4.4; fewer than this many has a probability of about 1 in 10^8.
 AGREEING = 79
+# Drawn members are tried while the open pairs are over so many per member of a
+# bucket, and so many times at most.
+OPEN_PAIRS, DRAWS = 4, 4
 
 
 def shingle_set(text: str):
@@ -219,6 +224,66 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, rep, root`` of the buckets that hold several components, stored."""
+    placed = members.select("band", "rep").join(
+        roots.select(F.col("node").alias("rep"), "root"), "rep", "left"
+    ).select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"))
+    return tables.stored(
+        placed.join(mixed.where("r <> s").select("band"), "band", "left_semi"), "mixed-buckets"
+    )
+
+
+def _open_pairs(members: DataFrame) -> tuple[int, int]:
+    """Pairs across components within buckets, and rows of ``members``."""
+    parts = members.groupBy("band", "root").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    sums = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    row = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
+def _across(members: DataFrame, percent: int, draw: int | None) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of one bucket and two components that may be similar.
+
+    With ``draw``, only those with the member that is drawn for the bucket.
+    """
+    two = members.select(*[F.col(c).alias(f"{c}_2") for c in members.columns])
+    if draw is None:
+        one, order = members, F.col("rep") < F.col("rep_2")
+    else:
+        key = F.xxhash64("band", "rep", F.lit(draw))
+        drawn = members.groupBy("band").agg(F.min_by("rep", key).alias("rep"))
+        one, order = members.join(drawn, ["band", "rep"], "left_semi"), F.lit(True)
+    differing = F.lit(0)
+    for i in range(2):
+        low = F.col("codes")[i].bitwiseXOR(F.col("codes_2")[i])
+        high = F.col("codes")[i + 2].bitwiseXOR(F.col("codes_2")[i + 2])
+        differing = differing + F.bit_count(low.bitwiseOR(high))
+    sizes = F.least("n_shingles", "n_shingles_2"), F.greatest("n_shingles", "n_shingles_2")
+    met = one.join(
+        two,
+        (F.col("band") == F.col("band_2")) & order & (F.col("root") != F.col("root_2"))
+        & (100 * sizes[0] >= percent * sizes[1]) & (differing <= COORDINATES - AGREEING),
+    )
+    return met.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further links between their components."""
+
+    def root_of(side: str) -> DataFrame:
+        return roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+
+    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+    )
+    over = components(ends).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    moved = roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    fresh = over.select(F.col("root").alias("node"), F.col("over").alias("root"))
+    return moved.union(fresh.join(roots.select("node"), "node", "left_anti"))
+
+
 def _classes(
     docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -254,51 +319,37 @@ def _classes(
         "shingle-sets",
     )
 
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes alone allow the similarity."""
-        a = sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"))
-        b = sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"))
-        return (
-            pairs.join(a, "a").join(b, "b")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .select("a", "b")
-        )
-
-    first = shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    links = tables.stored(_confirm(fitting(first.distinct()), sets, percent), "links")
-    roots = components(links)
-
-    # Buckets that still hold several components: the pairs across them.
-    placed = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "rep", F.coalesce("root", "rep").alias("root")
+    a = sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"))
+    b = sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"))
+    # The set sizes alone allow the similarity.
+    first = tables.stored(
+        shared.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+        .join(a, "a").join(b, "b")
+        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        .select("a", "b"),
+        "pairs",
     )
-    mixed = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    codes = reps.select("rep", "n_shingles", "codes")
-    rest = placed.join(mixed.where("r <> s").select("band"), "band", "left_semi").join(codes, "rep")
-    rest = tables.stored(rest, "mixed-buckets")
-    one, two = rest.alias("one"), rest.alias("two")
-    differing = F.lit(0)
-    for i in range(2):
-        low = F.col("one.codes")[i].bitwiseXOR(F.col("two.codes")[i])
-        high = F.col("one.codes")[i + 2].bitwiseXOR(F.col("two.codes")[i + 2])
-        differing = differing + F.bit_count(low.bitwiseOR(high))
-    across = one.join(
-        two,
-        (F.col("one.band") == F.col("two.band"))
-        & (F.col("one.rep") < F.col("two.rep"))
-        & (F.col("one.root") != F.col("two.root"))
-        & (
-            100 * F.least("one.n_shingles", "two.n_shingles")
-            >= percent * F.greatest("one.n_shingles", "two.n_shingles")
-        )
-        & (differing <= COORDINATES - AGREEING),
-    ).select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b"))
-    tried = first.distinct()
-    more = tables.stored(
-        _confirm(across.distinct().join(tried, ["a", "b"], "left_anti"), sets, percent), "links"
+    tried = first
+    roots = tables.stored(
+        components(tables.stored(_confirm(first, sets, percent), "links")), "roots"
     )
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    codes = reps.select("rep", "n_shingles", "codes")
+    members = shared.select("band", "rep")
+    for draw in range(DRAWS + 1):
+        members = _mixed(members, roots)
+        open_pairs, count = _open_pairs(members)
+        if not open_pairs:
+            break
+        last = draw == DRAWS or open_pairs <= OPEN_PAIRS * count
+        detailed = members.join(codes, "rep")
+        pairs = _across(detailed, percent, None if last else draw)
+        pairs = tables.stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = tables.stored(_confirm(pairs, sets, percent), "links")
+        if not links.isEmpty():
+            roots = tables.stored(_joined(roots, links), "roots")
+        if last:
+            break
+        tried = tried.union(pairs)
     rooted = classes.select("content", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("content", F.coalesce("root", "rep").alias("root"))
