@@ -18,9 +18,12 @@ UNIT_BITS = 36
 TILE = 512
 DIGIT_BITS = 8
 # Up to this many rows on both sides together, an uncertain value weighs
-# 0.5**(p+q) on the scale below; beyond, that weight is lost next to 1/d.
+# u = 0.5**(p+q) on the scale below. Beyond, u is smaller than any difference
+# of whole units, and a second sum per literal orders what the first leaves
+# equal: the factor of u in the relevance, in units of 2**-24.
 FINE_ROWS = 64
 FINE_BITS = 90
+SECOND_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,16 @@ class Rule:
     def fine(self) -> bool:
         return self.halves == "weighted" and self.rows <= FINE_ROWS
 
+    @property
+    def seconds(self) -> bool:
+        """Whether every literal has a second sum."""
+        return self.halves == "weighted" and not self.fine
+
+    @property
+    def sums(self) -> int:
+        """Numbers per pair of blocks: 2n, and 2n more with second sums."""
+        return (4 if self.seconds else 2) * self.width
+
     @property
     def unit_bits(self) -> int:
         return FINE_BITS if self.fine else UNIT_BITS
@@ -164,8 +177,9 @@ def _tiles(pos: Block, neg: Block):
 
 
 def relevance_sum(pos: Block, neg: Block, rule: Rule) -> np.ndarray:
-    """Relevance units of the 2n literals, over pairs with a flagged row."""
-    total = np.zeros(2 * rule.width, dtype=object)
+    """Relevance units of the 2n literals, then their second sums if the rule has
+    them, over pairs with a flagged row."""
+    total = np.zeros(rule.sums, dtype=object)
     tile = _fine_tile if rule.fine else _tile
     for left, right in _tiles(pos, neg):
         total += tile(left, right, rule)
@@ -173,11 +187,20 @@ def relevance_sum(pos: Block, neg: Block, rule: Rule) -> np.ndarray:
 
 
 def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
-    """Pairs with a flagged row, with multiplicity, at each distance 0..n."""
+    """Pairs with a flagged row, with multiplicity, at each distance 0..n.
+
+    An uncertain value differs from a certain one and not from another uncertain one.
+    """
     total = np.zeros(width + 1, dtype=object)
     for left, right in _tiles(pos, neg):
         p, n = unpack(left.ones, width), unpack(right.ones, width)
-        gap = _gap(p.astype(np.float32), n.astype(np.float32)).astype(np.intp)
+        gap = _gap(p.astype(np.float32), n.astype(np.float32))
+        if left.halves is not None:
+            ph = unpack(left.halves, width).astype(np.float32)
+            nh = unpack(right.halves, width).astype(np.float32)
+            # An uncertain value counts as 0 above: right against 1, not against 0.
+            gap = gap + ph @ (1.0 - n - nh).T + (1.0 - p - ph) @ nh.T
+        gap = gap.astype(np.intp)
         for right_shift, right_digit in _digits(right.mult):
             for left_shift, left_digit in _digits(left.mult):
                 weight = np.outer(left_digit, right_digit).ravel()
@@ -235,7 +258,7 @@ def _certain_tile(pos_mult, neg_mult, p1: np.ndarray, n1: np.ndarray) -> np.ndar
 
 def _uncertain_tile(pos: Block, neg: Block, p1, n1, rule: Rule) -> np.ndarray:
     width = rule.width
-    total = np.zeros(2 * width, dtype=object)
+    total = np.zeros(rule.sums, dtype=object)
     ph = unpack(pos.halves, width).astype(np.float32)
     nh = unpack(neg.halves, width).astype(np.float32)
     p0, n0 = 1.0 - p1 - ph, 1.0 - n1 - nh
@@ -245,9 +268,16 @@ def _uncertain_tile(pos: Block, neg: Block, p1, n1, rule: Rule) -> np.ndarray:
     loose = None
     if rule.halves == "distance":
         weight = _share(certain + touched - 2.0 * both_half)
+        per_unsure = None
     else:
+        unsure = touched - both_half
         weight = _share(certain)
-        loose = np.where(certain == 0.0, _share(touched - both_half, UNIT_BITS - 1), 0.0)
+        loose = np.where(certain == 0.0, _share(unsure, UNIT_BITS - 1), 0.0)
+        # 1 / (c + m u) = 1 / c - u m / c**2 + ...
+        per_unsure = _share(certain, SECOND_BITS - 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            less = np.rint(unsure * 2.0**SECOND_BITS / certain.astype(np.float64) ** 2)
+        less = np.where(certain == 0.0, 0.0, less)
     for right_shift, right_digit in _digits(neg.mult):
         r1, r0, rh = (m * right_digit[:, None] for m in (n1, n0, nh))
         wants_one, wants_zero = p1 * (weight @ r0), p0 * (weight @ r1)
@@ -255,10 +285,16 @@ def _uncertain_tile(pos: Block, neg: Block, p1, n1, rule: Rule) -> np.ndarray:
             h1, h0, hh = loose @ r1, loose @ r0, loose @ rh
             wants_one = wants_one + 2.0 * (p1 * hh + ph * h0) + ph * hh
             wants_zero = wants_zero + 2.0 * (p0 * hh + ph * h1) + ph * hh
+        sums = [wants_one, wants_zero]
+        if per_unsure is not None:
+            h1, h0, hh = per_unsure @ r1, per_unsure @ r0, per_unsure @ rh
+            shared = ph * hh
+            sums.append(2.0 * (p1 * hh + ph * h0) + shared - p1 * (less @ r0))
+            sums.append(2.0 * (p0 * hh + ph * h1) + shared - p0 * (less @ r1))
         for left_shift, left_digit in _digits(pos.mult):
             scale = 1 << (left_shift + right_shift)
-            total[:width] += _whole_sum(left_digit, wants_one) * scale
-            total[width:] += _whole_sum(left_digit, wants_zero) * scale
+            for i, values in enumerate(sums):
+                total[i * width : (i + 1) * width] += _whole_sum(left_digit, values) * scale
     return total
 
 

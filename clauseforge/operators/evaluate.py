@@ -20,8 +20,3 @@ def accuracy(classified: DataFrame, label: str = "label", predicted: str = "clas
     return classified.agg(
         hit.alias("hits"), rows.alias("rows"), (hit / rows).alias("accuracy")
     )
-
-
-def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    """``(label, rows)``."""
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))

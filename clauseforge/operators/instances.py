@@ -22,7 +22,7 @@ from clauseforge.functions.masks import half_columns, one_columns
 from clauseforge.functions.predicates import feature_array
 from clauseforge.operators import blocks
 from clauseforge.operators.blocks import packed_batch
-from clauseforge.storage import cut_lineage
+from clauseforge.storage import discard, keep_table
 
 # Packing travels inside the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(blocks)
@@ -31,7 +31,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CONFLICT_CHOICES = ("error", "drop")
 # Pair-literal products one task should get before a second task is worth it.
 TASK_WORK = 1 << 28
-LONG_TASK_WORK = 1 << 34
+LONG_TASK_WORK = 1 << 36
+TASK_BYTES = 128 << 20
 
 
 def split_by_label(df: DataFrame, label: str = "label", features: str = "features"):
@@ -85,8 +86,11 @@ def pack(df: DataFrame, width: int, features: str = "features", keep: list[str]
 
 
 def distinct_vectors(df: DataFrame, width: int, label: str = "label", features: str = "features") -> DataFrame:
-    """``(w*, h*, pos, neg)``, one row per distinct vector."""
-    packed = pack(df.filter(F.col(label).isin(0, 1)), width, features, keep=[label])
+    """``(w*, h*, pos, neg)``, one row per distinct vector; a label other than 0 or 1 is an error."""
+    wrong = F.raise_error(F.lit(f"a value of {label} is not 0 or 1")).cast("int")
+    checked = F.when(F.col(label).isin(0, 1), F.col(label).cast("int")).otherwise(wrong)
+    labelled = df.select(checked.alias(label), features)
+    packed = pack(labelled, width, features, keep=[label])
     return packed.groupBy(*one_columns(width), *half_columns(width)).agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) == 0).cast("bigint")).alias("neg"),
@@ -111,6 +115,7 @@ class Instances:
     negative_vectors: int
     tasks: int = 1
     parents: tuple[DataFrame, ...] = ()
+    path: str | None = None
 
     def side(self, which: str) -> DataFrame:
         """``(w*, [h*], mult)`` of one side, ``"pos"`` or ``"neg"``."""
@@ -124,8 +129,11 @@ class Instances:
         return 8 * words + 9
 
     def release(self) -> None:
+        """Let go of memory, and delete the stored table."""
         for df in (self.df, *self.parents):
             df.unpersist()
+        if self.path:
+            discard(self.df.sparkSession, self.path)
 
 
 def gather_instances(
@@ -141,7 +149,7 @@ def gather_instances(
     """Pack and count ``df`` once, keep the result, and take its totals.
 
     ``on_conflict="drop"`` leaves out vectors that carry both labels. With
-    ``durable`` the distinct table goes to the checkpoint folder, so losing an
+    ``durable`` the distinct table is stored in the shared folder, so losing an
     executor later costs a file read and not the scan and shuffle. Naming the
     ``width`` saves the look at the first row, which is a job of its own.
     """
@@ -153,8 +161,9 @@ def gather_instances(
     distinct = distinct_vectors(df, width, label, features)
     if on_conflict == "drop":
         distinct = distinct.filter((F.col("pos") == 0) | (F.col("neg") == 0))
+    path = None
     if durable:
-        distinct = cut_lineage(distinct)
+        distinct, path = keep_table(distinct, "vectors")
     elif cache:
         distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
     found = _with_totals(distinct, width)
@@ -164,15 +173,19 @@ def gather_instances(
     spaced = distinct.repartition(spread, *one_columns(width))
     if cache:
         spaced = spaced.persist(StorageLevel.MEMORY_AND_DISK)
-    return replace(found, df=spaced, tasks=spread, parents=() if durable or not cache else (distinct,))
+    return replace(
+        found, df=spaced, tasks=spread, parents=() if durable or not cache else (distinct,), path=path
+    )
 
 
 def _tasks(found: Instances, parallelism: int) -> int:
-    """As many tasks as the pair work of a full step fills: one per core at first,
-    then up to four per core, so that long tasks balance and retry cheaply."""
+    """As many tasks as the pair work of a full step fills, one per core at first,
+    and as the bytes and long work need, whatever number of cores there is now."""
+    rows = found.positive_vectors + found.negative_vectors
     work = found.positive_vectors * found.negative_vectors * 2 * found.width
     filled = min(parallelism, math.ceil(work / TASK_WORK))
-    return max(1, filled, min(4 * parallelism, math.ceil(work / LONG_TASK_WORK)))
+    by_size = math.ceil(rows * found.row_bytes / TASK_BYTES)
+    return max(1, filled, min(rows, math.ceil(work / LONG_TASK_WORK)), by_size)
 
 
 def _with_totals(distinct: DataFrame, width: int) -> Instances:

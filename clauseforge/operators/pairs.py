@@ -1,15 +1,11 @@
 """Positives against negatives, without a row per pair.
 
-Two physical forms give the same sums:
+One side is broadcast and the rows of the other stream past it where they lie,
+without a shuffle. A side that is over the byte limit is sent in pieces below
+it, one after another, each in a job of its own; rows are copied nowhere, and
+what is moved is the smaller side once per executor, however large the other.
 
-* one side broadcast: rows of the other side stream past it where they lie, with
-  no shuffle. Used only while the broadcast side is below a byte limit.
-* a grid: both sides are cut into row groups of bounded size, every
-  (positive group, negative group) cell is a key, and the two sides meet in an
-  equi-join on that key (a cogroup). Nothing is gathered anywhere.
-
-Either way a task reduces its pairs to one number per literal before anything is
-shuffled.
+A task reduces its pairs to one number per literal before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +18,7 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseforge.functions.masks import Mask, half_columns, one_columns
@@ -42,12 +38,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STRATEGIES = ("auto", "broadcast_positive", "broadcast_negative", "cross")
 BROADCAST_LIMIT = 64 * 1024 * 1024
-# Rows of one side in one grid cell. A cell moves two groups and works on their
-# product, so larger groups mean fewer bytes moved per pair; at this size a cell
-# is a few megabytes and minutes of work at most.
-GROUP_ROWS = 65536
-CELL_PAIRS = 1 << 22
-
 TALLY_SCHEMA = "key int, r decimal(38,0), pos bigint, neg bigint"
 # Partial rows the driver may add up itself; more are merged in Spark.
 DRIVER_ROWS = 1 << 16
@@ -64,6 +54,8 @@ class TableSide:
     halves: bool
     vectors: int
     tasks: int
+    # Rows of this side that may be sent at once where it is the smaller one.
+    piece_rows: int = 1 << 20
 
     def pick(self, keep: Mask, erased_by: Mask | None = None) -> TableSide:
         """Rows that meet ``keep``; flagged are all of them, or those ``erased_by`` drops."""
@@ -116,7 +108,7 @@ class ArraySide:
 def choose_strategy(
     strategy: str, positive_vectors: int, negative_vectors: int, row_bytes: int, limit: int
 ) -> str:
-    """The form to run. A broadcast that would pass ``limit`` becomes the grid."""
+    """The form to run. A broadcast that would pass ``limit`` is sent in pieces."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     fits = {
@@ -136,29 +128,30 @@ def array_side(df: DataFrame, width: int, halves: bool) -> ArraySide:
     return ArraySide(block_from_arrow(df.toArrow(), width, halves), width)
 
 
-def pair_tally(pos, neg, rule: Rule, partitions: int | None = None) -> tuple[DataFrame, object]:
+def pair_tally(pos, neg, rule: Rule) -> tuple[DataFrame, object]:
     """``(key, r, pos, neg)`` partial rows over pairs with a flagged row.
 
-    ``r`` sums relevance units per literal; ``pos`` and ``neg`` count the flagged
-    rows that meet the literal, on the sides that are distributed. Also returns
-    the broadcast to destroy after the job, if there is one.
+    ``r`` sums relevance units per literal, then second sums if the rule has
+    them; ``pos`` and ``neg`` count the flagged rows that meet the literal, on
+    the sides that are distributed. Also returns the broadcast to destroy after
+    the job, if there is one.
     """
-    return _partials(pos, neg, _RelevanceKernel(rule), partitions)
+    return _partials(pos, neg, _RelevanceKernel(rule))
 
 
 def distance_tally(pos, neg, width: int) -> DataFrame:
     """``(key, r)`` partial rows: pairs with a flagged row at each distance."""
-    return _partials(pos, neg, _DistanceKernel(width), None)[0].select("key", "r")
+    return _partials(pos, neg, _DistanceKernel(width))[0].select("key", "r")
 
 
-def _partials(pos, neg, kernel, partitions):
+def _partials(pos, neg, kernel):
     if isinstance(pos, ArraySide) and isinstance(neg, ArraySide):
         raise ValueError("at least one side has to be distributed")
     if isinstance(pos, ArraySide):
         return _against_broadcast(neg, pos, kernel, small_is_positive=True)
     if isinstance(neg, ArraySide):
         return _against_broadcast(pos, neg, kernel, small_is_positive=False)
-    return _grid(pos, neg, kernel, partitions), None
+    return _in_pieces(pos, neg, kernel), None
 
 
 @dataclass(frozen=True)
@@ -171,14 +164,15 @@ class _RelevanceKernel:
 
     @property
     def keys(self) -> int:
-        return 2 * self.rule.width
+        return self.rule.sums
 
     def sums(self, pos: Block, neg: Block):
         return relevance_sum(pos, neg, self.rule)
 
     def counts(self, block: Block):
         rows = block.take(block.flag)
-        return literal_counts(rows, self.rule.width), int(rows.mult.sum())
+        none = np.zeros(self.keys - 2 * self.width, dtype=np.int64)
+        return np.append(literal_counts(rows, self.width), none), int(rows.mult.sum())
 
 
 @dataclass(frozen=True)
@@ -242,66 +236,50 @@ def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positi
     return big.df.mapInArrow(task, TALLY_SCHEMA), sent
 
 
-def _grid(pos: TableSide, neg: TableSide, kernel, partitions) -> DataFrame:
-    spark = pos.df.sparkSession
-    most = partitions or 4 * spark.sparkContext.defaultParallelism
-    down, across = grid_shape(pos.vectors, neg.vectors, most)
-    tasks = min(most, down * across)
-    words = one_columns(pos.width) + (half_columns(pos.width) if pos.halves else [])
-    group = F.pmod(F.xxhash64(*words), F.lit(2**31 - 1))
-    columns = [*words, "mult", "flag"]
-    left = pos.df.select(*columns, _cells(group, down, across, own_is_row=True))
-    # Both sides come from one table; the aliases keep their columns apart.
-    other = neg.df.select(*[F.col(c).alias(c) for c in columns])
-    right = other.select(*columns, _cells(group, across, down, own_is_row=False))
-    # Sized by work, not bytes: an explicit number is left alone by AQE.
-    left, right = left.repartition(tasks, "cell"), right.repartition(tasks, "cell")
-    width, halves = pos.width, pos.halves
-
-    def task(key, left_rows, right_rows):
-        cell = key[0].as_py()
-        a = block_from_arrow(left_rows, width, halves)
-        b = block_from_arrow(right_rows, width, halves)
-        # Each row is copied to many cells but counted in the first one only.
-        pos_counts = kernel.counts(a) if cell % across == 0 else _nothing(kernel)
-        neg_counts = kernel.counts(b) if cell // across == 0 else _nothing(kernel)
-        return pa.Table.from_batches([_rows(kernel, kernel.sums(a, b), pos_counts, neg_counts)])
-
-    return (
-        left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(task, TALLY_SCHEMA)
-    )
+def piece_count(rows: int, piece_rows: int) -> int:
+    return max(1, math.ceil(rows / max(1, piece_rows)))
 
 
-def _cells(group: Column, own: int, other: int, own_is_row: bool) -> Column:
-    """One output row per cell that needs this row."""
-    mine = F.pmod(group, F.lit(own)).cast("int")
-    theirs = F.sequence(F.lit(0), F.lit(other - 1))
-    if own_is_row:
-        cells = F.transform(theirs, lambda j: mine * F.lit(other) + j)
-    else:
-        cells = F.transform(theirs, lambda i: i * F.lit(own) + mine)
-    return F.explode(cells).alias("cell")
-
-
-def grid_shape(pos_rows: int, neg_rows: int, tasks: int) -> tuple[int, int]:
-    """Row groups per side: bounded in rows, and enough cells to spread the work."""
-    pos_rows, neg_rows = max(pos_rows, 1), max(neg_rows, 1)
-    down, across = math.ceil(pos_rows / GROUP_ROWS), math.ceil(neg_rows / GROUP_ROWS)
-    wanted = min(4 * tasks, math.ceil(pos_rows * neg_rows / CELL_PAIRS))
-    while down * across < wanted:
-        if pos_rows / down >= neg_rows / across:
-            down += 1
-        else:
-            across += 1
-    return down, across
+def _in_pieces(pos: TableSide, neg: TableSide, kernel) -> DataFrame:
+    """Both sides distributed: the smaller one is fetched and sent piece by piece.
+
+    The driver holds one piece and the running sums, one number per key.
+    """
+    small_is_positive = pos.vectors <= neg.vectors
+    small, big = (pos, neg) if small_is_positive else (neg, pos)
+    pieces = piece_count(small.vectors, small.piece_rows)
+    words = one_columns(small.width) + (half_columns(small.width) if small.halves else [])
+    piece = F.pmod(F.xxhash64(*words), F.lit(pieces))
+    keys = kernel.keys + 1
+    sums, small_counts, big_counts = [0] * keys, np.zeros(keys, object), np.zeros(keys, object)
+    for number in range(pieces):
+        rows = small.df.where(piece == number) if pieces > 1 else small.df
+        held = block_from_arrow(rows.toArrow(), small.width, small.halves)
+        if len(held):
+            per_key, total = kernel.counts(held)
+            small_counts += np.append(per_key, total).astype(object)
+        elif number:
+            continue
+        part, sent = _against_broadcast(big, ArraySide(held, small.width), kernel, small_is_positive)
+        for row in merged(part).collect():
+            at = row["key"] if row["key"] != TOTALS else keys - 1
+            sums[at] += int(row["r"])
+            # Every piece meets the whole of the other side; it counts once.
+            if number == 0:
+                big_counts[at] += row["neg"] if small_is_positive else row["pos"]
+        sent.destroy()
+    p, n = (small_counts, big_counts) if small_is_positive else (big_counts, small_counts)
+    rows = [
+        (k if k < keys - 1 else TOTALS, Decimal(sums[k]), int(p[k]), int(n[k])) for k in range(keys)
+    ]
+    return pos.df.sparkSession.createDataFrame(rows, TALLY_SCHEMA)
 
 
 def fetch_tally(partials: DataFrame, pos, neg, width: int) -> list:
     """The partial rows on the driver: one row per key and task while those are few,
     else merged to one row per key first."""
-    table = next((s for s in (pos, neg) if isinstance(s, TableSide)), None)
-    broadcast = isinstance(pos, ArraySide) or isinstance(neg, ArraySide)
-    if broadcast and table.tasks * (2 * width + 1) <= DRIVER_ROWS:
+    tables = [s for s in (pos, neg) if isinstance(s, TableSide)]
+    if len(tables) == 2 or tables[0].tasks * (4 * width + 1) <= DRIVER_ROWS:
         return partials.collect()
     return merged(partials).collect()
 

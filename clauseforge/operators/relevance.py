@@ -53,8 +53,9 @@ def sides(
         tasks = instances.tasks
         if partitions and partitions > 0 and partitions != tasks:
             df, tasks = df.repartition(partitions).persist(), partitions
-        return TableSide(df, instances.width, instances.halves, vectors, tasks)
+        return TableSide(df, instances.width, instances.halves, vectors, tasks, piece_rows)
 
+    piece_rows = max(1, limit // instances.row_bytes)
     return (
         side("pos", instances.positive_vectors, chosen == "broadcast_positive", positive_partitions),
         side("neg", instances.negative_vectors, chosen == "broadcast_negative", negative_partitions),
@@ -86,7 +87,8 @@ def relevance(
 
 def _by_literal(instances: Instances, partials: DataFrame) -> DataFrame:
     spark = instances.df.sparkSession
-    rows = merged(partials.filter(F.col("key") != TOTALS).unionByName(empty_keys(spark, 2 * instances.width)))
+    literals = F.col("key").between(0, 2 * instances.width - 1)
+    rows = merged(partials.filter(literals).unionByName(empty_keys(spark, 2 * instances.width)))
     return rows.select(F.col("key").alias("lit"), "r")
 
 
@@ -97,20 +99,24 @@ def relevance_after(
     term: dict[int, int] | None = None,
     strategy: str = "auto",
     limit: int = BROADCAST_LIMIT,
+    halves: str | None = None,
 ) -> DataFrame:
     """``(lit, r)`` after one more literal, from the relevance ``before`` it.
 
     The pairs that are lost are those with an erased row on either side, so
     R(kept x kept) = R(all x all) - R(pairs with an erased row). Cheaper than
-    starting over while fewer than half of the pairs are lost.
+    starting over while fewer than half of the pairs are lost. Uncertain values
+    need ``halves="distance"``: where they add relevance, their weight changes
+    with the rows that are left.
     """
-    if instances.halves:
-        raise ValueError("relevance can only be carried forward on 0/1 data")
+    if instances.halves and halves != "distance":
+        raise ValueError("with uncertain values, only distance-weighted relevance is carried forward")
     feature, want = split_literal(literal, instances.width)
     pos, neg = sides(instances, strategy, limit)
     keep = Mask.of(term or {}, instances.width)
     chosen = Mask.of({feature: want}, instances.width)
-    partials, _ = pair_tally(pos.pick(keep, chosen), neg.pick(keep, chosen), Rule(instances.width))
+    rule = Rule(instances.width, halves if instances.halves else None)
+    partials, _ = pair_tally(pos.pick(keep, chosen), neg.pick(keep, chosen), rule)
     lost = partials.filter(F.col("key") != TOTALS).select(
         F.col("key").alias("lit"), (-F.col("r")).cast("decimal(38,0)").alias("r")
     )
@@ -131,8 +137,6 @@ def pair_distances(
     limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """``(d, pairs)``: positive/negative pairs at each number of differing features."""
-    if instances.halves:
-        raise ValueError("pair distances are counted on 0/1 data")
     pos, neg = sides(instances, strategy, limit)
     mask = Mask.of(term or {}, instances.width)
     partials = distance_tally(pos.pick(mask), neg.pick(mask), instances.width)

@@ -33,6 +33,13 @@ PART_RULE = (
 )
 
 
+# A document is positive by this rule over its features.
+DOCUMENT_RULE = (
+    "(lang = 'de' AND array_contains(__words, 'und')) OR "
+    "(lang = 'en' AND array_contains(__words, 'with') AND NOT array_contains(__words, 'by'))"
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -129,8 +136,16 @@ def document_features(documents: DataFrame) -> DataFrame:
     return found.withColumn("features", F.array(*[indicator(t) for t in tests])).drop("__words")
 
 
-def document_instances(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
-    """``(id, label, features)`` of the labelled documents."""
+def document_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, label, features)`` of all documents, with a label that follows a known rule."""
+    documents = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    named = documents.withColumn("__words", document_words(F.col("text")))
+    ruled = named.withColumn("label", F.when(F.expr(DOCUMENT_RULE), 1).otherwise(0)).drop("__words")
+    return document_features(ruled).select(F.col("doc_id").alias("id"), "label", "features")
+
+
+def judged_document_instances(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
+    """``(id, label, features)`` of the labelled documents; some vectors carry both labels."""
     documents = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
     return document_features(documents.join(labels, "doc_id")).select(

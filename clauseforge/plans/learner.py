@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseforge.errors import EmptySideError, InconsistentDataError, NoProgressError
+from clauseforge.errors import InconsistentDataError, NoProgressError
 from clauseforge.functions.masks import Mask
 from clauseforge.functions.predicates import split_literal
 from clauseforge.operators.blocks import Rule
@@ -42,7 +42,7 @@ from clauseforge.operators.pairs import (
 )
 from clauseforge.operators.relevance import sides
 from clauseforge.plans.model import RuleModel
-from clauseforge.storage import cut_lineage
+from clauseforge.storage import discard, keep_table
 
 log = logging.getLogger(__name__)
 
@@ -75,6 +75,7 @@ class _State:
     """Per-literal sums over the current positives and negatives."""
 
     r: np.ndarray
+    second: np.ndarray
     pos: np.ndarray
     neg: np.ndarray
     p: int
@@ -84,12 +85,13 @@ class _State:
 
     def minus(self, lost: _State, p: int, q: int, rule: Rule) -> _State:
         return _State(
-            self.r - lost.r, self.pos - lost.pos, self.neg - lost.neg, p, q, rule, carried=True
+            self.r - lost.r, self.second - lost.second, self.pos - lost.pos, self.neg - lost.neg,
+            p, q, rule, carried=True,
         )
 
     def best(self) -> int:
-        """Index of the largest relevance; the lowest index wins a tie."""
-        return max(range(len(self.r)), key=lambda k: (self.r[k], -k))
+        """Index of the largest relevance; second sums, then the lowest index, decide a tie."""
+        return max(range(len(self.r)), key=lambda k: (self.r[k], self.second[k], -k))
 
 
 class _Training:
@@ -112,6 +114,7 @@ class _Training:
         self.p, self.q = instances.positives, instances.negatives
         self.trace: list[Step] = []
         self._owned: DataFrame | None = None
+        self._owned_path: str | None = None
 
     def rule(self, p: int, q: int) -> Rule:
         return Rule(self.width, self.halves, p + q)
@@ -132,15 +135,15 @@ class _Training:
                 sent.destroy()
         size = 2 * self.width
         state = _State(
-            np.zeros(size, dtype=object),
-            np.zeros(size, dtype=object),
-            np.zeros(size, dtype=object),
+            *[np.zeros(size, dtype=object) for _ in range(4)],
             p,
             q,
             rule,
         )
         for row in rows:
-            if row["key"] != TOTALS:
+            if row["key"] >= size:
+                state.second[row["key"] - size] += int(row["r"])
+            elif row["key"] != TOTALS:
                 state.r[row["key"]] += int(row["r"])
                 state.pos[row["key"]] += row["pos"]
                 state.neg[row["key"]] += row["neg"]
@@ -238,17 +241,21 @@ class _Training:
 
     def _cut_if_due(self, term_no: int) -> None:
         if isinstance(self.pos, TableSide) and term_no % TERMS_PER_CUT == 0:
-            earlier = self._owned
-            self._owned = cut_lineage(self.pos.df).persist(StorageLevel.MEMORY_AND_DISK)
+            earlier, earlier_path = self._owned, self._owned_path
+            kept, self._owned_path = keep_table(self.pos.df, "left")
+            self._owned = kept.repartition(self.pos.tasks).persist(StorageLevel.MEMORY_AND_DISK)
             self.pos = replace(self.pos, df=self._owned)
             if earlier is not None:
                 earlier.unpersist()
+                discard(kept.sparkSession, earlier_path)
 
     def release(self) -> None:
         held = [side.df for side in self._originals if isinstance(side, TableSide)]
         for df in (self._owned, *held):
             if df is not None and df.is_cached:
                 df.unpersist()
+        if self._owned_path:
+            discard(self._owned.sparkSession, self._owned_path)
 
 
 def _bounded(side, rows: int):
@@ -351,9 +358,6 @@ def fit(
     **options,
 ) -> RuleModel:
     """Learn from a positive and a negative set, each with a ``features`` column."""
-    for name, side in (("positive", positive), ("negative", negative)):
-        if side.isEmpty():
-            raise EmptySideError(f"the {name} DataFrame is empty")
     return fit_labelled(
         union_sides(positive, negative), verbose=verbose, use_cache=use_cache, **options
     )

@@ -66,9 +66,8 @@ class RuleModel:
 
     def _mask_predicate(self, features: Column) -> Column:
         words = range(word_count(self.width))
-        possible = F.array(
-            *[pack_word(features, i, 1.0).bitwiseOR(pack_word(features, i, 0.5)) for i in words]
-        )
+        # What is not 0 is possible; what is 1 is sure.
+        possible = F.array(*[F.bitwise_not(pack_word(features, i, 0.0)) for i in words])
         sure = F.array(*[pack_word(features, i, 1.0) for i in words])
         row = F.struct(possible.alias("possible"), sure.alias("sure"))
         terms = F.array(*[self._term_literal(t) for t in self.terms])
@@ -94,14 +93,15 @@ class RuleModel:
     def transform(self, instances: DataFrame, features: str = "features") -> DataFrame:
         """``instances`` with ``class``: 1.0 where a term is not contradicted, else 0.0.
 
-        One projection without a shuffle, for batch and streaming tables alike.
+        One projection without a shuffle, for batch and streaming tables alike. A
+        row of another width, or with other values or nulls, is an error.
         """
         values = feature_array(instances, features)
         accepted = F.when(self.predicate(values), F.lit(1.0)).otherwise(F.lit(0.0))
-        message = F.lit(f"a feature vector does not have {self.width} values")
-        checked = F.when(F.size(values) == self.width, accepted).otherwise(
-            F.raise_error(message).cast("double")
-        )
+        message = F.lit(f"a feature vector is not {self.width} values of 0, 0.5 or 1")
+        # A null value makes the test null, which is not true either.
+        sound = (F.size(values) == self.width) & F.forall(values, lambda x: x.isin(0.0, 0.5, 1.0))
+        checked = F.when(sound, accepted).otherwise(F.raise_error(message).cast("double"))
         return instances.withColumn("class", checked)
 
     def save(self, spark: SparkSession, path: str, fmt: str = "parquet") -> None:

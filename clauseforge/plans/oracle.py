@@ -50,9 +50,21 @@ _DOCUMENTS = (
     "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+') AS words "
     "FROM documents d JOIN labels USING (doc_id))"
 )
-DOCUMENT_ROWS = (
+JUDGED_ROWS = (
     f"SELECT doc_id AS id, quality AS label, {_bits(DOCUMENT_TESTS)} AS bits FROM {_DOCUMENTS}"
 )
+_ALL_DOCUMENTS = (
+    "(SELECT doc_id, lang, string_split_regex(translate(text, "
+    "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+') AS words FROM documents)"
+)
+_DOCUMENT_RULE = (
+    "(lang = 'de' AND list_contains(words, 'und')) OR "
+    "(lang = 'en' AND list_contains(words, 'with') AND NOT list_contains(words, 'by'))"
+)
+DOCUMENT_ROWS = (
+    f"SELECT doc_id AS id, CASE WHEN {_DOCUMENT_RULE} THEN 1 ELSE 0 END AS label, "
+    f"{_bits(DOCUMENT_TESTS)} AS bits FROM {_ALL_DOCUMENTS}"
+)
 
 
 LINE_ROWS = f"SELECT (l_returnflag = 'R')::INTEGER AS label, {_bits(LINE_TESTS)} AS bits FROM lineitem"
@@ -119,17 +131,20 @@ rel AS (
 SELECT lit, CAST(r AS VARCHAR) AS r FROM rel"""
 
 
-def _uncertain_relevance(width: int, weighted: bool) -> str:
+_SIZES = sum(1 << k for k in range(len(PART_TYPES), len(PART_TYPES) + 5))
+_UNCERTAIN_ROWS = f"""
+SELECT label, CASE WHEN p_size > 40 THEN bits & ~{_SIZES}::BIGINT ELSE bits END AS one,
+       CASE WHEN p_size > 40 THEN {_SIZES}::BIGINT ELSE 0 END AS half
+FROM ({PART_ROWS}) JOIN part ON id = p_partkey"""
+
+
+def _uncertain_relevance(width: int, weighted: bool, where: str = "true") -> str:
     """Three-valued rows: ``one`` and ``half`` bit sets, more than 64 rows in all.
 
     A pair with certain differences shares one unit over those. With ``weighted``,
     a pair with uncertain differences only shares it over them instead.
     """
-    sizes = sum(1 << k for k in range(len(PART_TYPES), len(PART_TYPES) + 5))
-    rows = f"""
-SELECT label, CASE WHEN p_size > 40 THEN bits & ~{sizes}::BIGINT ELSE bits END AS one,
-       CASE WHEN p_size > 40 THEN {sizes}::BIGINT ELSE 0 END AS half
-FROM ({PART_ROWS}) JOIN part ON id = p_partkey"""
+    rows = f"SELECT * FROM ({_UNCERTAIN_ROWS}) WHERE {where}"
     gap = "bit_count(to_one | to_zero)"
     if weighted:
         weight = f"CASE WHEN c > 0 THEN round({UNIT}::DOUBLE / c) ELSE 0 END"
@@ -161,6 +176,101 @@ SELECT lit, CAST(r AS VARCHAR) AS r FROM (
   FROM lits, weights GROUP BY k)"""
 
 
+def _uncertain_fit(width: int, select: str) -> str:
+    """The whole training over three-valued rows, from the definition.
+
+    With u = 0.5**(p+q), a pair of c certain and m uncertain differences is at
+    distance c + m u; a literal on a certain one gains 1 and on an uncertain one u
+    of it, half of that where both values are uncertain. While u can be told from
+    0 in a double sum the relevance is that sum. For more rows the exact order is
+    that of its limit for small u (``r``), then of the factor of u (``s``).
+    """
+
+    def meets(one: str, half: str, ones: str, zeros: str) -> str:
+        return f"({one} & {ones}) = {ones} AND (({one} | {half}) & {zeros}) = 0"
+
+    def gone(one: str, half: str, done: str) -> str:
+        allows = f"(({one} | {half}) & t.o) = t.o AND ({one} & t.z) = 0"
+        return f"len(list_filter({done}, lambda t: {allows})) > 0"
+
+    def has(name: str) -> str:
+        return (
+            f"(CASE WHEN lits.lit < {width} THEN (to_one{name} >> lits.lit) & 1 "
+            f"ELSE (to_zero{name} >> (lits.lit - {width})) & 1 END)"
+        )
+
+    bit = f"(1::BIGINT << (lit % {width}))"
+    is_open = "p > 0 AND q > 0"
+    both = f"((shared >> (lits.lit % {width})) & 1)"
+    u = "power(0.5, n)"
+    exact = (
+        f"CASE WHEN c + m = 0 THEN 0 ELSE ({has('')} + {u} * {has('_half')} + {u} / 2 * {both}) / (c + m * {u}) END"
+    )
+    first = (
+        f"CASE WHEN c > 0 THEN {has('')} * round({UNIT}::DOUBLE / c) WHEN m > 0 THEN "
+        f"(2 * {has('_half')} + {both}) * round({UNIT // 2}::DOUBLE / m) ELSE 0 END"
+    )
+    second = (
+        f"CASE WHEN c > 0 THEN (2 * {has('_half')} + {both}) * round({1 << 23}::DOUBLE / c) "
+        f"- {has('')} * round(m * {1 << 24}::DOUBLE / (c * c)) ELSE 0 END"
+    )
+    return f"""
+WITH RECURSIVE inst AS MATERIALIZED (
+  SELECT label, one, half, count(*) AS w FROM ({_UNCERTAIN_ROWS}) GROUP BY ALL),
+sets AS (
+  SELECT p.one AS po, p.half AS ph, n.one AS no, n.half AS nh, p.w * n.w AS w,
+         p.one & ~n.one & ~n.half AS to_one, n.one & ~p.one & ~p.half AS to_zero,
+         (p.one & n.half) | (p.half & ~n.one & ~n.half) AS to_one_half,
+         (n.half & ~p.one & ~p.half) | (p.half & n.one) AS to_zero_half, p.half & n.half AS shared
+  FROM inst p, inst n WHERE p.label = 1 AND n.label = 0),
+pairs AS MATERIALIZED (
+  SELECT *, bit_count(to_one | to_zero) AS c, bit_count(to_one_half | to_zero_half | shared) AS m FROM sets),
+lits AS MATERIALIZED (SELECT unnest(range(0, {2 * width}))::INTEGER AS lit),
+fit AS (
+  SELECT 0 AS term_no, 0 AS step, -1 AS lit, 0::BIGINT AS p, 0::BIGINT AS q,
+         (SELECT sum(w)::BIGINT FROM inst) AS n, 0::BIGINT AS ones, 0::BIGINT AS zeros,
+         []::STRUCT(o BIGINT, z BIGINT)[] AS done, 1 AS next_term, true AS more
+  UNION ALL
+  SELECT term_no, step, lit, p, q, CASE WHEN {is_open} THEN p + q ELSE rest + negatives END,
+         CASE WHEN {is_open} THEN o ELSE 0 END, CASE WHEN {is_open} THEN z ELSE 0 END,
+         CASE WHEN {is_open} THEN done ELSE list_append(done, {{'o': o, 'z': z}}) END,
+         CASE WHEN {is_open} THEN term_no ELSE term_no + 1 END,
+         ({is_open}) OR rest > 0
+  FROM (
+    SELECT any_value(term_no) AS term_no, any_value(step) AS step, any_value(lit) AS lit,
+           any_value(o) AS o, any_value(z) AS z, any_value(done) AS done,
+           coalesce(sum(w) FILTER (WHERE label = 1 AND NOT gone AND {meets('one', 'half', 'o', 'z')}), 0)::BIGINT AS p,
+           coalesce(sum(w) FILTER (WHERE label = 0 AND {meets('one', 'half', 'o', 'z')}), 0)::BIGINT AS q,
+           coalesce(sum(w) FILTER (WHERE label = 0), 0)::BIGINT AS negatives,
+           coalesce(sum(w) FILTER (WHERE label = 1 AND NOT gone AND NOT allowed), 0)::BIGINT AS rest
+    FROM (
+      SELECT c.*, i.label, i.one, i.half, i.w, {gone('i.one', 'i.half', 'c.done')} AS gone,
+             ((i.one | i.half) & c.o) = c.o AND (i.one & c.z) = 0 AS allowed
+      FROM (
+        SELECT *, CASE WHEN lit < {width} THEN ones | {bit} ELSE ones END AS o,
+                  CASE WHEN lit < {width} THEN zeros ELSE zeros | {bit} END AS z
+        FROM (
+          SELECT lits.lit, any_value(next_term) AS term_no, any_value(step) + 1 AS step,
+                 any_value(ones) AS ones, any_value(zeros) AS zeros, any_value(done) AS done,
+                 round(CASE WHEN any_value(n) <= 64 THEN {1 << 40}::DOUBLE * sum(w * ({exact}))
+                   ELSE sum(CAST(w * ({first}) AS HUGEINT)) END)::HUGEINT AS r,
+                 CASE WHEN any_value(n) <= 64 THEN 0 ELSE sum(CAST(w * ({second}) AS HUGEINT)) END AS s
+          FROM (
+            SELECT s.step, s.ones, s.zeros, s.done, s.next_term, s.n, pairs.*
+            FROM fit s JOIN pairs
+              ON {meets('po', 'ph', 's.ones', 's.zeros')} AND {meets('no', 'nh', 's.ones', 's.zeros')}
+             AND NOT ({gone('po', 'ph', 's.done')})
+            WHERE s.more
+          ), lits
+          GROUP BY lits.lit
+        ) ORDER BY r DESC, s DESC, lit LIMIT 1
+      ) c, inst i
+    ) HAVING count(*) > 0
+  )
+)
+{select}"""
+
+
 def _fit(rows: str, width: int, select: str) -> str:
     """The whole training as a recursive query, one row per chosen literal.
 
@@ -247,7 +357,6 @@ PART_WIDTH = len(PART_TESTS)
 DOCUMENT_WIDTH = len(DOCUMENT_TESTS)
 PROMO = "p_type = 'PROMO'"
 PART_LABEL = f"CASE WHEN {PART_RULE} THEN 1 ELSE 0 END"
-DOCUMENTS_KEPT = _consistent(DOCUMENT_ROWS)
 
 _PART_RELEVANCE = _relevance(PART_ROWS, PART_WIDTH)
 _PART_TERMS = _fit(PART_ROWS, PART_WIDTH, _terms(PART_WIDTH))
@@ -260,6 +369,19 @@ _CHARACTERS = (
     "FROM (SELECT string_split(text, '') AS chars FROM documents))"
 )
 
+_JUDGED = (
+    f"(SELECT (({PART_LABEL}) + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 2 AS label, "
+    "CASE WHEN p_type = 'ECONOMY' OR (p_type = 'PROMO' AND p_size % 5 <> 1) THEN 1.0 ELSE 0.0 END::DOUBLE "
+    "AS class FROM part)"
+)
+_MANY = " OR ".join(
+    [f"({PART_TESTS[t]} AND {PART_TESTS[11 + w]})" for t in range(6) for w in range(16) if (t + w) % 3 != 0]
+    + [
+        f"({PART_TESTS[6 + r]} AND {PART_TESTS[11 + w]} AND NOT {PART_TESTS[11 + (w + 5) % 16]})"
+        for r in range(5) for w in range(16) if (r + w) % 2
+    ]
+)
+
 ORACLE = {
     "split_counts": f"SELECT label, count(*) AS rows FROM ({PART_ROWS}) GROUP BY label",
     "literal_match": f"SELECT p_partkey AS id, {PART_LABEL} AS label FROM part WHERE {PROMO}",
@@ -290,10 +412,14 @@ ORACLE = {
     ),
     "text_source": (
         "SELECT toxic AS label, translate(text, chr(13) || chr(10), '  ') AS seq, count(*) AS rows "
-        "FROM documents JOIN labels USING (doc_id) WHERE text <> '' GROUP BY ALL"
+        "FROM documents JOIN labels USING (doc_id) GROUP BY ALL"
     ),
     "pair_distance": _distances(PART_ROWS),
     "pair_distance_documents": _distances(DOCUMENT_ROWS),
+    "pair_distance_uncertain": f"""
+WITH inst AS MATERIALIZED ({_UNCERTAIN_ROWS})
+SELECT bit_count(xor(p.one, n.one) | xor(p.half, n.half))::INTEGER AS d, CAST(count(*) AS VARCHAR) AS pairs
+FROM inst p, inst n WHERE p.label = 1 AND n.label = 0 GROUP BY 1""",
     "pair_distance_lineitem": (
         f"WITH {_counted_pairs(LINE_ROWS)} SELECT d, CAST(sum(m) AS VARCHAR) AS pairs FROM pairs GROUP BY d"
     ),
@@ -305,7 +431,8 @@ ORACLE = {
     "relevance_broadcast_positive": _PART_RELEVANCE,
     "relevance_broadcast_negative": _PART_RELEVANCE,
     "relevance_grid": _PART_RELEVANCE,
-    "relevance_documents": _relevance(DOCUMENTS_KEPT, DOCUMENT_WIDTH),
+    "relevance_documents": _relevance(DOCUMENT_ROWS, DOCUMENT_WIDTH),
+    "relevance_documents_drop": _relevance(_consistent(JUDGED_ROWS), DOCUMENT_WIDTH),
     "relevance_lineitem": _counted_relevance(LINE_ROWS, len(LINE_TESTS)),
     "relevance_uncertain": _uncertain_relevance(PART_WIDTH, True),
     "relevance_uncertain_distance": _uncertain_relevance(PART_WIDTH, False),
@@ -314,13 +441,17 @@ ORACLE = {
         f"SELECT count(*) FILTER (WHERE {PART_LABEL} = 1) AS p, "
         f"count(*) FILTER (WHERE {PART_LABEL} = 0) AS q FROM part WHERE {PROMO}"
     ),
+    "relevance_update_uncertain": _uncertain_relevance(PART_WIDTH, False, "(one >> 3) & 1 = 1"),
     "relevance_update": _relevance(PART_ROWS, PART_WIDTH, "(bits >> 3) & 1 = 1"),
     "first_term_trace": _fit(PART_ROWS, PART_WIDTH, _TRACE),
-    "first_term_trace_documents": _fit(DOCUMENTS_KEPT, DOCUMENT_WIDTH, _TRACE),
+    "first_term_trace_documents": _fit(DOCUMENT_ROWS, DOCUMENT_WIDTH, _TRACE),
     "learned_terms": _PART_TERMS,
     "learned_terms_broadcast_negative": _PART_TERMS,
     "learned_terms_grid": _PART_TERMS,
-    "learned_terms_documents": _fit(DOCUMENTS_KEPT, DOCUMENT_WIDTH, _terms(DOCUMENT_WIDTH)),
+    "learned_terms_documents": _fit(DOCUMENT_ROWS, DOCUMENT_WIDTH, _terms(DOCUMENT_WIDTH)),
+    "learned_terms_uncertain": _uncertain_fit(PART_WIDTH, _terms(PART_WIDTH)),
+    "fit_two_sets": _PART_TERMS,
+    "train_job_partitions": _PART_TERMS,
     "formula_terms": _fit(PART_ROWS, PART_WIDTH, _term_texts(PART_WIDTH)),
     "model_metadata": _fit(
         PART_ROWS,
@@ -339,6 +470,13 @@ ORACLE = {
         "AS class FROM orders"
     ),
     "classify_reloaded": _CLASSES,
+    "classify_many_terms": (
+        f"SELECT p_partkey AS id, CASE WHEN {_MANY} THEN 1.0 ELSE 0.0 END::DOUBLE AS class FROM part"
+    ),
+    "classify_held_out": (
+        f"SELECT p_partkey AS id, {PART_LABEL} AS label, ({PART_LABEL})::DOUBLE AS class FROM part "
+        "WHERE p_partkey % 5 = 0"
+    ),
     "classify_csv_model": _CLASSES,
     "saved_term_rows": _fit(
         PART_ROWS,
@@ -348,10 +486,13 @@ ORACLE = {
         "FROM (SELECT unnest(done) AS t FROM fit WHERE NOT more), "
         f"(SELECT unnest(range(0, {PART_WIDTH}))::INTEGER AS k)) GROUP BY ALL",
     ),
-    "confusion": (
-        f"SELECT label, label::DOUBLE AS class, count(*) AS rows FROM ({PART_ROWS}) GROUP BY ALL"
+    "confusion": f"SELECT label, class, count(*) AS rows FROM {_JUDGED} GROUP BY ALL",
+    "accuracy": (
+        "SELECT count(*) FILTER (WHERE label = class) AS hits, count(*) AS rows, "
+        "floor(count(*) FILTER (WHERE label = class) / count(*) * 1000000)::BIGINT AS per_million "
+        f"FROM {_JUDGED}"
     ),
-    "accuracy": "SELECT count(*) AS hits, count(*) AS rows FROM part",
+    "stream_user_counts": "SELECT user_id::VARCHAR AS seq, count(*) AS rows FROM events GROUP BY 1",
     "stream_counts": "SELECT event_type AS seq, count(*) AS rows FROM events GROUP BY 1",
     "stream_classify": _CLASSES,
 }

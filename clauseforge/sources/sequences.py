@@ -8,9 +8,8 @@ from pyspark.sql.types import StructType
 
 
 def read_sequences(spark: SparkSession, path: str, label: int | None = None) -> DataFrame:
-    """One sequence per line as ``seq``; with ``label``, a constant column beside it."""
+    """One sequence per line as ``seq``, empty lines too; with ``label``, a constant column beside it."""
     rows = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("seq"))
-    rows = rows.filter(F.col("seq") != "")
     return rows if label is None else rows.withColumn("label", F.lit(label))
 
 

@@ -1,4 +1,4 @@
-"""Shared folders and lineage cuts."""
+"""Shared folders, and tables kept there."""
 
 from __future__ import annotations
 
@@ -11,29 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) is a local folder
-    made; it is then also given to the context as its checkpoint folder.
+    Only with a local master, where driver and executors are one machine, is a
+    folder made when the setting is absent; a cluster without it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
+    current = context.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clauseforge-"))
-        current = spark.sparkContext.getCheckpointDir()
+        if not is_local(context.master):
+            raise ValueError(
+                f"spark.checkpoint.dir must name a folder that all executors of {context.master} share"
+            )
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="clauseforge-"))
+        current = context.getCheckpointDir()
     return current.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def keep_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as parquet to the shared folder; the table read back, and its path.
+
+    The files end the lineage, and filters and column choices reach them.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`keep_table` wrote."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

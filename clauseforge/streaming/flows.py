@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,24 @@ def to_memory(stream: DataFrame, name: str, checkpoint: str | None = None, once:
     return _start(writer, checkpoint, once)
 
 
+def to_keyed(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep the counts that each batch changes as files under ``path``, one folder per batch.
+
+    A batch that runs again writes its folder anew. Nothing of the result passes
+    through the driver, however many keys there are; :func:`read_keyed` reads it.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _start(stream.writeStream.outputMode("update").foreachBatch(write), checkpoint, once)
+
+
+def read_keyed(spark: SparkSession, path: str, key: str = "seq") -> DataFrame:
+    """``(key, count)`` as of the last batch that changed each key; counts only grow."""
+    return spark.read.parquet(path).groupBy(key).agg(F.max("count").alias("count"))
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append rows to parquet files, each input row exactly once."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)

