@@ -110,6 +110,21 @@ def lineitem_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_detail_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines against the others, with tens of thousands of distinct vectors per side."""
+    lines = table(spark, sf_dir, "lineitem")
+    tests = (
+        [F.col("l_quantity") == x for x in range(1, 51)]
+        + [F.round(F.col("l_discount") * 100).cast("int") == x for x in LINE_PERCENTS]
+        + [F.round(F.col("l_tax") * 100).cast("int") == x for x in range(9)]
+        + [F.col("l_linenumber") == x for x in LINE_NUMBERS]
+    )
+    return lines.select(
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.array(*[indicator(t) for t in tests]).alias("features"),
+    )
+
+
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, label, seq)``: order dates as ten-character sequences; March and December are positive."""
     orders = table(spark, sf_dir, "orders")
