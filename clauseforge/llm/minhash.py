@@ -8,11 +8,11 @@ candidates: a pair at similarity 0.75 shares none with a probability below
 6 in a million.
 
 Every bucket first tests its members against its smallest one only. Buckets
-whose members are then in several components test those of other components
-against a member drawn by hash, another in every bucket, and again while many
-pairs are open. In the end all pairs across components that are still open are
-tested, so that no pair is left out; a group of copies costs as many tests as
-it has members in buckets.
+whose members are then still in several components test the pairs across
+components, so that no pair is left out. Before such a pair becomes a row it is
+screened: its sets' sizes, the two-bit agreement of its signatures, and, for sets
+of up to 512 shingles, the bits in which hashed pictures of the sets differ. Each
+such bit is a shingle that only one set has, so that screen loses nothing.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ PERCENT = 75
 # Of the 128 two-bit values, a pair at 0.75 agrees in 104 on average with a
 # deviation of 4.4; fewer than this many has a probability of about 1 in 10^8.
 AGREEING = 79
-# Drawn members are tried while the open pairs are over so many per member of a
-# bucket, and so many times at most.
-OPEN_PAIRS, DRAWS = 4, 4
+# Bits of the picture of a set, and the largest set that has one.
+PICTURE_BITS, PICTURE_SHINGLES = 1024, 512
 
 
 def shingle_set(text: str):
@@ -92,8 +91,17 @@ def _short_codes(values):
     return np.ascontiguousarray(packed).view("<i8")
 
 
+def _picture(shingles):
+    """The set as bits by the hash of each shingle."""
+    import numpy as np
+
+    bits = np.zeros(PICTURE_BITS, "u1")
+    bits[(shingles & np.uint64(PICTURE_BITS - 1)).astype("i8")] = 1
+    return np.packbits(bits).view("<i8")
+
+
 SKETCH_SCHEMA = (
-    "doc_id bigint, text_hash bigint, n_shingles bigint, content binary, bands array<bigint>, codes array<bigint>"
+    "doc_id bigint, text_hash bigint, n_shingles bigint, content binary, bands array<bigint>, codes array<bigint>, picture array<bigint>"
 )
 
 
@@ -110,7 +118,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
         for batch in batches:
-            ids, sizes, digests, values = [], [], [], []
+            ids, sizes, digests, values, pictures = [], [], [], [], []
             for doc_id, text in rows_of(batch, "doc_id", "text"):
                 shingles = shingle_set(text)
                 ids.append(doc_id)
@@ -120,6 +128,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                     values.append(signature(shingles))
                 else:
                     digests.append(None)
+                small = 0 < len(shingles) <= PICTURE_SHINGLES
+                pictures.append(_picture(shingles) if small else None)
             grid = np.array(values, "u4").reshape(-1, COORDINATES)
             filled = np.array(sizes, "i8") > 0
             yield pa.record_batch(
@@ -130,8 +140,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                     pa.array(digests, pa.binary()),
                     lists(_band_keys(grid), filled, BANDS),
                     lists(_short_codes(grid), filled, 4),
+                    pa.array(pictures, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "n_shingles", "content", "bands", "codes"],
+                names=["doc_id", "text_hash", "n_shingles", "content", "bands", "codes", "picture"],
             )
 
     hashed = docs.withColumn("text_hash", tables.text_hash(F.col("text")))
@@ -180,93 +191,77 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for the undirected ``links (a, b)``; the root is the smallest node.
 
     Alternates two steps that hang every node on the smallest of its
-    neighbours, first the larger ones, then the smaller ones, until nothing
-    changes. Minima are taken by aggregation, so a node with very many
+    neighbours, first the larger ones, then the smaller ones, until all hang on
+    a root directly. Minima are taken by aggregation, so a node with very many
     neighbours is never gathered in one place.
     """
+
+    def hung(around: DataFrame) -> tuple[DataFrame, DataFrame]:
+        least = around.groupBy("u").agg(F.min("v").alias("low")).select(
+            "u", F.least("u", "low").alias("low")
+        )
+        return around.join(least, "u"), least
+
+    def step(edges: DataFrame) -> DataFrame:
+        both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
+        larger, _ = hung(both)
+        edges = larger.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        smaller, least = hung(edges)
+        return (
+            smaller.select(F.col("v").alias("u"), F.col("low").alias("v"))
+            .union(least.select("u", F.col("low").alias("v")))
+            .where("u <> v").distinct()
+        )
+
+    def flat(edges: DataFrame) -> bool:
+        """Every node hangs on one other, which hangs on none."""
+        above = edges.select(F.col("v").alias("u")).distinct().withColumn("n", F.lit(1))
+        hanging = edges.groupBy("u").agg((F.count("*") - 1).alias("n"))
+        twice = above.join(hanging.select("u"), "u", "left_semi")
+        return twice.union(hanging.where("n > 0")).isEmpty()
+
     edges = tables.stored(
         links.where("a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct(),
         "edges",
     )
-
-    def mark(table: DataFrame) -> tuple:
-        return tuple(
-            table.agg(
-                F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-            ).first()
-        )
-
-    def step(edges: DataFrame, larger: bool) -> DataFrame:
-        if larger:
-            around = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        else:
-            around = edges
-        least = around.groupBy("u").agg(F.min("v").alias("low")).select(
-            "u", F.least("u", "low").alias("low")
-        )
-        hung = around.join(least, "u")
-        if larger:
-            out = hung.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        else:
-            out = hung.select(F.col("v").alias("u"), F.col("low").alias("v")).union(
-                least.select("u", F.col("low").alias("v"))
-            )
-        return out.where("u <> v").distinct()
-
-    before = mark(edges)
-    while True:
-        edges = tables.stored(step(step(edges, True), False), "edges")
-        now = mark(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    while not flat(edges):
+        edges = tables.stored(step(edges), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``band, rep, root`` of the buckets that hold several components, stored."""
+    """``band, rep, root`` of the buckets that hold several components."""
     placed = members.select("band", "rep").join(
         roots.select(F.col("node").alias("rep"), "root"), "rep", "left"
     ).select("band", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    return tables.stored(
-        placed.join(mixed.where("r <> s").select("band"), "band", "left_semi"), "mixed-buckets"
-    )
-
-
-def _open_pairs(members: DataFrame) -> tuple[int, int]:
-    """Pairs across components within buckets, and rows of ``members``."""
-    parts = members.groupBy("band", "root").agg(F.count("*").cast("decimal(38,0)").alias("n"))
-    sums = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    row = sums.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    return placed.join(mixed.where("r <> s").select("band"), "band", "left_semi")
 
 
-def _across(members: DataFrame, percent: int, draw: int | None) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of one bucket and two components that may be similar.
-
-    With ``draw``, only those with the member that is drawn for the bucket.
-    """
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of one bucket and two components that may be similar."""
     two = members.select(*[F.col(c).alias(f"{c}_2") for c in members.columns])
-    if draw is None:
-        one, order = members, F.col("rep") < F.col("rep_2")
-    else:
-        key = F.xxhash64("band", "rep", F.lit(draw))
-        drawn = members.groupBy("band").agg(F.min_by("rep", key).alias("rep"))
-        one, order = members.join(drawn, ["band", "rep"], "left_semi"), F.lit(True)
     differing = F.lit(0)
     for i in range(2):
         low = F.col("codes")[i].bitwiseXOR(F.col("codes_2")[i])
         high = F.col("codes")[i + 2].bitwiseXOR(F.col("codes_2")[i + 2])
         differing = differing + F.bit_count(low.bitwiseOR(high))
+    unlike = F.lit(0)
+    for i in range(PICTURE_BITS // 64):
+        unlike = unlike + F.bit_count(F.col("picture")[i].bitwiseXOR(F.col("picture_2")[i]))
     sizes = F.least("n_shingles", "n_shingles_2"), F.greatest("n_shingles", "n_shingles_2")
-    met = one.join(
+    # With S shingles in both sets and D in only one, the similarity is (S - D) / (S + D).
+    total = F.col("n_shingles") + F.col("n_shingles_2")
+    met = members.join(
         two,
-        (F.col("band") == F.col("band_2")) & order & (F.col("root") != F.col("root_2"))
-        & (100 * sizes[0] >= percent * sizes[1]) & (differing <= COORDINATES - AGREEING),
+        (F.col("band") == F.col("band_2")) & (F.col("rep") < F.col("rep_2"))
+        & (F.col("root") != F.col("root_2"))
+        & (100 * sizes[0] >= percent * sizes[1]) & (differing <= COORDINATES - AGREEING)
+        & ((100 + percent) * F.coalesce(unlike, F.lit(0)) <= (100 - percent) * total),
     )
-    return met.select(F.least("rep", "rep_2").alias("a"), F.greatest("rep", "rep_2").alias("b")).distinct()
+    return met.select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,7 +296,7 @@ def _classes(
     reps = sketches.join(
         classes.select(F.col("content").alias("c"), "rep"),
         (F.col("content") == F.col("c")) & (F.col("doc_id") == F.col("rep")),
-    ).select("rep", "n_shingles", "bands", "codes")
+    ).select("rep", "n_shingles", "bands", "codes", "picture")
     banded = reps.select("rep", F.explode("bands").alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n"))
     shared = tables.stored(
@@ -329,27 +324,17 @@ def _classes(
         .select("a", "b"),
         "pairs",
     )
-    tried = first
     roots = tables.stored(
         components(tables.stored(_confirm(first, sets, percent), "links")), "roots"
     )
-    codes = reps.select("rep", "n_shingles", "codes")
-    members = shared.select("band", "rep")
-    for draw in range(DRAWS + 1):
-        members = _mixed(members, roots)
-        open_pairs, count = _open_pairs(members)
-        if not open_pairs:
-            break
-        last = draw == DRAWS or open_pairs <= OPEN_PAIRS * count
-        detailed = members.join(codes, "rep")
-        pairs = _across(detailed, percent, None if last else draw)
-        pairs = tables.stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = tables.stored(_confirm(pairs, sets, percent), "links")
-        if not links.isEmpty():
-            roots = tables.stored(_joined(roots, links), "roots")
-        if last:
-            break
-        tried = tried.union(pairs)
+    screens = reps.select("rep", "n_shingles", "codes", "picture")
+    members = tables.stored(
+        _mixed(shared.select("band", "rep"), roots).join(screens, "rep"), "mixed-buckets"
+    )
+    open_pairs = _across(members, percent).join(first, ["a", "b"], "left_anti")
+    links = tables.stored(_confirm(open_pairs, sets, percent), "links")
+    if not links.isEmpty():
+        roots = tables.stored(_joined(roots, links), "roots")
     rooted = classes.select("content", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("content", F.coalesce("root", "rep").alias("root"))

@@ -20,8 +20,8 @@ from clauseforge.llm import tables, tokens
 
 CAPACITY = 2048
 END_ID = 0
-# Pieces of one length ranked in one group.
-BUCKET_PIECES = 50_000
+# Pieces ranked in one group, about; lengths with more have several.
+BUCKET_PIECES = 2_000
 
 RUNS_SCHEMA = (
     "length bigint, rank_from bigint, rank_to bigint, per_bin bigint, first_sequence bigint,"
@@ -135,10 +135,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if any(not 0 < length <= capacity for length in counts):
         raise ValueError(f"lengths outside 1 to {capacity}")
     runs = spark.createDataFrame(plan_runs(counts, capacity), RUNS_SCHEMA)
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_PIECES))
-    spread = pieces.withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
+    # One row per length, like the counts.
+    buckets = spark.createDataFrame(
+        [(length, -(-n // BUCKET_PIECES)) for length, n in counts.items()], "length bigint, buckets bigint"
     )
+    spread = pieces.join(F.broadcast(buckets), "length").withColumn(
+        "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))
+    ).drop("buckets")
     sizes = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = (
         Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -154,6 +154,7 @@ def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     The verdict rides through the measuring pass with the row, so nothing is
     joined or shuffled.
     """
+    tables.ship(docs.sparkSession)
     names = [f"_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     text = f"_{docs.columns.index('text')}"

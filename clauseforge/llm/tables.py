@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,30 @@ from clauseforge.storage import fresh_path
 BROADCAST_ROWS = 100_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Tasks import it there, so that what a worker has learnt (pieces of text, word
+    hashes) serves its later tasks too.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    # The driver serves this file to executors as they come, so it stays until the end.
+    folder = tempfile.mkdtemp(prefix="clauseforge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, f"{package.name}-{context.applicationId}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,6 +60,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` with null text read as empty."""
+    ship(docs.sparkSession)
     return pick(docs, id_col, text_col).select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
