@@ -1,7 +1,9 @@
 """Labelled instances as packed, counted, distinct vectors.
 
-One shuffle turns the instance table into rows ``(w0.., h0.., pos, neg)``: each
+One shuffle turns the instance table into rows ``(w0.., half, pos, neg)``: each
 distinct vector once, with the number of positives and negatives that carry it.
+``half`` is null but for vectors with uncertain values, so 0/1 data does not
+carry them through the shuffle.
 Counting happens before the shuffle too, so a vector that a third of all rows
 share costs no more than any other. Everything later works on this table.
 """
@@ -11,6 +13,7 @@ from __future__ import annotations
 import math
 import sys
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -86,17 +89,28 @@ def pack(df: DataFrame, width: int, features: str = "features", keep: list[str]
 
 
 def distinct_vectors(df: DataFrame, width: int, label: str = "label", features: str = "features") -> DataFrame:
-    """``(w*, h*, pos, neg)``, one row per distinct vector; a label other than 0 or 1 is an error."""
+    """``(w*, half, pos, neg)``, one row per distinct vector; a label other than 0 or 1 is an error."""
     wrong = F.raise_error(F.lit(f"a value of {label} is not 0 or 1")).cast("int")
     checked = F.when(F.col(label).isin(0, 1), F.col(label).cast("int")).otherwise(wrong)
     labelled = df.select(checked.alias(label), features)
     packed = pack(labelled, width, features, keep=[label])
-    return packed.groupBy(*one_columns(width), *half_columns(width)).agg(
+    uncertain = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in half_columns(width)])
+    half = F.when(uncertain, F.array(*half_columns(width))).alias("half")
+    return packed.select(label, *one_columns(width), half).groupBy(*one_columns(width), "half").agg(
         F.sum((F.col(label) == 1).cast("bigint")).alias("pos"),
         F.sum((F.col(label) == 0).cast("bigint")).alias("neg"),
     )
 
 
+def with_half_columns(distinct: DataFrame, width: int) -> DataFrame:
+    """``(w*, h*, pos, neg)``."""
+    halves = [
+        F.coalesce(F.get("half", F.lit(i)), F.lit(0)).alias(c)
+        for i, c in enumerate(half_columns(width))
+    ]
+    return distinct.select(*one_columns(width), *halves, "pos", "neg")
+
+
 def conflicting_vectors(distinct: DataFrame) -> DataFrame:
     """The vectors that carry both labels."""
     return distinct.filter((F.col("pos") > 0) & (F.col("neg") > 0))
@@ -166,6 +180,7 @@ def gather_instances(
         distinct, path = keep_table(distinct, "vectors")
     elif cache:
         distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+    kept, distinct = distinct, with_half_columns(distinct, width)
     found = _with_totals(distinct, width)
     spread = partitions or _tasks(found, df.sparkSession.sparkContext.defaultParallelism)
     # The rows are few bytes but many pairs each: an explicit number keeps AQE
@@ -174,7 +189,7 @@ def gather_instances(
     if cache:
         spaced = spaced.persist(StorageLevel.MEMORY_AND_DISK)
     return replace(
-        found, df=spaced, tasks=spread, parents=() if durable or not cache else (distinct,), path=path
+        found, df=spaced, tasks=spread, parents=() if durable or not cache else (kept,), path=path
     )
 
 
