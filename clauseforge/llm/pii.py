@@ -4,8 +4,8 @@ Generators propose spans in one scan of the texts; only texts with a match go
 on. Spans of the four base kinds that pass their check are always found.
 Spans of the further kinds are scored by gradient-boosted trees over format and
 context, trained here on weak labels (what stands before a candidate, and fixed
-key prefixes), and found where their score reaches a threshold that held-out
-candidates of the kind set. Everything is DataFrame operations and Spark ML.
+key prefixes), and found where their score reaches a threshold that all
+candidates of the kind set, each scored by trees that have not seen its match. Everything is DataFrame operations and Spark ML.
 
 Places of matches follow from the lengths of the texts between them: splitting
 by a pattern and extracting its matches give alternating pieces of the text.
@@ -27,9 +27,9 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("secret", "number", "mail")
 KINDS = BASE_KINDS + MORE_KINDS
 
-# Candidates the trees are fitted and the thresholds set on, at most.
-SAMPLE = 20_000
 PRECISION = 0.95
+# The threshold of a kind of which no labelled candidate sets one.
+DEFAULT = 0.5
 LEFT, RIGHT = 32, 16
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -194,49 +194,61 @@ def with_features(candidates: DataFrame) -> DataFrame:
         yes(keyword).alias("keyword"),
         yes(prefix).alias("prefix"),
         kind_no.alias("kind_no"),
+        F.pmod(F.xxhash64("match"), F.lit(2)).alias("fold"),
         yes(keyword | prefix).alias("label"),
     )
 
 
-def fit_selector(candidates: DataFrame, sample: int = SAMPLE, precision: float = PRECISION):
-    """The trees and a threshold per kind, from at most ``sample`` weakly labelled candidates.
+def scored(further: DataFrame) -> DataFrame:
+    """``further`` with ``score``, the trees' probability, and ``step``, its hundredths.
 
-    Returns None where one of the labels is too rare to learn from. The sample
-    is the candidates with the smallest hashes; one in four sets the thresholds:
-    for each kind the lowest score above which the wanted precision holds.
+    Every candidate is used: the trees are fitted on the distinct rows of
+    features with their counts as weights. There are two sets of trees, each
+    fitted on one half of the distinct matches; a candidate is scored by the
+    trees that have not seen its match.
     """
-    total = candidates.count()
-    key = F.xxhash64("row", "kind", "start")
-    share = min(1.0, sample / max(1, total))
-    drawn = candidates.where(F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = (
-        drawn.withColumn("key", key).orderBy("key").limit(sample).coalesce(1)
+    rows = tables.stored(
+        further.groupBy("fold", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight")),
+        "feature-rows",
     )
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
-        drawn.select(*FEATURES, "kind", "label", "key")
-    )
-    ready = tables.stored(ready, "selector-sample")
-    held = F.pmod("key", F.lit(4)) == 0
-    fit, check = ready.where(~held), ready.where(held)
-    sizes = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < 10:
-        return None
-    model = GBTClassifier(maxDepth=4, maxIter=8, maxBins=32, seed=7, cacheNodeIds=False).fit(fit)
-    # At most 101 steps of score for each kind.
-    scored = model.transform(check).select(
-        "kind", "label", F.floor(vector_to_array("probability")[1] * 100).alias("step")
-    )
-    steps = scored.groupBy("kind", "step").agg(
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    halves = []
+    for fold in (0, 1):
+        seen = assembler.transform(rows.where(F.col("fold") != fold)).select("features", "label", "weight")
+        unseen = assembler.transform(further.where(F.col("fold") == fold))
+        if len(seen.select("label").distinct().take(2)) < 2:
+            # Nothing to tell apart.
+            share = seen.agg(F.max("label")).first()[0] or 0.0
+            halves.append(unseen.drop("features").withColumn("score", F.lit(share)))
+            continue
+        model = GBTClassifier(
+            maxDepth=4, maxIter=8, maxBins=32, seed=7, cacheNodeIds=False, weightCol="weight"
+        ).fit(seen)
+        halves.append(
+            model.transform(unseen)
+            .withColumn("score", vector_to_array("probability")[1])
+            .drop("features", "rawPrediction", "probability", "prediction")
+        )
+    return halves[0].unionByName(halves[1]).withColumn("step", F.floor(F.col("score") * 100))
+
+
+def thresholds(candidates: DataFrame, precision: float = PRECISION) -> dict[str, float]:
+    """Per kind the lowest score from which on the wanted precision holds, over all ``candidates``.
+
+    ``DEFAULT`` where no labelled candidate sets one. At most 101 steps of
+    score for each kind reach the driver.
+    """
+    steps = candidates.groupBy("kind", "step").agg(
         F.count("*").alias("n"), F.sum("label").alias("good")
     ).collect()
-    thresholds = {}
+    found = dict.fromkeys(MORE_KINDS, DEFAULT)
     for kind in MORE_KINDS:
         n = good = 0.0
         for r in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["step"]):
             n, good = n + r["n"], good + r["good"]
             if good >= precision * n and r["good"] > 0:
-                thresholds[kind] = r["step"] / 100
-    return model, thresholds
+                found[kind] = r["step"] / 100
+    return found
 
 
 def selected(candidates: DataFrame) -> DataFrame:
@@ -246,20 +258,19 @@ def selected(candidates: DataFrame) -> DataFrame:
     base span, gives way.
     """
     base = candidates.where("valid").select("row", "kind", "start", "end")
-    further = with_features(candidates.where(F.col("kind").isin(*MORE_KINDS)))
-    fitted = fit_selector(further)
-    if fitted is None or not fitted[1]:
+    further = tables.stored(
+        with_features(candidates.where(F.col("kind").isin(*MORE_KINDS))), "further-candidates"
+    )
+    marks = further.agg(F.min("label"), F.max("label")).first()
+    if marks[0] == marks[1]:
         return base
-    model, thresholds = fitted
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(further)
-    least = F.coalesce(
-        *[F.when(F.col("kind") == k, t) for k, t in thresholds.items()], F.lit(2.0)
+    judged = tables.stored(
+        scored(further).select("row", "kind", "start", "end", "label", "score", "step"), "scored"
     )
-    taken = (
-        model.transform(ready)
-        .where(vector_to_array("probability")[1] >= least)
-        .select("row", "kind", "start", "end")
+    least = F.coalesce(
+        *[F.when(F.col("kind") == k, t) for k, t in thresholds(judged).items()]
     )
+    taken = judged.where(F.col("score") >= least).select("row", "kind", "start", "end")
     both = base.withColumn("base", F.lit(True)).union(taken.withColumn("base", F.lit(False)))
     order = Window.partitionBy("row").orderBy("start", F.desc("base"), "kind", "end")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -104,3 +104,20 @@ def test_redaction(spark):
         (0, "mail [EMAIL] now"), (0, "mail [EMAIL] now"), (2, ""), (3, "ip [IP], card [CARD]."),
         (4, "clean 12"), (5, "é [EMAIL] é"),
     ]
+
+
+def found_in(texts, spark):
+    """Per text what its spans hold, as (kind, match)."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    cut = lambda text, s: (s[0], text[int(s[1]) : int(s[2])])
+    return [
+        [cut(text, s.split(":")) for s in rows[i].split(",") if s] for i, text in enumerate(texts)
+    ]
+
+
+def test_rare_kinds_keep_their_spans(spark):
+    """One candidate of a kind among very many of another one."""
+    texts = [" ".join(secrets(600)[i::20]) for i in range(20)] * 40
+    texts += ["please write to jo.doe at example dot org soon"]
+    assert found_in(texts, spark)[-1] == [("mail", "jo.doe at example dot org")]
