@@ -2,10 +2,11 @@
 
 Generators propose spans in one scan of the texts; only texts with a match go
 on. Spans of the four base kinds that pass their check are always found.
-Spans of the further kinds are scored by gradient-boosted trees over format and
-context, trained here on weak labels (what stands before a candidate, and fixed
-key prefixes), and found where their score reaches a threshold that all
-candidates of the kind set, each scored by trees that have not seen its match. Everything is DataFrame operations and Spark ML.
+Spans of the further kinds are scored by gradient-boosted trees over their format,
+trained here on weak labels (a keyword before a candidate or before the same match
+elsewhere), and found where they are labelled, begin with a fixed key prefix, or
+their score reaches a threshold that all candidates of the kind set, each scored by
+trees that have not seen its match. Everything is DataFrame operations and Spark ML.
 
 Places of matches follow from the lengths of the texts between them: splitting
 by a pattern and extracting its matches give alternating pieces of the text.
@@ -30,6 +31,8 @@ KINDS = BASE_KINDS + MORE_KINDS
 PRECISION = 0.95
 # The threshold of a kind of which no labelled candidate sets one.
 DEFAULT = 0.5
+# Formats of which fewer matches stand after a keyword are not taken for it.
+LEAST = 0.2
 LEFT, RIGHT = 32, 16
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -56,9 +59,11 @@ _WORDS_BEFORE = {
 }
 _KEY_PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk-|pk_|AIza|eyJ)"
 
+# Of the match alone. What stands around it gives the labels and is not among
+# them, or the trees would learn the place instead of the format.
 FEATURES = (
-    "length", "digits", "lower", "upper", "marks", "digit_share", "hex_share", "changes",
-    "assigned", "quoted", "after_word", "before_mark", "keyword", "prefix", "kind_no",
+    "changes", "hex_share", "length", "digits", "lower", "upper", "digit_share", "dashes", "dots",
+    "blanks", "marks", "head", "tail", "kind_no",
 )
 
 
@@ -158,45 +163,77 @@ def spans(proposed: DataFrame) -> DataFrame:
 
 
 def with_features(candidates: DataFrame) -> DataFrame:
-    """``candidates`` of the further kinds with format and context features and a weak label."""
+    """The candidates of the further kinds with features of their format and weak labels.
+
+    ``label`` holds where a keyword stands before the candidate, or before the
+    same match elsewhere. ``settled`` ones share a place with a valid base span.
+    """
+    kinds, valid = F.col("kind").isin(*MORE_KINDS), F.col("valid")
+    order = Window.partitionBy("row").orderBy("start", F.desc("valid"))
+    reached = F.max(F.when(valid, F.col("end"))).over(
+        order.rowsBetween(Window.unboundedPreceding, -1)
+    )
+    next_base = F.min(F.when(valid, F.col("start"))).over(
+        order.rowsBetween(1, Window.unboundedFollowing)
+    )
     match, left = F.col("match"), F.col("left")
 
     def count(pattern: str) -> Column:
         return F.length(F.regexp_replace(match, f"[^{pattern}]", "")).cast("double")
 
+    def run(pattern: str) -> Column:
+        return F.length(F.regexp_extract(match, pattern, 0)).cast("double")
+
     length = F.length(match).cast("double")
-    keyword = reduce(
-        lambda a, k: a | ((F.col("kind") == k) & left.rlike(_WORDS_BEFORE[k])),
-        MORE_KINDS, F.lit(False),
+    of_kind = lambda patterns, c: reduce(
+        lambda a, k: a | ((F.col("kind") == k) & c.rlike(patterns[k])), MORE_KINDS, F.lit(False)
     )
     kind_no = F.coalesce(
         *[F.when(F.col("kind") == k, float(i)) for i, k in enumerate(MORE_KINDS)]
     )
-    prefix = match.rlike(_KEY_PREFIX)
-    yes = lambda c: c.cast("double")
-    return candidates.select(
-        "*",
-        length.alias("length"),
-        count("0-9").alias("digits"),
-        count("a-z").alias("lower"),
-        count("A-Z").alias("upper"),
-        count(r" ().@\[\]_/+-").alias("marks"),
-        (count("0-9") / length).alias("digit_share"),
-        (count("0-9a-fA-F") / length).alias("hex_share"),
-        # Switches between digits and letters.
-        F.length(
-            F.regexp_replace(F.regexp_replace(match, "[0-9]+", "#"), "[^#]", "")
-        ).cast("double").alias("changes"),
-        yes(left.rlike(r"[=:]\s?[\"']?$")).alias("assigned"),
-        yes(left.rlike("[\"'`]$")).alias("quoted"),
-        yes(left.rlike(r"\p{L}\s$")).alias("after_word"),
-        yes(F.col("right").rlike(r"^[\"'`,;.)]")).alias("before_mark"),
-        yes(keyword).alias("keyword"),
-        yes(prefix).alias("prefix"),
-        kind_no.alias("kind_no"),
-        F.pmod(F.xxhash64("match"), F.lit(2)).alias("fold"),
-        yes(keyword | prefix).alias("label"),
+    described = tables.stored(
+        candidates.where(kinds | valid)
+        .withColumn("reached", reached).withColumn("next_base", next_base).where(kinds)
+        .select(
+            "row", "kind", "start", "end", "match",
+            (
+                F.coalesce(F.col("reached") > F.col("start"), F.lit(False))
+                | F.coalesce(F.col("next_base") < F.col("end"), F.lit(False))
+            ).alias("settled"),
+            # Switches between digits and letters.
+            F.length(
+                F.regexp_replace(F.regexp_replace(match, "[0-9]+", "#"), "[^#]", "")
+            ).cast("double").alias("changes"),
+            (count("0-9a-fA-F") / length).alias("hex_share"),
+            length.alias("length"),
+            count("0-9").alias("digits"),
+            count("a-z").alias("lower"),
+            count("A-Z").alias("upper"),
+            (count("0-9") / length).alias("digit_share"),
+            count("-").alias("dashes"),
+            count(".").alias("dots"),
+            count(" ").alias("blanks"),
+            count(r"()@\[\]_/+").alias("marks"),
+            run("^[0-9]*").alias("head"),
+            run("[0-9]*$").alias("tail"),
+            kind_no.alias("kind_no"),
+            F.pmod(F.xxhash64("match"), F.lit(2)).alias("fold"),
+            of_kind(_WORDS_BEFORE, left).alias("keyword"),
+            match.rlike(_KEY_PREFIX).alias("prefix"),
+        ),
+        "further-candidates",
+    )
+    marked = tables.stored(
+        described.where("keyword and not settled")
+        .select(F.col("kind").alias("_kind"), F.col("match").alias("_match")).distinct(),
+        "marked-matches",
     )
+    return described.join(
+        tables.small(marked, marked.count()),
+        (F.col("kind") == F.col("_kind")) & (match == F.col("_match")), "left",
+    ).withColumn(
+        "label", (F.col("keyword") | F.col("_match").isNotNull()).cast("double")
+    ).drop("match", "_kind", "_match")
 
 
 def scored(further: DataFrame) -> DataFrame:
@@ -235,18 +272,29 @@ def scored(further: DataFrame) -> DataFrame:
 def thresholds(candidates: DataFrame, precision: float = PRECISION) -> dict[str, float]:
     """Per kind the lowest score from which on the wanted precision holds, over all ``candidates``.
 
-    ``DEFAULT`` where no labelled candidate sets one. At most 101 steps of
-    score for each kind reach the driver.
+    A keyword stands before some of the wanted matches only. Where it stands
+    does not depend on their format, so the mean score of the labelled
+    candidates of a kind is about the share of wanted ones that have a keyword,
+    and a score divided by it about the probability to be wanted. Scores below
+    ``LEAST`` or half that share are never enough. ``DEFAULT`` where no labelled candidate sets a
+    threshold. At most 101 steps of score for each kind reach the driver.
     """
     steps = candidates.groupBy("kind", "step").agg(
         F.count("*").alias("n"), F.sum("label").alias("good")
     ).collect()
     found = dict.fromkeys(MORE_KINDS, DEFAULT)
     for kind in MORE_KINDS:
+        mine = sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["step"])
+        middle = lambda r: (r["step"] + 0.5) / 100
+        labelled = sum(r["good"] for r in mine)
+        if not labelled:
+            continue
+        share = sum(r["good"] * middle(r) for r in mine) / labelled
         n = good = 0.0
-        for r in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["step"]):
-            n, good = n + r["n"], good + r["good"]
-            if good >= precision * n and r["good"] > 0:
+        for r in mine:
+            n += r["n"]
+            good += r["n"] * middle(r) / share
+            if good >= precision * n and middle(r) >= max(LEAST, share / 2):
                 found[kind] = r["step"] / 100
     return found
 
@@ -258,19 +306,20 @@ def selected(candidates: DataFrame) -> DataFrame:
     base span, gives way.
     """
     base = candidates.where("valid").select("row", "kind", "start", "end")
-    further = tables.stored(
-        with_features(candidates.where(F.col("kind").isin(*MORE_KINDS))), "further-candidates"
-    )
-    marks = further.agg(F.min("label"), F.max("label")).first()
+    further = tables.stored(with_features(candidates), "labelled-candidates")
+    open_ones = further.where(~F.col("settled"))
+    marks = open_ones.agg(F.min("label"), F.max("label")).first()
     if marks[0] == marks[1]:
         return base
     judged = tables.stored(
-        scored(further).select("row", "kind", "start", "end", "label", "score", "step"), "scored"
+        scored(open_ones).select("row", "kind", "start", "end", "label", "score", "step", "prefix"),
+        "scored",
     )
     least = F.coalesce(
         *[F.when(F.col("kind") == k, t) for k, t in thresholds(judged).items()]
     )
-    taken = judged.where(F.col("score") >= least).select("row", "kind", "start", "end")
+    known = (F.col("label") == 1) | F.col("prefix")
+    taken = judged.where(known | (F.col("score") >= least)).select("row", "kind", "start", "end")
     both = base.withColumn("base", F.lit(True)).union(taken.withColumn("base", F.lit(False)))
     order = Window.partitionBy("row").orderBy("start", F.desc("base"), "kind", "end")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)

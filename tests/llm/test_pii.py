@@ -121,3 +121,23 @@ def test_rare_kinds_keep_their_spans(spark):
     texts = [" ".join(secrets(600)[i::20]) for i in range(20)] * 40
     texts += ["please write to jo.doe at example dot org soon"]
     assert found_in(texts, spark)[-1] == [("mail", "jo.doe at example dot org")]
+
+
+def test_format_finds_what_no_keyword_marks(spark):
+    rng = random.Random(8)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    digits, hexa = "0123456789", "0123456789abcdef"
+    texts, wanted = [], []
+    for i in range(400):
+        code, plain = "a1" + some(hexa, 30), f"{some('klmnop', 6)}-{some('klmnop', 6)}-{i % 10}"
+        number = f"{some(digits[1:], 3)}-{some(digits, 2)}-{some(digits, 4)}"
+        day = f"20{some(digits, 2)}-{some('01', 2)}-{some('012', 2)}"
+        before = ("token = ", "ssn ") if i % 2 else ("the item ", "by ")
+        texts.append(f"as {before[0]}{code} of {plain} on {day}, and {before[1]}{number} too")
+        wanted.append([("secret", code), ("number", number)])
+    found = found_in(texts, spark)
+    assert all(set(f) <= set(w) for f, w in zip(found, wanted))
+    bare = found[::2]
+    assert sum(("number" in dict(f)) for f in bare) == 200
+    assert sum(("secret" in dict(f)) for f in bare) >= 180
+    assert found[1::2] == wanted[1::2]
