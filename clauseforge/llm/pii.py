@@ -299,18 +299,41 @@ def thresholds(candidates: DataFrame, precision: float = PRECISION) -> dict[str,
     return found
 
 
+def _beside(base: DataFrame, taken: DataFrame) -> DataFrame:
+    """The base spans and those of ``taken`` that do not give way."""
+    both = base.withColumn("base", F.lit(True)).union(taken.withColumn("base", F.lit(False)))
+    order = Window.partitionBy("row").orderBy("start", F.desc("base"), "kind", "end")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    return (
+        both.withColumn("reached", F.max("end").over(earlier))
+        .withColumn("next_base", F.min(F.when(F.col("base"), F.col("start"))).over(later))
+        .where(
+            F.col("base")
+            | (
+                (F.coalesce("reached", F.lit(0)) <= F.col("start"))
+                & (F.coalesce("next_base", F.col("end")) >= F.col("end"))
+            )
+        )
+        .select("row", "kind", "start", "end")
+    )
+
+
 def selected(candidates: DataFrame) -> DataFrame:
-    """``row, kind, start, end`` of the base spans and of the further ones that the trees take.
+    """``row, kind, start, end`` of the base spans and of the further ones that are taken.
 
-    A further span that begins inside an earlier span, or holds the start of a
+    A labelled candidate and one with a key prefix are taken in a table of any
+    size; the trees add those whose score reaches the threshold. A further span that begins inside an earlier span, or holds the start of a
     base span, gives way.
     """
     base = candidates.where("valid").select("row", "kind", "start", "end")
     further = tables.stored(with_features(candidates), "labelled-candidates")
     open_ones = further.where(~F.col("settled"))
+    known = (F.col("label") == 1) | F.col("prefix")
     marks = open_ones.agg(F.min("label"), F.max("label")).first()
     if marks[0] == marks[1]:
-        return base
+        # Nothing to learn from: the rule alone.
+        return _beside(base, open_ones.where(known).select("row", "kind", "start", "end"))
     judged = tables.stored(
         scored(open_ones).select("row", "kind", "start", "end", "label", "score", "step", "prefix"),
         "scored",
@@ -318,24 +341,8 @@ def selected(candidates: DataFrame) -> DataFrame:
     least = F.coalesce(
         *[F.when(F.col("kind") == k, t) for k, t in thresholds(judged).items()]
     )
-    known = (F.col("label") == 1) | F.col("prefix")
     taken = judged.where(known | (F.col("score") >= least)).select("row", "kind", "start", "end")
-    both = base.withColumn("base", F.lit(True)).union(taken.withColumn("base", F.lit(False)))
-    order = Window.partitionBy("row").orderBy("start", F.desc("base"), "kind", "end")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    return (
-        both.withColumn("reached", F.max("end").over(earlier))
-        .withColumn("next_base", F.min(F.when(F.col("base"), F.col("start"))).over(later))
-        .where(
-            F.col("base")
-            | (
-                (F.coalesce("reached", F.lit(0)) <= F.col("start"))
-                & (F.coalesce("next_base", F.col("end")) >= F.col("end"))
-            )
-        )
-        .select("row", "kind", "start", "end")
-    )
+    return _beside(base, taken)
 
 
 def find_spans(

@@ -141,3 +141,11 @@ def test_format_finds_what_no_keyword_marks(spark):
     assert sum(("number" in dict(f)) for f in bare) == 200
     assert sum(("secret" in dict(f)) for f in bare) >= 180
     assert found[1::2] == wanted[1::2]
+
+
+def test_the_rule_holds_in_a_table_of_any_size(spark):
+    code, key = "0123456789abcdef" * 2, "AKIA" + "Z9" * 8
+    texts = [f'token = "{code}" and {key}', f"a {code} here"]
+    wanted = [[("secret", code), ("secret", key)], [("secret", code)]]
+    assert found_in(texts, spark) == wanted
+    assert found_in(texts[:1], spark) == wanted[:1]
