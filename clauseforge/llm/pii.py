@@ -163,7 +163,8 @@ def spans(proposed: DataFrame) -> DataFrame:
 
 
 def with_features(candidates: DataFrame) -> DataFrame:
-    """The candidates of the further kinds with features of their format and weak labels.
+    """The candidates of the further kinds, without those inside valid base spans, with
+    features of their format and weak labels.
 
     ``label`` holds where a keyword stands before the candidate, or before the
     same match elsewhere. ``settled`` ones share a place with a valid base span.
@@ -193,7 +194,8 @@ def with_features(candidates: DataFrame) -> DataFrame:
     )
     described = tables.stored(
         candidates.where(kinds | valid)
-        .withColumn("reached", reached).withColumn("next_base", next_base).where(kinds)
+        .withColumn("reached", reached).withColumn("next_base", next_base)
+        .where(kinds & (F.coalesce("reached", F.lit(0)) < F.col("end")))
         .select(
             "row", "kind", "start", "end", "match",
             (
@@ -201,9 +203,8 @@ def with_features(candidates: DataFrame) -> DataFrame:
                 | F.coalesce(F.col("next_base") < F.col("end"), F.lit(False))
             ).alias("settled"),
             # Switches between digits and letters.
-            F.length(
-                F.regexp_replace(F.regexp_replace(match, "[0-9]+", "#"), "[^#]", "")
-            ).cast("double").alias("changes"),
+            F.regexp_count(match, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"))
+            .cast("double").alias("changes"),
             (count("0-9a-fA-F") / length).alias("hex_share"),
             length.alias("length"),
             count("0-9").alias("digits"),
@@ -239,13 +240,13 @@ def with_features(candidates: DataFrame) -> DataFrame:
 def scored(further: DataFrame) -> DataFrame:
     """``further`` with ``score``, the trees' probability, and ``step``, its hundredths.
 
-    Every candidate is used: the trees are fitted on the distinct rows of
+    Every candidate that is not settled is used: the trees are fitted on the distinct rows of
     features with their counts as weights. There are two sets of trees, each
     fitted on one half of the distinct matches; a candidate is scored by the
     trees that have not seen its match.
     """
     rows = tables.stored(
-        further.groupBy("fold", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight")),
+        further.where(~F.col("settled")).groupBy("fold", "label", *FEATURES).agg(F.count("*").cast("double").alias("weight")),
         "feature-rows",
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
@@ -299,50 +300,30 @@ def thresholds(candidates: DataFrame, precision: float = PRECISION) -> dict[str,
     return found
 
 
-def _beside(base: DataFrame, taken: DataFrame) -> DataFrame:
-    """The base spans and those of ``taken`` that do not give way."""
-    both = base.withColumn("base", F.lit(True)).union(taken.withColumn("base", F.lit(False)))
-    order = Window.partitionBy("row").orderBy("start", F.desc("base"), "kind", "end")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    return (
-        both.withColumn("reached", F.max("end").over(earlier))
-        .withColumn("next_base", F.min(F.when(F.col("base"), F.col("start"))).over(later))
-        .where(
-            F.col("base")
-            | (
-                (F.coalesce("reached", F.lit(0)) <= F.col("start"))
-                & (F.coalesce("next_base", F.col("end")) >= F.col("end"))
-            )
-        )
-        .select("row", "kind", "start", "end")
-    )
-
-
 def selected(candidates: DataFrame) -> DataFrame:
     """``row, kind, start, end`` of the base spans and of the further ones that are taken.
 
     A labelled candidate and one with a key prefix are taken in a table of any
-    size; the trees add those whose score reaches the threshold. A further span that begins inside an earlier span, or holds the start of a
-    base span, gives way.
+    size; the trees add those whose score reaches the threshold. Spans may
+    overlap; a further span inside a base span is left out.
     """
     base = candidates.where("valid").select("row", "kind", "start", "end")
     further = tables.stored(with_features(candidates), "labelled-candidates")
-    open_ones = further.where(~F.col("settled"))
     known = (F.col("label") == 1) | F.col("prefix")
-    marks = open_ones.agg(F.min("label"), F.max("label")).first()
+    marks = further.where(~F.col("settled")).agg(F.min("label"), F.max("label")).first()
     if marks[0] == marks[1]:
         # Nothing to learn from: the rule alone.
-        return _beside(base, open_ones.where(known).select("row", "kind", "start", "end"))
+        return base.union(further.where(known).select("row", "kind", "start", "end"))
     judged = tables.stored(
-        scored(open_ones).select("row", "kind", "start", "end", "label", "score", "step", "prefix"),
+        scored(further).select(
+            "row", "kind", "start", "end", "settled", "label", "prefix", "score", "step"
+        ),
         "scored",
     )
-    least = F.coalesce(
-        *[F.when(F.col("kind") == k, t) for k, t in thresholds(judged).items()]
-    )
+    limits = thresholds(judged.where(~F.col("settled")))
+    least = F.coalesce(*[F.when(F.col("kind") == k, t) for k, t in limits.items()])
     taken = judged.where(known | (F.col("score") >= least)).select("row", "kind", "start", "end")
-    return _beside(base, taken)
+    return base.union(taken)
 
 
 def find_spans(
@@ -401,7 +382,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             ),
         )
         .groupBy("row", "group")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", "start").alias("kind"))
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", F.negative("end"), "kind")).alias("kind"))
     )
     before = F.coalesce(
         F.lag("end").over(Window.partitionBy("row").orderBy("start")), F.lit(0)

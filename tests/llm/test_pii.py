@@ -135,7 +135,8 @@ def test_format_finds_what_no_keyword_marks(spark):
         before = ("token = ", "ssn ") if i % 2 else ("the item ", "by ")
         texts.append(f"as {before[0]}{code} of {plain} on {day}, and {before[1]}{number} too")
         wanted.append([("secret", code), ("number", number)])
-    found = found_in(texts, spark)
+    # Digits of a code may form a card number.
+    found = [[s for s in f if s[0] != "card"] for f in found_in(texts, spark)]
     assert all(set(f) <= set(w) for f, w in zip(found, wanted))
     bare = found[::2]
     assert sum(("number" in dict(f)) for f in bare) == 200
@@ -149,3 +150,10 @@ def test_the_rule_holds_in_a_table_of_any_size(spark):
     wanted = [[("secret", code), ("secret", key)], [("secret", code)]]
     assert found_in(texts, spark) == wanted
     assert found_in(texts[:1], spark) == wanted[:1]
+
+
+def test_overlapping_spans_are_merged(spark):
+    card = next(str(n) for n in range(411111111110, 411111111120) if luhn(str(n)))
+    texts = [f'token = "ab{card}ef0123456789abcdef01234567" x', "card 4111111111111111."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r[1] for r in sorted(pii.redact(docs).collect())] == ['token = "[SECRET]" x', "card [CARD]."]
