@@ -47,4 +47,7 @@ def test_sequence_files(spark, tmp_path):
     (tmp_path / "n.txt").write_bytes(b"CCCC\n\nGGGN")
     assert [r["seq"] for r in read_sequences(spark, str(tmp_path / "p.txt")).collect()] == ["ACGT", "TTTT"]
     both = read_labelled_sequences(spark, str(tmp_path / "p.txt"), str(tmp_path / "n.txt"))
-    assert sorted(map(tuple, both.collect())) == [("ACGT", 1), ("CCCC", 0), ("GGGN", 0), ("TTTT", 1)]
+    # An empty line is an empty sequence.
+    assert sorted(map(tuple, both.collect())) == [
+        ("", 0), ("ACGT", 1), ("CCCC", 0), ("GGGN", 0), ("TTTT", 1),
+    ]
