@@ -150,3 +150,100 @@ SELECT doc_id, n_bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(p), d::INTEGER, '0
     d::INTEGER AS depth, shard_bytes
 FROM found
 """
+
+
+def _edit(place: str, cost: str, letter: str) -> str:
+    """A (cost, audit) key, nine digits and the audit, after one more edit."""
+    return f"lpad((left({place}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({place}, 10) || '{letter}'"
+
+
+_TO_U = ", ".join(_edit(p, "5", "I") for p in "bsa")
+_TO_A = ", ".join([_edit("u", "5", "I"), *[_edit(p, "10", "II") for p in "bs"]])
+
+
+def _kept(place: str, role: str) -> str:
+    return f"CASE WHEN must_go THEN NULL WHEN role[1] = '{role}' THEN {_edit(place, 'more', 'K')} END"
+
+
+def _reroled(place: str) -> str:
+    return f"CASE WHEN must_go THEN NULL ELSE {_edit(place, '1 + more', 'R')} END"
+
+
+# Places of the role pattern as columns: b nothing yet, s, u, a; one step per row.
+REPAIRS = rf"""
+WITH RECURSIVE bits AS (
+    SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) AS r(i)
+    UNION ALL
+    SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+    SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+    FROM conversations
+), ways AS (
+    SELECT named.*, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: ord(x)::BIGINT)),
+        lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1]))) % 20 AS way
+    FROM named, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+        CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE WHEN way = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM ways WHERE way <> 0
+), placed AS (
+    SELECT conv_id, turn, role, text, regexp_replace(text, '[ 	-]+$', '') AS bare,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos
+    FROM damaged
+), checked AS (
+    SELECT *, CASE WHEN bare = '' THEN 1
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2
+        WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+        lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) || role[1] AS pair
+    FROM placed
+), counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+        count_if(fault = 1)::BIGINT AS blank, count_if(fault = 2)::BIGINT AS duplicate,
+        count_if(fault = 3)::BIGINT AS truncated,
+        count_if(pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, count(*) AS n
+    FROM checked GROUP BY conv_id
+), dp AS (
+    SELECT conv_id, 0::BIGINT AS pos, '000000000' AS b, NULL::VARCHAR AS s, '000000005I' AS u, '000000010II' AS a
+    FROM counted
+    UNION ALL
+    SELECT conv_id, pos, b, s, least(u, {_TO_U}), least(a, {_TO_A}, {_edit(f"least(u, {_TO_U})", "5", "I")})
+    FROM (
+        SELECT dp.conv_id, c.pos, {_edit("b", "2", "D")} AS b,
+            least({_edit("s", "2", "D")}, {_kept("b", "s")}) AS s,
+            least({_edit("u", "2", "D")}, {", ".join(f(p, *r) for p in "bsa" for f, r in ((_kept, "u"), (_reroled, "")))}) AS u,
+            least({_edit("a", "2", "D")}, {_kept("u", "a")}, {_reroled("u")}) AS a
+        FROM dp JOIN (
+            SELECT conv_id, pos, role, fault IN (1, 2) AS must_go, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS more FROM checked
+        ) AS c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.pos = dp.pos + 1
+    )
+), best AS (
+    SELECT dp.conv_id, least(b, a) AS best FROM dp JOIN counted AS c
+        ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.pos
+), edits AS (
+    SELECT conv_id, k, substr(best, 9 + k, 1) AS edit,
+        len(replace(substr(best, 10, k), 'I', '')) AS pos, len(replace(substr(best, 10, k), 'D', '')) AS place
+    FROM (SELECT conv_id, best, unnest(range(1, len(best) - 8)) AS k FROM best)
+), lines AS (
+    SELECT e.conv_id, k, edit, place, c.role, CASE WHEN edit = 'I' THEN '' ELSE c.text END AS text,
+        coalesce(bool_or(place = 1 AND edit = 'K' AND c.role[1] = 's') OVER (PARTITION BY e.conv_id), false) AS led
+    FROM edits AS e LEFT JOIN checked AS c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.pos = e.pos
+    WHERE edit <> 'D'
+), repaired AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role
+        WHEN (place - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS whole
+    FROM lines GROUP BY conv_id
+)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+    coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+    coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 9)::BIGINT, 0)::BIGINT AS cost,
+    coalesce(substr(best, 10), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS i
+LEFT JOIN counted AS c ON c.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN repaired AS r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""

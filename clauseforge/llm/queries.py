@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseforge.llm import (
-    binary, chat, counts, decontaminate, minhash, oracle, packing, pii, quality, sharding, toxicity,
+    binary, chat, counts, decontaminate, languages, minhash, oracle, packing, pii, quality, repair,
+    sharding, toxicity, whitening,
 )
 from clauseforge.llm.tables import stored, table
 from clauseforge.storage import fresh_path
@@ -67,6 +68,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(turns), turns)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_token_binary,
         op10_pii,
+        op11_conversation_repair,
+        op12_language_id,
+        op13_embedding_whitening,
     )
 }
 ORACLE: dict[str, str] = {
@@ -88,4 +105,5 @@ ORACLE: dict[str, str] = {
     "op5_sharding": oracle.SHARDS,
     "op7_quality_rules": oracle.QUALITY,
     "op8_minhash_near_dedup": oracle.NEAR_DUPLICATES,
+    "op11_conversation_repair": oracle.REPAIRS,
 }

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_stage_order():
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality", "near_dedup", "decontamination", "personal_data", "packing"]
-    assert len([n for n in QUERIES if re.match(r"op\d+_", n)]) == 10
+    assert len([n for n in QUERIES if re.match(r"op\d+_", n)]) == 13
     assert set(ORACLE) <= set(QUERIES)
 
 
