@@ -81,6 +81,13 @@ class Block:
     def flagged(self, flag: np.ndarray) -> Block:
         return replace(self, flag=flag)
 
+    def joined(self, other: Block) -> Block:
+        halves = None if self.halves is None else np.concatenate([self.halves, other.halves])
+        return Block(
+            np.concatenate([self.ones, other.ones]), halves,
+            np.concatenate([self.mult, other.mult]), np.concatenate([self.flag, other.flag]),
+        )
+
 
 def block_from_arrow(batch, width: int, halves: bool) -> Block:
     """A block from Arrow columns ``w*``, ``h*``, ``mult`` and, if present, ``flag``."""

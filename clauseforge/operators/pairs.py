@@ -1,11 +1,16 @@
 """Positives against negatives, without a row per pair.
 
-One side is broadcast and the rows of the other stream past it where they lie,
-without a shuffle. A side that is over the byte limit is sent in pieces below
-it, one after another, each in a job of its own; rows are copied nowhere, and
-what is moved is the smaller side once per executor, however large the other.
+While the smaller side is below a byte limit it is broadcast, and the rows of the
+other stream past it where they lie, without a shuffle.
 
-A task reduces its pairs to one number per literal before anything is shuffled.
+Beyond the limit both sides become block tables: one row holds a few thousand
+packed vectors as binary. Blocks are dealt to R and C groups, and cell (r, c) of a
+grid is one task's meeting of group r with group c, so a block is copied once per
+group of the other side and no vector passes through the driver. A step is one
+job, whatever the sizes.
+
+A cell or task reduces its pairs to one number per literal; these are added up
+within each task first, then by literal across tasks.
 """
 
 from __future__ import annotations
@@ -39,6 +44,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STRATEGIES = ("auto", "broadcast_positive", "broadcast_negative", "cross")
 BROADCAST_LIMIT = 64 * 1024 * 1024
 TALLY_SCHEMA = "key int, r decimal(38,0), pos bigint, neg bigint"
+BLOCK_SCHEMA = "first int, n int, ones binary, halves binary, mult binary, flag binary"
+# Two blocks of this many vectors are some seconds of work for a core.
+BLOCK_ROWS = 1 << 14
+# Cells for each core there is now, so that tasks of uneven work even out.
+CELLS_PER_CORE = 4
+# Pair-literal products for which one more task is worth it.
+CELL_TASK_WORK = 1 << 36
 # Partial rows the driver may add up itself; more are merged in Spark.
 DRIVER_ROWS = 1 << 16
 # The key under which the flagged rows of each side are counted.
@@ -54,8 +66,8 @@ class TableSide:
     halves: bool
     vectors: int
     tasks: int
-    # Rows of this side that may be sent at once where it is the smaller one.
-    piece_rows: int = 1 << 20
+    # Vectors of this side that one block may hold.
+    block_rows: int = 1 << 14
 
     def pick(self, keep: Mask, erased_by: Mask | None = None) -> TableSide:
         """Rows that meet ``keep``; flagged are all of them, or those ``erased_by`` drops."""
@@ -108,7 +120,7 @@ class ArraySide:
 def choose_strategy(
     strategy: str, positive_vectors: int, negative_vectors: int, row_bytes: int, limit: int
 ) -> str:
-    """The form to run. A broadcast that would pass ``limit`` is sent in pieces."""
+    """The form to run. Sides that would pass ``limit`` as a broadcast meet in a grid of blocks."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     fits = {
@@ -136,26 +148,57 @@ def pair_tally(pos, neg, rule: Rule) -> tuple[DataFrame, object]:
     the sides that are distributed. Also returns the broadcast to destroy after
     the job, if there is one.
     """
-    return _partials(pos, neg, _RelevanceKernel(rule))
+    return partial_rows(pos, neg, _RelevanceKernel(rule))
 
 
 def distance_tally(pos, neg, width: int) -> DataFrame:
     """``(key, r)`` partial rows: pairs with a flagged row at each distance."""
-    return _partials(pos, neg, _DistanceKernel(width))[0].select("key", "r")
+    return partial_rows(pos, neg, _DistanceKernel(width))[0].select("key", "r")
 
 
-def _partials(pos, neg, kernel):
+def partial_rows(pos, neg, kernel):
+    """The kernel's rows, one set per task or cell, and the broadcast to destroy, if any."""
     if isinstance(pos, ArraySide) and isinstance(neg, ArraySide):
         raise ValueError("at least one side has to be distributed")
     if isinstance(pos, ArraySide):
         return _against_broadcast(neg, pos, kernel, small_is_positive=True)
     if isinstance(neg, ArraySide):
         return _against_broadcast(pos, neg, kernel, small_is_positive=False)
-    return _in_pieces(pos, neg, kernel), None
+    return _in_grid(pos, neg, kernel), None
+
+
+class Kernel:
+    """What two blocks add up to: ``keys`` whole numbers and counts of flagged rows."""
+
+    schema = TALLY_SCHEMA
+
+    def zero(self):
+        return 0
+
+    def counts(self, block: Block):
+        return np.zeros(self.keys, dtype=np.int64), 0
+
+    def rows(self, sums, pos_counts, neg_counts) -> pa.RecordBatch:
+        keys = np.append(np.arange(self.keys, dtype=np.int32), np.int32(TOTALS))
+        values = sums if isinstance(sums, np.ndarray) else np.zeros(self.keys, dtype=object)
+
+        def counted(counts) -> pa.Array:
+            per_key, total = counts
+            return pa.array(np.append(per_key, total), pa.int64())
+
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(keys, pa.int32()),
+                pa.array([Decimal(int(x)) for x in values] + [Decimal(0)], pa.decimal128(38, 0)),
+                counted(pos_counts),
+                counted(neg_counts),
+            ],
+            names=["key", "r", "pos", "neg"],
+        )
 
 
 @dataclass(frozen=True)
-class _RelevanceKernel:
+class _RelevanceKernel(Kernel):
     rule: Rule
 
     @property
@@ -176,7 +219,7 @@ class _RelevanceKernel:
 
 
 @dataclass(frozen=True)
-class _DistanceKernel:
+class _DistanceKernel(Kernel):
     width: int
 
     @property
@@ -186,27 +229,6 @@ class _DistanceKernel:
     def sums(self, pos: Block, neg: Block):
         return distance_counts(pos, neg, self.width)
 
-    def counts(self, block: Block):
-        return np.zeros(self.keys, dtype=np.int64), 0
-
-
-def _rows(kernel, sums, pos_counts, neg_counts) -> pa.RecordBatch:
-    keys = np.append(np.arange(kernel.keys, dtype=np.int32), np.int32(TOTALS))
-
-    def counted(counts) -> pa.Array:
-        per_key, total = counts
-        return pa.array(np.append(per_key, total), pa.int64())
-
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(keys, pa.int32()),
-            pa.array([Decimal(int(x)) for x in sums] + [Decimal(0)], pa.decimal128(38, 0)),
-            counted(pos_counts),
-            counted(neg_counts),
-        ],
-        names=["key", "r", "pos", "neg"],
-    )
-
 
 def _nothing(kernel):
     return np.zeros(kernel.keys, dtype=np.int64), 0
@@ -219,7 +241,7 @@ def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positi
 
     def task(batches):
         held = Block(*sent.value)
-        sums, counts, seen = 0, _nothing(kernel), False
+        sums, counts, seen = kernel.zero(), _nothing(kernel), False
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -231,55 +253,125 @@ def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positi
         if seen:
             nothing = _nothing(kernel)
             sides = (nothing, counts) if small_is_positive else (counts, nothing)
-            yield _rows(kernel, sums, *sides)
+            yield kernel.rows(sums, *sides)
 
-    return big.df.mapInArrow(task, TALLY_SCHEMA), sent
+    return big.df.mapInArrow(task, kernel.schema), sent
 
 
-def piece_count(rows: int, piece_rows: int) -> int:
-    return max(1, math.ceil(rows / max(1, piece_rows)))
+# Both sides large
 
 
-def _in_pieces(pos: TableSide, neg: TableSide, kernel) -> DataFrame:
-    """Both sides distributed: the smaller one is fetched and sent piece by piece.
+@dataclass(frozen=True)
+class Grid:
+    """How two sides of block tables meet."""
+
+    pos_rows: int
+    neg_rows: int
+    pos_groups: int
+    neg_groups: int
+    tasks: int
+
+
+def grid_of(pos_vectors: int, neg_vectors: int, most: tuple[int, int], width: int, cores: int) -> Grid:
+    """Blocks so large that cells are few and so small that every core gets several.
+
+    ``most`` is the number of vectors a block of either side may hold. Neither it
+    nor the number of cells is bound to the cores there are where the work asks for
+    more tasks.
+    """
+    even = math.isqrt(max(1, pos_vectors * neg_vectors // (CELLS_PER_CORE * cores)))
+    rows = [min(max(even, blocks.TILE), BLOCK_ROWS, max(1, m)) for m in most]
+    groups = [max(1, math.ceil(n / r)) for n, r in zip((pos_vectors, neg_vectors), rows)]
+    work = pos_vectors * neg_vectors * 2 * width
+    tasks = min(groups[0] * groups[1], max(CELLS_PER_CORE * cores, math.ceil(work / CELL_TASK_WORK)))
+    return Grid(*rows, *groups, tasks)
+
+
+def block_table(side: TableSide, rows: int) -> DataFrame:
+    """The side's vectors ``rows`` at a time, packed where they lie: ``(first, n, ones, halves, mult, flag)``.
 
-    The driver holds one piece and the running sums, one number per key.
+    ``first`` numbers the blocks of all tasks without gaps while they are full, which
+    deals them evenly to any number of groups.
     """
-    small_is_positive = pos.vectors <= neg.vectors
-    small, big = (pos, neg) if small_is_positive else (neg, pos)
-    pieces = piece_count(small.vectors, small.piece_rows)
-    words = one_columns(small.width) + (half_columns(small.width) if small.halves else [])
-    piece = F.pmod(F.xxhash64(*words), F.lit(pieces))
-    keys = kernel.keys + 1
-    sums, small_counts, big_counts = [0] * keys, np.zeros(keys, object), np.zeros(keys, object)
-    for number in range(pieces):
-        rows = small.df.where(piece == number) if pieces > 1 else small.df
-        held = block_from_arrow(rows.toArrow(), small.width, small.halves)
-        if len(held):
-            per_key, total = kernel.counts(held)
-            small_counts += np.append(per_key, total).astype(object)
-        elif number:
-            continue
-        part, sent = _against_broadcast(big, ArraySide(held, small.width), kernel, small_is_positive)
-        for row in merged(part).collect():
-            at = row["key"] if row["key"] != TOTALS else keys - 1
-            sums[at] += int(row["r"])
-            # Every piece meets the whole of the other side; it counts once.
-            if number == 0:
-                big_counts[at] += row["neg"] if small_is_positive else row["pos"]
-        sent.destroy()
-    p, n = (small_counts, big_counts) if small_is_positive else (big_counts, small_counts)
-    rows = [
-        (k if k < keys - 1 else TOTALS, Decimal(sums[k]), int(p[k]), int(n[k])) for k in range(keys)
-    ]
-    return pos.df.sparkSession.createDataFrame(rows, TALLY_SCHEMA)
+    width, halves, tasks = side.width, side.halves, side.tasks
+
+    def task(batches):
+        from pyspark import TaskContext
+
+        number, pending = TaskContext.get().partitionId(), None
+        for batch in batches:
+            if batch.num_rows:
+                block = block_from_arrow(batch, width, halves)
+                pending = block if pending is None else pending.joined(block)
+            while pending is not None and len(pending) >= rows:
+                yield _block_row(pending.take(slice(0, rows)), number)
+                pending, number = pending.take(slice(rows, None)), number + tasks
+        if pending is not None and len(pending):
+            yield _block_row(pending, number)
+
+    return side.df.mapInArrow(task, BLOCK_SCHEMA)
+
+
+def _block_row(block: Block, number: int) -> pa.RecordBatch:
+    halves = None if block.halves is None else np.ascontiguousarray(block.halves).tobytes()
+    values = [np.ascontiguousarray(x).tobytes() for x in (block.ones, block.mult, block.flag)]
+    binary = [values[0], halves, values[1], values[2]]
+    columns = [pa.array([number % (1 << 31)], pa.int32()), pa.array([len(block)], pa.int32())]
+    columns += [pa.array([b], pa.binary()) for b in binary]
+    return pa.RecordBatch.from_arrays(columns, names=["first", "n", "ones", "halves", "mult", "flag"])
+
+
+def _block_of(table: pa.Table, width: int, halves: bool) -> Block:
+    """All block rows of one group as one block."""
+
+    def whole(name: str, dtype) -> np.ndarray:
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
+
+    words = -(-width // 64)
+    return Block(
+        whole("ones", np.int64).reshape(-1, words),
+        whole("halves", np.int64).reshape(-1, words) if halves else None,
+        whole("mult", np.int64),
+        whole("flag", bool),
+    )
+
+
+def _in_grid(pos: TableSide, neg: TableSide, kernel) -> DataFrame:
+    """Both sides distributed: every block of one meets every block of the other in some cell."""
+    cores = pos.df.sparkSession.sparkContext.defaultParallelism
+    grid = grid_of(pos.vectors, neg.vectors, (pos.block_rows, neg.block_rows), pos.width, cores)
+    rows, columns = grid.pos_groups, grid.neg_groups
+    width, halves = pos.width, pos.halves
+
+    def dealt(side: TableSide, size: int, groups: int, others: int, cell: str) -> DataFrame:
+        held = block_table(side, size).withColumn("own", F.col("first") % groups)
+        copies = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        # A number of partitions that is named is not merged by bytes: cells are few bytes but much work.
+        return copies.withColumn("cell", F.expr(cell)).repartition(grid.tasks, "cell")
+
+    left = dealt(pos, grid.pos_rows, rows, columns, f"CAST(own AS bigint) * {columns} + other")
+    right = dealt(neg, grid.neg_rows, columns, rows, f"CAST(other AS bigint) * {columns} + own")
+
+    def meet(key, p: pa.Table, n: pa.Table) -> pa.Table:
+        cell = key[0].as_py()
+        p_block, n_block = _block_of(p, width, halves), _block_of(n, width, halves)
+        nothing = _nothing(kernel)
+        # A group meets all others; its own rows count once.
+        counts = (
+            kernel.counts(p_block) if cell % columns == 0 else nothing,
+            kernel.counts(n_block) if cell // columns == 0 else nothing,
+        )
+        sums = kernel.zero() + kernel.sums(p_block, n_block)
+        return pa.Table.from_batches([kernel.rows(sums, *counts)])
+
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, kernel.schema)
 
 
 def fetch_tally(partials: DataFrame, pos, neg, width: int) -> list:
     """The partial rows on the driver: one row per key and task while those are few,
     else merged to one row per key first."""
     tables = [s for s in (pos, neg) if isinstance(s, TableSide)]
-    if len(tables) == 2 or tables[0].tasks * (4 * width + 1) <= DRIVER_ROWS:
+    if len(tables) == 1 and tables[0].tasks * (4 * width + 1) <= DRIVER_ROWS:
         return partials.collect()
     return merged(partials).collect()
 

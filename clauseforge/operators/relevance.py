@@ -53,9 +53,9 @@ def sides(
         tasks = instances.tasks
         if partitions and partitions > 0 and partitions != tasks:
             df, tasks = df.repartition(partitions).persist(), partitions
-        return TableSide(df, instances.width, instances.halves, vectors, tasks, piece_rows)
+        return TableSide(df, instances.width, instances.halves, vectors, tasks, block_rows)
 
-    piece_rows = max(1, limit // instances.row_bytes)
+    block_rows = max(1, limit // instances.row_bytes)
     return (
         side("pos", instances.positive_vectors, chosen == "broadcast_positive", positive_partitions),
         side("neg", instances.negative_vectors, chosen == "broadcast_negative", negative_partitions),

@@ -47,8 +47,8 @@ MANY_TERMS = [
 ] + [
     {6 + r: 1, 11 + w: 1, 11 + (w + 5) % 16: 0} for r in range(5) for w in range(16) if (r + w) % 2
 ]
-# So few rows of the smaller side are sent at once that the part table needs many pieces.
-PIECE_BYTES = 17 * 16
+# So few vectors to a block that both sides of the part table need several.
+BLOCK_BYTES = 17 * 128
 LETTERS = "aetn"
 DIGITS = "0123456789"
 
@@ -407,7 +407,7 @@ QUERIES = {
     "relevance_vector": _relevance("auto"),
     "relevance_broadcast_positive": _relevance("broadcast_positive"),
     "relevance_broadcast_negative": _relevance("broadcast_negative"),
-    "relevance_grid": _relevance("cross", limit=PIECE_BYTES),
+    "relevance_grid": _relevance("cross", limit=BLOCK_BYTES),
     "relevance_documents": _relevance("auto", document_instances, DOCUMENT_WIDTH),
     "relevance_documents_drop": relevance_documents_drop,
     "relevance_lineitem": _relevance("auto", lineitem_instances, LINE_WIDTH),
@@ -421,7 +421,7 @@ QUERIES = {
     "first_term_trace_documents": first_term_trace_documents,
     "learned_terms": learned_terms,
     "learned_terms_broadcast_negative": _learned("broadcast_negative"),
-    "learned_terms_grid": _learned("cross", limit=PIECE_BYTES),
+    "learned_terms_grid": _learned("cross", limit=BLOCK_BYTES),
     "learned_terms_uncertain": learned_terms_uncertain,
     "fit_two_sets": fit_two_sets,
     "learned_terms_documents": learned_terms_documents,

@@ -17,7 +17,7 @@ from clauseforge.functions.encode import encode, to_vectors
 from clauseforge.operators import pairs
 from clauseforge.operators.evaluate import accuracy
 from clauseforge.operators.instances import gather_instances, split_by_label
-from clauseforge.operators.pairs import choose_strategy, piece_count
+from clauseforge.operators.pairs import BLOCK_ROWS, choose_strategy, grid_of
 from clauseforge.operators.relevance import relevance, relevance_after, top_literal
 from clauseforge.plans import learner
 from clauseforge.plans.fixtures import part_instances
@@ -232,7 +232,7 @@ def test_first_term_trace(spark):
     assert [(r["lit"], r["p"], r["q"]) for r in trace] == [(3, 28, 11), (34, 28, 0)]
 
 
-def test_a_side_past_its_limit_is_sent_in_pieces(spark):
+def test_sides_past_their_limit_meet_in_a_grid(spark):
     assert choose_strategy("broadcast_positive", 1000, 10, 33, limit=1000) == "cross"
     assert choose_strategy("auto", 1000, 10, 33, limit=1000) == "broadcast_negative"
     assert choose_strategy("auto", 1000, 1000, 33, limit=1000) == "cross"
@@ -240,14 +240,23 @@ def test_a_side_past_its_limit_is_sent_in_pieces(spark):
     assert model.formula == "x1x2^ + x1^x2" and model.version.endswith("cross")
 
 
-def test_pieces_are_bounded():
-    assert piece_count(10_000_000, 65536) == 153
-    assert piece_count(0, 10) == piece_count(3, 10) == 1
+def test_grids_are_bounded():
+    for p, q, most, cores in [
+        (10_000_000, 8_000_000, 1 << 20, 800), (34_000, 34_000, 1 << 20, 8), (5, 3, 1 << 20, 8), (40, 9, 2, 8),
+        (1, 10_000_000, 1 << 20, 64), (0, 7, 10, 4),
+    ]:
+        grid = grid_of(p, q, (most, most), 27, cores)
+        assert max(grid.pos_rows, grid.neg_rows) <= min(BLOCK_ROWS, most)
+        assert grid.pos_groups * grid.pos_rows >= p and grid.neg_groups * grid.neg_rows >= q
+        assert 1 <= grid.tasks <= grid.pos_groups * grid.neg_groups
+    # A grid of few blocks still has work for every core.
+    grid = grid_of(34_000, 34_000, (1 << 20, 1 << 20), 77, 8)
+    assert grid.pos_groups * grid.neg_groups >= 32
 
 
 @pytest.mark.parametrize("sides", [(40, 7), (7, 40), (1, 30)])
 @pytest.mark.parametrize("limit", [17, 17 * 3, 1 << 20])
-def test_pieces_give_the_sums_of_one_broadcast(spark, sides, limit):
+def test_grids_give_the_sums_of_one_broadcast(spark, sides, limit):
     rng = np.random.default_rng(sides[0])
     pos = [[1] + r for r in rng.integers(0, 2, size=(sides[0], 9)).tolist()]
     neg = [[0] + r for r in rng.integers(0, 2, size=(sides[1], 9)).tolist()]
@@ -263,10 +272,56 @@ def test_pieces_give_the_sums_of_one_broadcast(spark, sides, limit):
     assert traces[0] == traces[1]
 
 
-def test_no_row_is_copied(spark):
+def test_blocks_are_copied_and_rows_are_not(spark):
     gathered = gather_instances(part_instances(spark, f"{TESTDATA}/sf0.001"))
     plan = relevance(gathered, "cross", limit=17 * 4)._jdf.queryExecution().toString()
-    assert "Generate" not in plan and "CoGroup" not in plan and "Cartesian" not in plan
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Cartesian" not in physical and "BroadcastNestedLoop" not in physical
+    # Read from the top: every copying step stands above a packing step.
+    steps = [line for line in physical.splitlines() if "Generate" in line or "MapInArrow" in line]
+    assert ["Generate" in s for s in steps] == [True, False] * (len(steps) // 2) and steps
+
+
+def jobs_of(spark, name, action):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = action()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_grid_step_is_one_query_without_vectors_on_the_driver(spark, monkeypatch):
+    df = part_instances(spark, f"{TESTDATA}/sf0.01")
+    gathered = gather_instances(df)
+    whole, _ = jobs_of(spark, "whole", lambda: sorted(relevance(gathered, "broadcast_positive").collect()))
+
+    def fetched(*args):
+        raise AssertionError("vectors were fetched")
+
+    monkeypatch.setattr(type(df), "toArrow", fetched)
+    counted = []
+    for number, vectors in enumerate((4096, 64, 16)):
+        rows, jobs = jobs_of(
+            spark, f"grid-{number}",
+            lambda: sorted(relevance(gathered, "cross", limit=gathered.row_bytes * vectors).collect()),
+        )
+        assert rows == whole
+        counted.append(jobs)
+    # From one cell to hundreds, jobs stay the same.
+    assert len(set(counted)) == 1
+    found = fit_labelled(df, strategy="cross", limit=gathered.row_bytes * 64)
+    assert found.formula == "x4x8^ + x1x7"
+
+
+def test_blocks_hold_every_row_once(spark):
+    gathered = gather_instances(part_instances(spark, f"{TESTDATA}/sf0.001"))
+    side = pairs.TableSide(gathered.side("neg"), gathered.width, False, gathered.negative_vectors, gathered.tasks)
+    for rows in (1, 7, 4096):
+        held = pairs.block_table(side.pick(pairs.Mask.empty(gathered.width)), rows).collect()
+        assert sum(r["n"] for r in held) == gathered.negative_vectors
+        assert all(r["n"] <= rows and len(r["ones"]) == 8 * r["n"] for r in held)
+        assert len({r["first"] for r in held}) == len(held)
 
 
 @pytest.mark.parametrize("times", [1, 12, 13, 16])
