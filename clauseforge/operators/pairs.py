@@ -49,8 +49,10 @@ BLOCK_SCHEMA = "first int, n int, ones binary, halves binary, mult binary, flag
 BLOCK_ROWS = 1 << 14
 # Cells for each core there is now, so that tasks of uneven work even out.
 CELLS_PER_CORE = 4
-# Pair-literal products for which one more task is worth it.
-CELL_TASK_WORK = 1 << 36
+# Pair-literal products for which a cell on a core of its own is worth it, and
+# for which one more task is, whatever number of cores there is.
+CELL_WORK = 1 << 28
+LONG_CELL_WORK = 1 << 36
 # Partial rows the driver may add up itself; more are merged in Spark.
 DRIVER_ROWS = 1 << 16
 # The key under which the flagged rows of each side are counted.
@@ -275,15 +277,15 @@ class Grid:
 def grid_of(pos_vectors: int, neg_vectors: int, most: tuple[int, int], width: int, cores: int) -> Grid:
     """Blocks so large that cells are few and so small that every core gets several.
 
-    ``most`` is the number of vectors a block of either side may hold. Neither it
-    nor the number of cells is bound to the cores there are where the work asks for
-    more tasks.
+    ``most`` is the number of vectors a block of either side may hold. Little work
+    is one cell; much work is more tasks than there are cores now.
     """
-    even = math.isqrt(max(1, pos_vectors * neg_vectors // (CELLS_PER_CORE * cores)))
+    work = pos_vectors * neg_vectors * 2 * width
+    wanted = max(1, min(CELLS_PER_CORE * cores, math.ceil(work / CELL_WORK)))
+    even = math.isqrt(max(1, pos_vectors * neg_vectors // wanted))
     rows = [min(max(even, blocks.TILE), BLOCK_ROWS, max(1, m)) for m in most]
     groups = [max(1, math.ceil(n / r)) for n, r in zip((pos_vectors, neg_vectors), rows)]
-    work = pos_vectors * neg_vectors * 2 * width
-    tasks = min(groups[0] * groups[1], max(CELLS_PER_CORE * cores, math.ceil(work / CELL_TASK_WORK)))
+    tasks = min(groups[0] * groups[1], max(wanted, math.ceil(work / LONG_CELL_WORK)))
     return Grid(*rows, *groups, tasks)
 
 
