@@ -38,6 +38,19 @@ def one_hot_active(text: Column, alphabet: str = NUCLEOTIDES) -> Column:
     return F.filter(places, lambda x: x.isNotNull())
 
 
+def feature_set(indices: Column, width: int) -> Column:
+    """The 0/1 vector of ``width`` features whose ones are at ``indices``, as a struct.
+
+    Training and classification read it as it is; nothing has an entry per feature.
+    """
+    return F.struct(F.lit(width).alias("size"), indices.cast("array<int>").alias("indices"))
+
+
+def one_hot_set(text: Column, width: int, alphabet: str = NUCLEOTIDES) -> Column:
+    """The one-hot code of texts of equal length as a set of ``width`` features."""
+    return feature_set(one_hot_active(text, alphabet), width)
+
+
 def index_code(text: Column, alphabet: str = NUCLEOTIDES) -> Column:
     """Per character its 1-based place in ``alphabet`` as a double, 0.0 for others."""
     return F.transform(characters(text), lambda c: _place(c, alphabet).cast("double"))

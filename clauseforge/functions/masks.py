@@ -40,7 +40,12 @@ def pack_word(features: Column, index: int, value: float) -> Column:
 
 def bit_string(width: int) -> Column:
     """A packed 0/1 row as a string of 0 and 1 in feature order."""
-    parts = [F.reverse(F.lpad(F.bin(F.col(c)), WORD, "0")) for c in one_columns(width)]
+    return word_text(one_columns(width), width)
+
+
+def word_text(columns: list[str], width: int) -> Column:
+    """The bits of word columns as text, in feature order."""
+    parts = [F.reverse(F.lpad(F.bin(F.col(c)), WORD, "0")) for c in columns]
     return F.substring(F.concat(*parts), 1, width)
 
 

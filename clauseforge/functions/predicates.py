@@ -12,6 +12,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def is_feature_set(df: DataFrame, features: str = "features") -> bool:
+    """Whether the feature column is a set of active features (see ``encode.feature_set``)."""
+    kind = df.schema[features].dataType
+    return isinstance(kind, StructType) and {"size", "indices"} <= set(kind.names)
+
+
+def feature_column(df: DataFrame, features: str = "features") -> Column:
+    """The feature column as packing takes it: vectors and sets as they are, arrays as doubles."""
+    if isinstance(df.schema[features].dataType, VectorUDT) or is_feature_set(df, features):
+        return F.col(features)
+    return F.col(features).cast("array<double>")
 
 
 def feature_array(df: DataFrame, features: str = "features") -> Column:
@@ -50,3 +64,18 @@ def term_allows(features: Column, term: dict[int, int]) -> Column:
 def any_term_allows(features: Column, terms: list[dict[int, int]]) -> Column:
     """True where at least one term is not contradicted."""
     return reduce(lambda a, b: a | b, [term_allows(features, t) for t in terms], F.lit(False))
+
+
+def set_meets(features: Column, term: dict[int, int]) -> Column:
+    """:func:`term_allows` over a set of active features, which has no uncertain values."""
+    held = features["indices"]
+    tests = [
+        F.array_contains(held, k) if want else ~F.array_contains(held, k)
+        for k, want in sorted(term.items())
+    ]
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def any_term_meets(features: Column, terms: list[dict[int, int]]) -> Column:
+    """:func:`any_term_allows` over a set of active features."""
+    return reduce(lambda a, b: a | b, [set_meets(features, t) for t in terms], F.lit(False))

@@ -7,6 +7,7 @@ sums are exact and do not depend on how rows were partitioned or ordered.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -112,22 +113,86 @@ def block_from_arrow(batch, width: int, halves: bool) -> Block:
 
 
 def packed_batch(batch: pa.RecordBatch, width: int, kept: int) -> pa.RecordBatch:
-    """The first ``kept`` columns as they are, then the feature lists of the next as words."""
-    lists = batch.column(kept)
+    """The first ``kept`` columns as they are, then the features of the next as words.
+
+    Features are lists of values, vectors in Spark's sparse or dense form, or sets
+    of active features; the last two become words from their indices, without a
+    value per feature.
+    """
+    features = batch.column(kept)
+    if features.null_count:
+        raise _unsound(width)
+    found = (_struct_words if pa.types.is_struct(features.type) else _list_words)(features, width)
+    columns = list(batch.columns[:kept])
+    for words in found:
+        columns += [pa.array(words[:, i]) for i in range(words.shape[1])]
+    names = batch.schema.names[:kept]
+    names += [f"{plane}{i}" for plane in "wh" for i in range(-(-width // 64))]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _unsound(width: int) -> ValueError:
+    return ValueError(f"a feature vector is not {width} values of 0, 0.5 or 1")
+
+
+def _list_words(lists, width: int) -> list[np.ndarray]:
+    """Words of the ones and of the halves of lists of ``width`` values."""
     values = lists.flatten().to_numpy(zero_copy_only=False)
     sound = not lists.null_count and bool((lists.value_lengths().to_numpy() == width).all())
     one, half = values == 1.0, values == 0.5
     if not sound or not (one | half | (values == 0.0)).all():
-        raise ValueError(f"a feature vector is not {width} values of 0, 0.5 or 1")
-    columns = list(batch.columns[:kept])
+        raise _unsound(width)
+    out = []
     for bits in (one, half):
         padded = np.zeros((len(lists), -(-width // 64) * 64), dtype=bool)
         padded[:, :width] = bits.reshape(-1, width)
-        words = np.packbits(padded, axis=1, bitorder="little").view(np.int64)
-        columns += [pa.array(words[:, i]) for i in range(words.shape[1])]
-    names = batch.schema.names[:kept]
-    names += [f"{plane}{i}" for plane in "wh" for i in range(-(-width // 64))]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+        out.append(np.packbits(padded, axis=1, bitorder="little").view(np.int64))
+    return out
+
+
+def _struct_words(vectors, width: int) -> list[np.ndarray]:
+    """The same for structs of ``size`` and ``indices``, which may also have ``values`` and a ``type``."""
+    names = [field.name for field in vectors.type]
+    out = [np.zeros((len(vectors), -(-width // 64)), dtype=np.int64) for _ in "wh"]
+    dense = np.zeros(len(vectors), dtype=bool)
+    if "type" in names:
+        dense = vectors.field("type").to_numpy(zero_copy_only=False) == 1
+    if dense.any():
+        rows = np.flatnonzero(dense)
+        for words, found in zip(out, _list_words(vectors.field("values").take(pa.array(rows)), width)):
+            words[rows] = found
+    rows = np.flatnonzero(~dense)
+    sparse = vectors if len(rows) == len(vectors) else vectors.take(pa.array(rows))
+    sizes, lists = sparse.field("size"), sparse.field("indices")
+    if sizes.null_count or lists.null_count or (sizes.to_numpy(zero_copy_only=False) != width).any():
+        raise _unsound(width)
+    flat = lists.flatten()
+    at = flat.to_numpy(zero_copy_only=False)
+    values = np.ones(len(at))
+    if "values" in names:
+        values = sparse.field("values").flatten().to_numpy(zero_copy_only=False)
+    within = not flat.null_count and len(values) == len(at) and (not len(at) or 0 <= at.min() and at.max() < width)
+    if not within or not np.isin(values, (0.0, 0.5, 1.0)).all():
+        raise _unsound(width)
+    owner = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    for words, value in zip(out, (1.0, 0.5)):
+        hit = values == value
+        words[rows] = _set_bits(owner[hit], at[hit], len(rows), words.shape[1])
+    return out
+
+
+def _set_bits(owner: np.ndarray, feature: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Word arrays of ``rows`` rows in which the given features of the given rows are set."""
+    flat = np.zeros(rows * words, dtype=np.uint64)
+    if len(feature):
+        place = owner * words + feature // 64
+        bit = np.left_shift(np.uint64(1), (feature % 64).astype(np.uint64))
+        if (place[1:] < place[:-1]).any():
+            order = np.argsort(place, kind="stable")
+            place, bit = place[order], bit[order]
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        flat[place[starts]] = np.bitwise_or.reduceat(bit, starts)
+    return flat.view(np.int64).reshape(rows, words)
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
@@ -216,6 +281,53 @@ def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
     return total
 
 
+def coefficient_counts(pos: Block, neg: Block, width: int) -> Counter:
+    """Pairs with a flagged row, with multiplicity, by what they give a literal.
+
+    A pair of c certain and m uncertain differences gives 1 / (c + m u) to a literal
+    it tells apart for certain, u / (c + m u) where one of the two values is
+    uncertain, and half of that where both are. Counted under (literal, c, m) are the
+    first as ``full`` and the others as ``part``, in halves; u is in neither.
+    """
+    total: Counter = Counter()
+    for left, right in _tiles(pos, neg):
+        total.update(_coefficient_tile(left, right, width))
+    return total
+
+
+def _coefficient_tile(pos: Block, neg: Block, width: int) -> dict:
+    def planes(block: Block):
+        one = unpack(block.ones, width)
+        half = np.zeros_like(one) if block.halves is None else unpack(block.halves, width)
+        return [x.astype(np.float32) for x in (one, 1 - one - half, half)]
+
+    (p1, p0, ph), (n1, n0, nh) = planes(pos), planes(neg)
+    certain = p1 @ n0.T + p0 @ n1.T
+    unsure = ph.sum(1)[:, None] + nh.sum(1)[None, :] - ph @ nh.T
+    kinds, kind = np.unique((certain * (width + 1) + unsure).astype(np.intp), return_inverse=True)
+    kind = kind.reshape(len(pos), len(neg))
+    found: dict = {}
+    for right_shift, right_digit in _digits(neg.mult):
+        for left_shift, left_digit in _digits(pos.mult):
+            scale = 1 << (left_shift + right_shift)
+            for literal in range(2 * width):
+                k = literal % width
+                a, b = (p1, n0) if literal < width else (p0, n1)
+                # Of a pair (value, other value): wanted and not, wanted and unsure, unsure and not, both unsure.
+                for name, left, right, halves in (
+                    ("full", a, b, 1), ("part", a, nh, 2), ("part", ph, b, 2), ("part", ph, nh, 1),
+                ):
+                    rows, columns = np.flatnonzero(left[:, k]), np.flatnonzero(right[:, k])
+                    if not len(rows) or not len(columns):
+                        continue
+                    weight = np.outer(left_digit[rows], right_digit[columns]).ravel()
+                    sums = np.bincount(kind[np.ix_(rows, columns)].ravel(), weights=weight, minlength=len(kinds))
+                    for at in np.flatnonzero(sums):
+                        key = (literal, *divmod(int(kinds[at]), width + 1), name)
+                        found[key] = found.get(key, 0) + int(sums[at]) * halves * scale
+    return found
+
+
 def _gap(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Positions where row i of ``p`` and row j of ``n`` differ, in one product.
 

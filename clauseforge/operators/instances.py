@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from clauseforge.errors import EmptySideError
 from clauseforge.functions.masks import half_columns, one_columns
-from clauseforge.functions.predicates import feature_array
+from clauseforge.functions.predicates import feature_array, feature_column, is_feature_set
 from clauseforge.operators import blocks
 from clauseforge.operators.blocks import packed_batch
 from clauseforge.storage import discard, keep_table
@@ -49,8 +49,11 @@ def split_by_label(df: DataFrame, label: str = "label", features: str = "feature
 def union_sides(positive: DataFrame, negative: DataFrame, features: str = "features") -> DataFrame:
     """One table with a ``label`` column from a positive and a negative set."""
 
+    alike = positive.schema[features].dataType == negative.schema[features].dataType
+    column = feature_column if alike else feature_array
+
     def side(df: DataFrame, label: int) -> DataFrame:
-        return df.select(F.lit(label).alias("label"), feature_array(df, features).alias("features"))
+        return df.select(F.lit(label).alias("label"), column(df, features).alias("features"))
 
     return side(positive, 1).unionByName(side(negative, 0))
 
@@ -64,7 +67,8 @@ def register_sides(df: DataFrame, positive: str = "positive", negative: str = "n
 
 def vector_width(df: DataFrame, features: str = "features") -> int | None:
     """Length of the first vector, or None for an empty table."""
-    row = df.select(F.size(feature_array(df, features)).alias("n")).head()
+    size = F.col(features)["size"] if is_feature_set(df, features) else F.size(feature_array(df, features))
+    row = df.select(size.alias("n")).head()
     return None if row is None else row["n"]
 
 
@@ -72,10 +76,11 @@ def pack(df: DataFrame, width: int, features: str = "features", keep: list[str]
     """Feature vectors as word columns; a vector of another width or value is an error.
 
     Array functions would take one interpreted call per feature; packing whole
-    Arrow batches is several times faster, and its output is n/8 bytes a row.
+    Arrow batches is several times faster, and its output is n/8 bytes a row. A
+    sparse vector or a set of active features goes from its indices to words.
     """
     kept = list(keep or [])
-    rows = df.select(*kept, feature_array(df, features).alias("__features"))
+    rows = df.select(*kept, feature_column(df, features).alias("__features"))
     fields = [rows.schema[c] for c in kept] + [
         StructField(c, LongType()) for c in one_columns(width) + half_columns(width)
     ]

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections import Counter
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
@@ -32,6 +33,7 @@ from clauseforge.operators.blocks import (
     Block,
     Rule,
     block_from_arrow,
+    coefficient_counts,
     distance_counts,
     literal_counts,
     relevance_sum,
@@ -44,6 +46,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STRATEGIES = ("auto", "broadcast_positive", "broadcast_negative", "cross")
 BROADCAST_LIMIT = 64 * 1024 * 1024
 TALLY_SCHEMA = "key int, r decimal(38,0), pos bigint, neg bigint"
+COEFFICIENT_SCHEMA = "lit int, certain int, unsure int, full decimal(38,0), part decimal(38,0)"
 BLOCK_SCHEMA = "first int, n int, ones binary, halves binary, mult binary, flag binary"
 # Two blocks of this many vectors are some seconds of work for a core.
 BLOCK_ROWS = 1 << 14
@@ -158,6 +161,11 @@ def distance_tally(pos, neg, width: int) -> DataFrame:
     return partial_rows(pos, neg, _DistanceKernel(width))[0].select("key", "r")
 
 
+def coefficient_tally(pos, neg, width: int) -> DataFrame:
+    """``(lit, certain, unsure, full, part)`` partial rows over pairs with a flagged row."""
+    return partial_rows(pos, neg, _CoefficientKernel(width))[0]
+
+
 def partial_rows(pos, neg, kernel):
     """The kernel's rows, one set per task or cell, and the broadcast to destroy, if any."""
     if isinstance(pos, ArraySide) and isinstance(neg, ArraySide):
@@ -232,6 +240,28 @@ class _DistanceKernel(Kernel):
         return distance_counts(pos, neg, self.width)
 
 
+@dataclass(frozen=True)
+class _CoefficientKernel(Kernel):
+    width: int
+    schema = COEFFICIENT_SCHEMA
+    keys = 0
+
+    def zero(self):
+        return Counter()
+
+    def sums(self, pos: Block, neg: Block):
+        return coefficient_counts(pos, neg, self.width)
+
+    def rows(self, sums, pos_counts, neg_counts) -> pa.RecordBatch:
+        keys = sorted({key[:3] for key in sums})
+        columns = [pa.array([key[i] for key in keys], pa.int32()) for i in range(3)]
+        columns += [
+            pa.array([Decimal(sums[(*key, name)]) for key in keys], pa.decimal128(38, 0))
+            for name in ("full", "part")
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["lit", "certain", "unsure", "full", "part"])
+
+
 def _nothing(kernel):
     return np.zeros(kernel.keys, dtype=np.int64), 0
 

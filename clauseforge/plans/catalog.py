@@ -12,10 +12,13 @@ from clauseforge.functions.predicates import literal_matches, literal_misses, te
 from clauseforge.operators import evaluate
 from clauseforge.operators import instances as inst
 from clauseforge.operators import relevance as rel
+from clauseforge.operators.rows import covered_rows as rows_covered
+from clauseforge.operators.rows import erased_rows as rows_erased
 from clauseforge.plans.fixtures import (
     DOCUMENT_WIDTH,
     LINE_WIDTH,
     PART_WIDTH,
+    WORD_WIDTH,
     document_instances,
     judged_document_instances,
     lineitem_instances,
@@ -25,6 +28,7 @@ from clauseforge.plans.fixtures import (
     table,
     uncertain_part_instances,
     widened,
+    word_shape_instances,
 )
 from clauseforge.plans.job import train_job
 from clauseforge.plans.learner import fit, fit_labelled, learn_term
@@ -41,11 +45,10 @@ NOT_ONE = PART_WIDTH + 7
 PROMO_TERM = {3: 1, 7: 0}
 # A model that is wrong on a known part of the parts: it wants no size of the economy ones.
 ROUGH_TERMS = [PROMO_TERM, {0: 1}]
-# More than 256 literals: types with words, and sizes with words that are absent.
+# 2,400 terms: a type, a size and two words of the name.
 MANY_TERMS = [
-    {t: 1, 11 + w: 1} for t in range(6) for w in range(16) if (t + w) % 3 != 0
-] + [
-    {6 + r: 1, 11 + w: 1, 11 + (w + 5) % 16: 0} for r in range(5) for w in range(16) if (r + w) % 2
+    {t: 1, 6 + r: 1, 11 + w: 1, 11 + v: 1}
+    for t in range(6) for r in range(5) for v in range(16) for w in range(v) if (t + 2 * r + w + 3 * v) % 3
 ]
 # So few vectors to a block that both sides of the part table need several.
 BLOCK_BYTES = 17 * 128
@@ -149,15 +152,13 @@ def assembled_columns(spark, sf_dir):
 
 
 def text_source(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    lines = documents.join(labels, "doc_id").select(
-        "toxic", F.translate("text", "\r\n", "  ").alias("value")
+    lines = table(spark, sf_dir, "documents").select(
+        (F.col("lang") == "en").cast("int").alias("english"), F.translate("text", "\r\n", "  ").alias("value")
     )
     paths = {}
     for value in (1, 0):
         paths[value] = fresh_path(spark, f"sequences-{value}")
-        lines.filter(F.col("toxic") == value).select("value").write.text(paths[value])
+        lines.filter(F.col("english") == value).select("value").write.text(paths[value])
     read = sequences.read_labelled_sequences(spark, paths[1], paths[0])
     return read.groupBy("label", "seq").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -177,6 +178,10 @@ def pair_distance_uncertain(spark, sf_dir):
     return _text(rel.pair_distances(_gathered(uncertain_part_instances(spark, sf_dir))), "pairs")
 
 
+def pair_distance_words(spark, sf_dir):
+    return _text(rel.pair_distances(_gathered(word_shape_instances(spark, sf_dir), WORD_WIDTH)), "pairs")
+
+
 def pair_distance_lineitem(spark, sf_dir):
     return _text(rel.pair_distances(_gathered(lineitem_instances(spark, sf_dir), LINE_WIDTH)), "pairs")
 
@@ -231,6 +236,32 @@ def relevance_update_uncertain(spark, sf_dir):
     return _text(rel.relevance_after(gathered, before, PROMO, halves="distance"), "r")
 
 
+# Rows behind the rules
+
+
+def covered_rows(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    positive = part_instances(spark, sf_dir).where("label = 1")
+    return rows_covered(positive, model.terms, PART_WIDTH, keep=["id"], digests=True)
+
+
+def erased_rows(spark, sf_dir):
+    df = part_instances(spark, sf_dir)
+    first = learn_term(df, width=PART_WIDTH).orderBy("step").select("lit").collect()
+    return rows_erased(df, [r["lit"] for r in first], PART_WIDTH, keep=["id"], digests=True)
+
+
+def relevance_update_weighted(spark, sf_dir):
+    gathered = _gathered(uncertain_part_instances(spark, sf_dir))
+    before = rel.relevance_coefficients(gathered)
+    return _text(rel.relevance_after(gathered, before, NOT_ONE), "r")
+
+
+def relevance_coefficients(spark, sf_dir):
+    gathered = _gathered(uncertain_part_instances(spark, sf_dir))
+    return _text(rel.relevance_coefficients(gathered, "cross"), "full", "part")
+
+
 # Learning
 
 
@@ -298,9 +329,10 @@ def classify(spark, sf_dir):
 
 
 def sequence_rules(spark, sf_dir):
-    encoded = encode.encode(order_dates(spark, sf_dir), "seq", alphabet=DIGITS)
-    model = fit_labelled(encoded, width=10 * len(DIGITS))
-    return model.transform(encoded).select("id", "class")
+    width = 10 * len(DIGITS)
+    hot = encode.one_hot_set(F.col("seq"), width, DIGITS)
+    encoded = order_dates(spark, sf_dir).withColumn("features", hot)
+    return fit_labelled(encoded, width=width).transform(encoded).select("id", "class")
 
 
 def classify_reloaded(spark, sf_dir):
@@ -402,6 +434,7 @@ QUERIES = {
     "pair_distance_documents": pair_distance_documents,
     "pair_distance_uncertain": pair_distance_uncertain,
     "pair_distance_lineitem": pair_distance_lineitem,
+    "pair_distance_words": pair_distance_words,
     "pair_semi": pair_semi,
     "pair_semi_uncovered": pair_semi_uncovered,
     "relevance_vector": _relevance("auto"),
@@ -410,6 +443,7 @@ QUERIES = {
     "relevance_grid": _relevance("cross", limit=BLOCK_BYTES),
     "relevance_documents": _relevance("auto", document_instances, DOCUMENT_WIDTH),
     "relevance_documents_drop": relevance_documents_drop,
+    "relevance_words": _relevance("auto", word_shape_instances, WORD_WIDTH),
     "relevance_lineitem": _relevance("auto", lineitem_instances, LINE_WIDTH),
     "relevance_uncertain": _relevance("broadcast_positive", uncertain_part_instances),
     "relevance_uncertain_distance": _relevance("cross", uncertain_part_instances, halves="distance"),
@@ -417,6 +451,10 @@ QUERIES = {
     "survivor_counts": survivor_counts,
     "relevance_update": relevance_update,
     "relevance_update_uncertain": relevance_update_uncertain,
+    "relevance_update_weighted": relevance_update_weighted,
+    "relevance_coefficients": relevance_coefficients,
+    "covered_rows": covered_rows,
+    "erased_rows": erased_rows,
     "first_term_trace": first_term_trace,
     "first_term_trace_documents": first_term_trace_documents,
     "learned_terms": learned_terms,

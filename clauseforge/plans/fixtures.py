@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseforge.functions.encode import feature_set
+
 # The features of the part table, in order.
 PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 PART_WORDS = [
@@ -26,6 +28,8 @@ LINE_YEARS = list(range(1992, 2002))
 
 PART_WIDTH = len(PART_TYPES) + 5 + len(PART_WORDS)
 DOCUMENT_WIDTH = len(DOCUMENT_LANGUAGES) + len(DOCUMENT_WORDS)
+# One feature per first two letters of a word and per length 2, 3 and more.
+WORD_WIDTH = 26 * 26 * 3
 LINE_WIDTH = len(LINE_NUMBERS) + len(LINE_STATUSES) + len(LINE_PERCENTS) + len(LINE_YEARS)
 
 PART_RULE = (
@@ -159,6 +163,24 @@ def document_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_features(ruled).select(F.col("doc_id").alias("id"), "label", "features")
 
 
+def word_shape_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, label, features)`` of all documents: the shapes of all their words, as sets of features."""
+    documents = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    named = documents.withColumn("__words", document_words(F.col("text")))
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.array_distinct(F.split(lowered, "[^a-z]+")), lambda w: F.length(w) >= 2)
+
+    def shape(word: Column) -> Column:
+        letters = (F.ascii(word) - 97) * 26 + F.ascii(F.substring(word, 2, 1)) - 97
+        return letters * 3 + F.least(F.length(word), F.lit(4)) - 2
+
+    return named.select(
+        F.col("doc_id").alias("id"),
+        F.when(F.expr(DOCUMENT_RULE), 1).otherwise(0).alias("label"),
+        feature_set(F.array_distinct(F.transform(words, shape)), WORD_WIDTH).alias("features"),
+    )
+
+
 def judged_document_instances(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
     """``(id, label, features)`` of the labelled documents; some vectors carry both labels."""
     documents = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))

@@ -12,6 +12,7 @@ from clauseforge.plans.fixtures import (
     PART_RULE,
     PART_TYPES,
     PART_WORDS,
+    WORD_WIDTH,
 )
 
 UNIT = 68719476736  # 2**36
@@ -176,6 +177,29 @@ SELECT lit, CAST(r AS VARCHAR) AS r FROM (
   FROM lits, weights GROUP BY k)"""
 
 
+def _coefficients(width: int) -> str:
+    """Pairs by literal and by their certain and uncertain differences."""
+    return f"""
+WITH inst AS MATERIALIZED ({_UNCERTAIN_ROWS}),
+sets AS (
+  SELECT p.one & ~n.one & ~n.half AS to_one, n.one & ~p.one & ~p.half AS to_zero,
+         (p.one & n.half) | (p.half & ~n.one & ~n.half) AS to_one_half,
+         (n.half & ~p.one & ~p.half) | (p.half & n.one) AS to_zero_half,
+         p.half & n.half AS shared
+  FROM inst p, inst n WHERE p.label = 1 AND n.label = 0),
+pairs AS MATERIALIZED (
+  SELECT *, bit_count(to_one | to_zero) AS c, bit_count(to_one_half | to_zero_half | shared) AS m, count(*) AS w
+  FROM sets GROUP BY ALL),
+each AS (
+  SELECT k AS lit, c, m, w, (to_one >> k) & 1 AS f, 2 * ((to_one_half >> k) & 1) + ((shared >> k) & 1) AS h
+  FROM pairs, (SELECT unnest(range(0, {width}))::INTEGER AS k)
+  UNION ALL
+  SELECT k + {width}, c, m, w, (to_zero >> k) & 1, 2 * ((to_zero_half >> k) & 1) + ((shared >> k) & 1)
+  FROM pairs, (SELECT unnest(range(0, {width}))::INTEGER AS k))
+SELECT lit, c::INTEGER AS certain, m::INTEGER AS unsure, CAST(sum(w * f) AS VARCHAR) AS "full", CAST(sum(w * h) AS VARCHAR) AS part
+FROM each WHERE f + h > 0 GROUP BY lit, c, m"""
+
+
 def _uncertain_fit(width: int, select: str) -> str:
     """The whole training over three-valued rows, from the definition.
 
@@ -374,13 +398,44 @@ _JUDGED = (
     "CASE WHEN p_type = 'ECONOMY' OR (p_type = 'PROMO' AND p_size % 5 <> 1) THEN 1.0 ELSE 0.0 END::DOUBLE "
     "AS class FROM part)"
 )
-_MANY = " OR ".join(
-    [f"({PART_TESTS[t]} AND {PART_TESTS[11 + w]})" for t in range(6) for w in range(16) if (t + w) % 3 != 0]
-    + [
-        f"({PART_TESTS[6 + r]} AND {PART_TESTS[11 + w]} AND NOT {PART_TESTS[11 + (w + 5) % 16]})"
-        for r in range(5) for w in range(16) if (r + w) % 2
-    ]
-)
+_MANY = """
+WITH terms AS MATERIALIZED (
+  SELECT (1 << t) + (1 << (6 + r)) + (1 << (11 + w)) + (1 << (11 + v)) AS wanted
+  FROM range(6) AS a(t), range(5) AS b(r), range(16) AS c(w), range(16) AS d(v)
+  WHERE w < v AND (t + 2 * r + w + 3 * v) % 3 <> 0)"""
+
+_SHAPES = """
+SELECT DISTINCT doc_id AS id, (ord(w[1]) - 97) * 78 + (ord(w[2]) - 97) * 3 + least(len(w), 4) - 2 AS feature
+FROM (SELECT doc_id, unnest(list_distinct(words)) AS w FROM {source}) WHERE len(w) >= 2"""
+_WORD_PAIRS = f"""
+WITH labels_of AS MATERIALIZED (SELECT id, label FROM ({DOCUMENT_ROWS})),
+shapes AS MATERIALIZED ({_SHAPES.format(source=_ALL_DOCUMENTS)}),
+sizes AS MATERIALIZED (
+  SELECT l.id, l.label, count(feature) AS size FROM labels_of l LEFT JOIN shapes USING (id) GROUP BY ALL),
+common AS MATERIALIZED (
+  SELECT p.id AS p, n.id AS n, count(*) AS shared FROM shapes p JOIN shapes n ON p.feature = n.feature
+  JOIN labels_of lp ON lp.id = p.id AND lp.label = 1 JOIN labels_of ln ON ln.id = n.id AND ln.label = 0
+  GROUP BY ALL),
+pairs AS MATERIALIZED (
+  SELECT a.id AS p, b.id AS n, (a.size + b.size - 2 * coalesce(shared, 0))::INTEGER AS d
+  FROM sizes a JOIN sizes b ON a.label = 1 AND b.label = 0 LEFT JOIN common ON p = a.id AND n = b.id)"""
+_WORD_RELEVANCE = f"""
+{_WORD_PAIRS},
+weighed AS MATERIALIZED (
+  SELECT p, n, CAST(round({UNIT}::DOUBLE / d) AS HUGEINT) AS w FROM pairs WHERE d > 0),
+shared AS (
+  SELECT s.feature AS lit, sum(w) AS r FROM weighed JOIN shapes s ON s.id = p JOIN shapes o ON o.id = n
+  AND o.feature = s.feature GROUP BY ALL),
+ones AS (
+  SELECT feature AS lit, sum(w) AS r FROM (SELECT p, sum(w) AS w FROM weighed GROUP BY p) JOIN shapes ON id = p GROUP BY ALL),
+zeros AS (
+  SELECT feature AS lit, sum(w) AS r FROM (SELECT n, sum(w) AS w FROM weighed GROUP BY n) JOIN shapes ON id = n GROUP BY ALL),
+lits AS (SELECT unnest(range({WORD_WIDTH})) AS lit)
+SELECT (lit + shift)::INTEGER AS lit, CAST(coalesce(r, 0) - coalesce(b, 0) AS VARCHAR) AS r FROM (
+  SELECT lit, 0 AS shift, ones.r AS r, shared.r AS b FROM lits LEFT JOIN ones USING (lit) LEFT JOIN shared USING (lit)
+  UNION ALL
+  SELECT lit, {WORD_WIDTH}, zeros.r, shared.r FROM lits LEFT JOIN zeros USING (lit) LEFT JOIN shared USING (lit))"""
+_PART_DIGEST = f"sha256({_bit_text(PART_TESTS)})"
 
 ORACLE = {
     "split_counts": f"SELECT label, count(*) AS rows FROM ({PART_ROWS}) GROUP BY label",
@@ -411,8 +466,8 @@ ORACLE = {
         "UNION ALL SELECT p_partkey, 1, p_retailprice FROM part"
     ),
     "text_source": (
-        "SELECT toxic AS label, translate(text, chr(13) || chr(10), '  ') AS seq, count(*) AS rows "
-        "FROM documents JOIN labels USING (doc_id) GROUP BY ALL"
+        "SELECT (lang = 'en')::INTEGER AS label, translate(text, chr(13) || chr(10), '  ') AS seq, "
+        "count(*) AS rows FROM documents GROUP BY ALL"
     ),
     "pair_distance": _distances(PART_ROWS),
     "pair_distance_documents": _distances(DOCUMENT_ROWS),
@@ -442,6 +497,8 @@ FROM inst p, inst n WHERE p.label = 1 AND n.label = 0 GROUP BY 1""",
         f"count(*) FILTER (WHERE {PART_LABEL} = 0) AS q FROM part WHERE {PROMO}"
     ),
     "relevance_update_uncertain": _uncertain_relevance(PART_WIDTH, False, "(one >> 3) & 1 = 1"),
+    "relevance_update_weighted": _uncertain_relevance(PART_WIDTH, True, "((one | half) >> 7) & 1 = 0"),
+    "relevance_coefficients": _coefficients(PART_WIDTH),
     "relevance_update": _relevance(PART_ROWS, PART_WIDTH, "(bits >> 3) & 1 = 1"),
     "first_term_trace": _fit(PART_ROWS, PART_WIDTH, _TRACE),
     "first_term_trace_documents": _fit(DOCUMENT_ROWS, DOCUMENT_WIDTH, _TRACE),
@@ -471,8 +528,21 @@ FROM inst p, inst n WHERE p.label = 1 AND n.label = 0 GROUP BY 1""",
     ),
     "classify_reloaded": _CLASSES,
     "classify_many_terms": (
-        f"SELECT p_partkey AS id, CASE WHEN {_MANY} THEN 1.0 ELSE 0.0 END::DOUBLE AS class FROM part"
+        f"{_MANY} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM terms WHERE bits & wanted = wanted) "
+        f"THEN 1.0 ELSE 0.0 END::DOUBLE AS class FROM ({PART_ROWS})"
+    ),
+    "covered_rows": (
+        f"SELECT p_partkey AS id, {_PART_DIGEST} AS row_key, CASE WHEN p_type = 'PROMO' THEN 1 ELSE 2 END AS term_no "
+        f"FROM part WHERE {PART_RULE}"
+    ),
+    "erased_rows": (
+        f"SELECT p_partkey AS id, {_PART_DIGEST} AS row_key, CASE WHEN {PROMO} THEN 2 ELSE 1 END AS step "
+        f"FROM part WHERE NOT ({PROMO}) OR p_size % 5 = 1"
+    ),
+    "pair_distance_words": (
+        f"{_WORD_PAIRS} SELECT d, CAST(count(*) AS VARCHAR) AS pairs FROM pairs GROUP BY d"
     ),
+    "relevance_words": _WORD_RELEVANCE,
     "classify_held_out": (
         f"SELECT p_partkey AS id, {PART_LABEL} AS label, ({PART_LABEL})::DOUBLE AS class FROM part "
         "WHERE p_partkey % 5 = 0"
