@@ -80,6 +80,10 @@ class TableSide:
         rows = self.df.filter(keep.exact(self.halves)).withColumn("flag", flag)
         return replace(self, df=rows)
 
+    def marked(self, term: Mask) -> TableSide:
+        """All rows, those flagged that ``term`` covers."""
+        return replace(self, df=self.df.withColumn("flag", term.allows(self.halves)))
+
     def covered(self, term: Mask) -> TableSide:
         rows = self.df.filter(term.allows(self.halves)).withColumn("flag", F.lit(True))
         return replace(self, df=rows)
@@ -108,6 +112,10 @@ class ArraySide:
             flag = ~erased_by.exact_rows(rows.ones, rows.halves)
         return ArraySide(rows.flagged(flag), self.width)
 
+    def marked(self, term: Mask) -> ArraySide:
+        flag = term.allows_rows(self.block.ones, self.block.halves)
+        return ArraySide(self.block.flagged(flag), self.width)
+
     def covered(self, term: Mask) -> ArraySide:
         rows = self.block.take(term.allows_rows(self.block.ones, self.block.halves))
         return ArraySide(rows.flagged(np.ones(len(rows), dtype=bool)), self.width)
@@ -156,6 +164,26 @@ def pair_tally(pos, neg, rule: Rule) -> tuple[DataFrame, object]:
     return partial_rows(pos, neg, _RelevanceKernel(rule))
 
 
+@dataclass(frozen=True)
+class Node:
+    """Pairs of the rows that meet a conjunction; of the positives the flagged ones, or the others."""
+
+    mask: Mask
+    flagged: bool
+
+    def of(self, block: Block, positive: bool) -> Block:
+        keep = self.mask.exact_rows(block.ones, block.halves)
+        if positive:
+            keep &= block.flag == self.flagged
+        rows = block.take(keep)
+        return rows.flagged(np.ones(len(rows), dtype=bool))
+
+
+def node_tally(pos, neg, rule: Rule, nodes: list[Node]) -> tuple[DataFrame, object]:
+    """:func:`pair_tally` for several conjunctions in one pass; node i has the keys from ``i * rule.sums``."""
+    return partial_rows(pos, neg, _NodesKernel(rule, tuple(nodes)))
+
+
 def distance_tally(pos, neg, width: int) -> DataFrame:
     """``(key, r)`` partial rows: pairs with a flagged row at each distance."""
     return partial_rows(pos, neg, _DistanceKernel(width))[0].select("key", "r")
@@ -185,7 +213,7 @@ class Kernel:
     def zero(self):
         return 0
 
-    def counts(self, block: Block):
+    def counts(self, block: Block, positive: bool):
         return np.zeros(self.keys, dtype=np.int64), 0
 
     def rows(self, sums, pos_counts, neg_counts) -> pa.RecordBatch:
@@ -222,12 +250,32 @@ class _RelevanceKernel(Kernel):
     def sums(self, pos: Block, neg: Block):
         return relevance_sum(pos, neg, self.rule)
 
-    def counts(self, block: Block):
+    def counts(self, block: Block, positive: bool):
         rows = block.take(block.flag)
         none = np.zeros(self.keys - 2 * self.width, dtype=np.int64)
         return np.append(literal_counts(rows, self.width), none), int(rows.mult.sum())
 
 
+@dataclass(frozen=True)
+class _NodesKernel(Kernel):
+    rule: Rule
+    nodes: tuple[Node, ...]
+
+    @property
+    def keys(self) -> int:
+        return len(self.nodes) * self.rule.sums
+
+    def sums(self, pos: Block, neg: Block):
+        return np.concatenate(
+            [relevance_sum(n.of(pos, True), n.of(neg, False), self.rule) for n in self.nodes]
+        )
+
+    def counts(self, block: Block, positive: bool):
+        one = _RelevanceKernel(self.rule)
+        found = [one.counts(n.of(block, positive), positive) for n in self.nodes]
+        return np.concatenate([f[0] for f in found]), sum(f[1] for f in found)
+
+
 @dataclass(frozen=True)
 class _DistanceKernel(Kernel):
     width: int
@@ -280,7 +328,7 @@ def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positi
             seen = True
             rows = block_from_arrow(batch, width, halves)
             sums = sums + (kernel.sums(held, rows) if small_is_positive else kernel.sums(rows, held))
-            here = kernel.counts(rows)
+            here = kernel.counts(rows, not small_is_positive)
             counts = (counts[0] + here[0], counts[1] + here[1])
         if seen:
             nothing = _nothing(kernel)
@@ -390,8 +438,8 @@ def _in_grid(pos: TableSide, neg: TableSide, kernel) -> DataFrame:
         nothing = _nothing(kernel)
         # A group meets all others; its own rows count once.
         counts = (
-            kernel.counts(p_block) if cell % columns == 0 else nothing,
-            kernel.counts(n_block) if cell // columns == 0 else nothing,
+            kernel.counts(p_block, True) if cell % columns == 0 else nothing,
+            kernel.counts(n_block, False) if cell // columns == 0 else nothing,
         )
         sums = kernel.zero() + kernel.sums(p_block, n_block)
         return pa.Table.from_batches([kernel.rows(sums, *counts)])
@@ -399,11 +447,11 @@ def _in_grid(pos: TableSide, neg: TableSide, kernel) -> DataFrame:
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, kernel.schema)
 
 
-def fetch_tally(partials: DataFrame, pos, neg, width: int) -> list:
+def fetch_tally(partials: DataFrame, pos, neg, width: int, nodes: int = 1) -> list:
     """The partial rows on the driver: one row per key and task while those are few,
     else merged to one row per key first."""
     tables = [s for s in (pos, neg) if isinstance(s, TableSide)]
-    if len(tables) == 1 and tables[0].tasks * (4 * width + 1) <= DRIVER_ROWS:
+    if len(tables) == 1 and tables[0].tasks * (4 * width + 1) * nodes <= DRIVER_ROWS:
         return partials.collect()
     return merged(partials).collect()
 

@@ -1,4 +1,4 @@
-"""The greedy learner: one Spark job per literal.
+"""The greedy learner: at most one Spark job per literal.
 
 The driver keeps the terms found so far and 2n numbers; rows stay in Spark. Each
 step is a query over the same distinct-vector table, filtered by the partial
@@ -11,6 +11,11 @@ erased row. Each step runs whichever of the two covers fewer pairs. For the firs
 literal of a new term this replaces (positives left) x (all negatives) by
 (positives just covered) x (all negatives), so those steps cost about one full
 product over the whole training instead of one per term.
+
+A job also looks ahead: while the pairs of a step are few, it sums them for the
+literals too that are likely to be chosen next, by the order they had one step or
+one term earlier. Where one of them is chosen, its step needs no job. What is
+chosen does not depend on it.
 """
 
 from __future__ import annotations
@@ -34,10 +39,12 @@ from clauseforge.operators.pairs import (
     BROADCAST_LIMIT,
     TOTALS,
     ArraySide,
+    Node,
     TableSide,
     array_side,
     choose_strategy,
     fetch_tally,
+    node_tally,
     pair_tally,
 )
 from clauseforge.operators.relevance import sides
@@ -50,6 +57,13 @@ VERSION = "clauseforge 1.0"
 # Positives left are re-materialised after this many terms, which bounds the
 # filter a step evaluates.
 TERMS_PER_CUT = 16
+# Literals a job looks ahead for after a literal and after a term, and for each of the
+# first of the latter how many second ones.
+NEXT_LITERALS, FIRST_LITERALS, SECOND_LITERALS, WITH_SECOND = 12, 10, 6, 6
+# Pair-literal products that cost less than another job would.
+FREE_WORK = 1 << 30
+# States of earlier nodes that are kept to order the literals below them.
+STATES_KEPT = 512
 
 TRACE_SCHEMA = (
     "term_no int, step int, lit int, r decimal(38,0), unit_bits int, p bigint, q bigint, carried boolean"
@@ -113,6 +127,9 @@ class _Training:
         self.broadcast_rows = 0 if strategy == "cross" else limit // instances.row_bytes
         self.p, self.q = instances.positives, instances.negatives
         self.trace: list[Step] = []
+        # States by conjunction: those of the present root, and the latest of any root.
+        self.known: dict[frozenset, _State] = {}
+        self.seen: dict[frozenset, _State] = {}
         self._owned: DataFrame | None = None
         self._owned_path: str | None = None
 
@@ -127,12 +144,7 @@ class _Training:
         """
         rule = rule or self.rule(p, q)
         pos, neg = self._formed(_bounded(pos, p), _bounded(neg, q))
-        partials, sent = pair_tally(pos, neg, rule)
-        try:
-            rows = fetch_tally(partials, pos, neg, self.width)
-        finally:
-            if sent is not None:
-                sent.destroy()
+        rows = self._fetched(pair_tally(pos, neg, rule), pos, neg)
         size = 2 * self.width
         state = _State(
             *[np.zeros(size, dtype=object) for _ in range(4)],
@@ -152,6 +164,67 @@ class _Training:
                 counts += side.flagged_counts()[0].astype(object)
         return state
 
+    def _fetched(self, tallied, pos, neg, nodes: int = 1) -> list:
+        partials, sent = tallied
+        try:
+            return fetch_tally(partials, pos, neg, self.width, nodes)
+        finally:
+            if sent is not None:
+                sent.destroy()
+
+    def tally_nodes(self, pos, neg, p: int, q: int, nodes: list[Node]) -> list[_State]:
+        """The sums of several nodes over at most p and q rows of 0/1 data, in one job."""
+        rule = self.rule(p, q)
+        pos, neg = self._formed(_bounded(pos, p), _bounded(neg, q))
+        size = 2 * self.width
+        states = [_State(*[np.zeros(size, dtype=object) for _ in range(4)], p, q, rule) for _ in nodes]
+        for row in self._fetched(node_tally(pos, neg, rule, nodes), pos, neg, len(nodes)):
+            if row["key"] != TOTALS:
+                state, key = states[row["key"] // size], row["key"] % size
+                state.r[key] += int(row["r"])
+                state.pos[key] += row["pos"]
+                state.neg[key] += row["neg"]
+        for side, name in ((pos, "pos"), (neg, "neg")):
+            if isinstance(side, ArraySide):
+                for node, state in zip(nodes, states):
+                    rows = ArraySide(node.of(side.block, name == "pos"), self.width)
+                    getattr(state, name)[:] += rows.flagged_counts()[0].astype(object)
+        return states
+
+    def _likely(self, state: _State, term: dict[int, int], count: int) -> list[tuple[dict[int, int], int, int]]:
+        """Longer terms by the relevance their last literal has in ``state``, with bounds of their rows.
+
+        Literals that leave no row on one side end a term and need no sums.
+        """
+        order = sorted(range(2 * self.width), key=lambda k: (-state.r[k], k))
+        found = []
+        for literal in order:
+            feature, want = split_literal(literal, self.width)
+            if feature not in term and state.r[literal] and state.pos[literal] and state.neg[literal]:
+                found.append(({**term, feature: want}, int(state.pos[literal]), int(state.neg[literal])))
+                if len(found) == count:
+                    break
+        return found
+
+    def _affordable(self, likely: list[tuple[dict[int, int], int, int]], own: int) -> list[dict[int, int]]:
+        """Those whose pairs together are no more than the job's own, or so few that a job costs more."""
+        left = max(own, FREE_WORK // (2 * self.width))
+        out = []
+        for term, p, q in likely:
+            if p * q <= left:
+                left -= p * q
+                out.append(term)
+        return out
+
+    def _remember(self, terms: list[dict[int, int]], states: list[_State]) -> None:
+        if self.looks_ahead:
+            self.known.update((frozenset(t.items()), s) for t, s in zip(terms, states))
+
+    @property
+    def looks_ahead(self) -> bool:
+        # The weight of an uncertain value hangs on the rows left, which are not known ahead.
+        return self.carry and not self.has_halves
+
     def _formed(self, pos, neg):
         if isinstance(pos, TableSide) and isinstance(neg, TableSide):
             small = min(pos.vectors, neg.vectors)
@@ -174,6 +247,9 @@ class _Training:
     def advance(self, state: _State, term: dict[int, int], literal: int, p: int, q: int) -> _State:
         """Sums after ``literal`` joins ``term``, when p and q rows are left."""
         feature, want = split_literal(literal, self.width)
+        found = self.known.get(frozenset({**term, feature: want}.items()))
+        if found is not None:
+            return replace(found, p=p, q=q)
         kept = p * q
         if self._can_carry(state, p, q, state.p * state.q - kept, kept):
             keep, chosen = Mask.of(term, self.width), Mask.of({feature: want}, self.width)
@@ -181,8 +257,21 @@ class _Training:
                 self.pos.pick(keep, chosen), self.neg.pick(keep, chosen), state.p, state.q
             )
             return state.minus(lost, p, q, self.rule(p, q))
-        keep = Mask.of({**term, feature: want}, self.width)
-        return self.tally(self.pos.pick(keep), self.neg.pick(keep), p, q)
+        longer = {**term, feature: want}
+        keep = Mask.of(longer, self.width)
+        ahead = []
+        if self.looks_ahead:
+            likely = [
+                (t, min(p, p_c), min(q, q_c))
+                for t, p_c, q_c in self._likely(state, longer, NEXT_LITERALS)
+            ]
+            ahead = self._affordable(likely, kept)
+        if not ahead:
+            return self.tally(self.pos.pick(keep), self.neg.pick(keep), p, q)
+        nodes = [Node(Mask.of(t, self.width), True) for t in (longer, *ahead)]
+        own, *more = self.tally_nodes(self.pos.pick(keep), self.neg.pick(keep), p, q, nodes)
+        self._remember(ahead, more)
+        return own
 
     def learn_term(self, term_no: int, state: _State) -> dict[int, int]:
         term: dict[int, int] = {}
@@ -205,6 +294,7 @@ class _Training:
                 return {**term, feature: want}
             state = self.advance(state, term, literal, p, q)
             term[feature] = want
+            self._remember([term], [state])
 
     def cover(self, state: _State, term: dict[int, int], term_no: int) -> _State | None:
         """Drop the positives ``term`` covers; the next root state, or None when none is left."""
@@ -220,7 +310,23 @@ class _Training:
         if left == 0:
             self.p = 0
             return None
+        ahead = self._after_term(state, covered) if self.looks_ahead else []
         carried = self._can_carry(state, left, self.q, covered, left)
+        if ahead:
+            nodes = [Node(Mask.empty(self.width), carried)]
+            nodes += [Node(Mask.of(t, self.width), False) for t in ahead]
+            everything = Mask.empty(self.width)
+            own, *more = self.tally_nodes(
+                self.pos.marked(mask), self.neg.pick(everything), self.p, self.q, nodes
+            )
+            self._remember(ahead, more)
+            self.pos = self.pos.uncovered(mask)
+            self.p = left
+            self._cut_if_due(term_no)
+            if not carried:
+                return replace(own, p=left, q=self.q, rule=self.rule(left, self.q))
+            own.neg = np.zeros_like(own.neg)
+            return state.minus(own, left, self.q, self.rule(left, self.q))
         if carried:
             everything = Mask.empty(self.width)
             lost = self.tally(covered_side, self.neg.pick(everything), covered, self.q, state.rule)
@@ -231,6 +337,24 @@ class _Training:
         self._cut_if_due(term_no)
         return state.minus(lost, left, self.q, self.rule(left, self.q)) if carried else self.root()
 
+    def _after_term(self, root: _State, covered: int) -> list[dict[int, int]]:
+        """Terms of one and two literals that the next term may begin with.
+
+        The root and the nodes below it lose the covered positives only, so their
+        literals keep about the order they have now.
+        """
+        self.seen = {**self.seen, **self.known}
+        for key in list(self.seen)[: max(0, len(self.seen) - STATES_KEPT)]:
+            del self.seen[key]
+        self.known = {}
+        first = self._likely(root, {}, FIRST_LITERALS)
+        likely = list(first)
+        for term, _, _ in first[:WITH_SECOND]:
+            below = self.seen.get(frozenset(term.items()))
+            if below is not None:
+                likely += self._likely(below, term, SECOND_LITERALS)
+        return self._affordable(likely, covered * self.q)
+
     def _covered_rows(self, covered_side) -> int:
         if isinstance(covered_side, ArraySide):
             return int(covered_side.block.mult.sum())

@@ -20,7 +20,7 @@ from clauseforge.operators.instances import gather_instances, split_by_label
 from clauseforge.operators.pairs import BLOCK_ROWS, choose_strategy, grid_of
 from clauseforge.operators.relevance import relevance, relevance_after, top_literal
 from clauseforge.plans import learner
-from clauseforge.plans.fixtures import part_instances
+from clauseforge.plans.fixtures import judged_document_instances, part_instances
 from clauseforge.sources.sequences import read_labelled_sequences
 
 STRATEGIES = ["auto", "broadcast_positive", "broadcast_negative", "cross"]
@@ -314,6 +314,41 @@ def test_a_grid_step_is_one_query_without_vectors_on_the_driver(spark, monkeypat
     assert found.formula == "x4x8^ + x1x7"
 
 
+def steps_of(model):
+    return [(s.term_no, s.lit, s.r, s.p, s.q) for s in model.trace]
+
+
+@pytest.mark.parametrize("strategy", ["broadcast_positive", "broadcast_negative"])
+def test_looking_ahead_saves_jobs_and_changes_nothing(spark, monkeypatch, strategy):
+    df = heads160(spark, "0.01", "toxic")
+    jobs, fetch = [], learner.fetch_tally
+    monkeypatch.setattr(learner, "fetch_tally", lambda *a, **k: jobs.append(1) or fetch(*a, **k))
+    ahead = fit_labelled(df, on_conflict="drop", strategy=strategy)
+    assert len(jobs) < 0.6 * len(ahead.trace)
+    jobs.clear()
+    monkeypatch.setattr(learner, "FREE_WORK", 0)
+    some = fit_labelled(df, on_conflict="drop", strategy=strategy)
+    monkeypatch.setattr(learner._Training, "looks_ahead", False)
+    jobs.clear()
+    plain = fit_labelled(df, on_conflict="drop", strategy=strategy)
+    assert len(jobs) == len(plain.trace) - len([s for s in plain.trace if not s.p or not s.q]) + len(plain.terms)
+    assert steps_of(ahead) == steps_of(some) == steps_of(plain) and ahead.terms == plain.terms
+
+
+def test_document_fit_takes_fewer_jobs_than_literals(spark, monkeypatch):
+    df = judged_document_instances(spark, f"{TESTDATA}/sf0.01")
+    jobs, fetch = [], learner.fetch_tally
+    monkeypatch.setattr(learner, "fetch_tally", lambda *a, **k: jobs.append(1) or fetch(*a, **k))
+    model = fit_labelled(df, on_conflict="drop")
+    assert len(model.trace) > 50 and len(jobs) < 0.6 * len(model.trace)
+
+
+def test_looking_ahead_in_a_grid(spark):
+    df = heads160(spark, "0.001", "toxic")
+    wanted = steps_of(fit_labelled(df))
+    assert steps_of(fit_labelled(df, strategy="cross", limit=33 * 16)) == wanted
+
+
 def test_blocks_hold_every_row_once(spark):
     gathered = gather_instances(part_instances(spark, f"{TESTDATA}/sf0.001"))
     side = pairs.TableSide(gathered.side("neg"), gathered.width, False, gathered.negative_vectors, gathered.tasks)
