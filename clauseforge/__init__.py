@@ -6,6 +6,7 @@ batch and streaming DataFrames with it, and keep it as tables.
 
 from clauseforge.errors import (
     EmptySideError,
+    IncompleteModelError,
     InconsistentDataError,
     NoProgressError,
     RuleLearningError,
@@ -15,6 +16,7 @@ from clauseforge.plans.model import RuleModel, load_model
 
 __all__ = [
     "EmptySideError",
+    "IncompleteModelError",
     "InconsistentDataError",
     "NoProgressError",
     "RuleLearningError",

@@ -15,3 +15,7 @@ class InconsistentDataError(RuleLearningError):
 
 class NoProgressError(RuleLearningError):
     """A finished term covers none of the remaining positives."""
+
+
+class IncompleteModelError(ValueError):
+    """A saved model whose writing did not end."""

@@ -65,6 +65,16 @@ def register_sides(df: DataFrame, positive: str = "positive", negative: str = "n
     right.createOrReplaceTempView(negative)
 
 
+def side_emptiness(df: DataFrame, label: str = "label") -> DataFrame:
+    """``(label, empty)`` of both sides; a side is read up to its first row."""
+
+    def side(value: int) -> DataFrame:
+        first = df.filter(F.col(label) == value).select(F.lit(value).alias("label")).limit(1)
+        return first.agg(F.lit(value).alias("label"), (F.count(F.lit(1)) == 0).alias("empty"))
+
+    return side(1).unionByName(side(0))
+
+
 def vector_width(df: DataFrame, features: str = "features") -> int | None:
     """Length of the first vector, or None for an empty table."""
     size = F.col(features)["size"] if is_feature_set(df, features) else F.size(feature_array(df, features))

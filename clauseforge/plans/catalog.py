@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,17 @@ def split_counts(spark, sf_dir):
     )
 
 
+def empty_sides(spark, sf_dir):
+    """Both sides of the parts, and of those parts that the known rule leaves no positive."""
+    df = part_instances(spark, sf_dir)
+    covered = term_allows(F.col("features"), PROMO_TERM) | literal_matches(F.col("features"), 0, PART_WIDTH)
+    out = [
+        inst.side_emptiness(rows).select(F.lit(name).alias("rows"), "label", "empty")
+        for name, rows in (("all", df), ("uncovered", df.where(~covered)))
+    ]
+    return out[0].unionByName(out[1])
+
+
 def literal_match(spark, sf_dir):
     df = part_instances(spark, sf_dir)
     return df.filter(literal_matches(F.col("features"), PROMO, PART_WIDTH)).select("id", "label")
@@ -409,6 +422,27 @@ def _stream_counts(column: str):
     return query
 
 
+def stream_merged_counts(spark, sf_dir):
+    """As many batches as the events have files, merged every three batches."""
+    path, out = fresh_path(spark, "event-csv"), fresh_path(spark, "stream-counts")
+    keys = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("seq"))
+    keys.repartition(10).write.csv(path, header=True)
+    stream = sequences.stream_csv(spark, path, sequences.csv_schema(spark, path), files_per_trigger=1)
+    state = fresh_path(spark, "stream-state")
+    flows.to_keyed(flows.counts(stream), out, state, once=True, merge_after=3).awaitTermination()
+    counted = flows.read_keyed(spark, out)
+    return counted.select(F.col("seq").cast("string").alias("seq"), F.col("count").alias("rows"))
+
+
+def stream_complete_counts(spark, sf_dir):
+    """The complete result of few keys, kept as a table by the stream."""
+    path, name = fresh_path(spark, "event-csv"), f"event_counts_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select(F.col("event_type").alias("seq")).write.csv(path, header=True)
+    stream = sequences.stream_csv(spark, path, sequences.csv_schema(spark, path), files_per_trigger=2)
+    flows.to_memory(flows.counts(stream), name, fresh_path(spark, "stream-state"), once=True).awaitTermination()
+    return spark.table(name).select("seq", F.col("count").alias("rows"))
+
+
 def stream_classify(spark, sf_dir):
     model = _model(spark, sf_dir)
     schema = table(spark, sf_dir, "part").schema
@@ -421,6 +455,7 @@ def stream_classify(spark, sf_dir):
 
 QUERIES = {
     "split_counts": split_counts,
+    "empty_sides": empty_sides,
     "literal_match": literal_match,
     "literal_miss": literal_miss,
     "split_flags": split_flags,
@@ -478,5 +513,7 @@ QUERIES = {
     "accuracy": accuracy,
     "stream_counts": _stream_counts("event_type"),
     "stream_user_counts": _stream_counts("user_id"),
+    "stream_merged_counts": stream_merged_counts,
+    "stream_complete_counts": stream_complete_counts,
     "stream_classify": stream_classify,
 }

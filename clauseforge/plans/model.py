@@ -148,7 +148,7 @@ class RuleModel:
         return instances.withColumn("class", checked)
 
     def save(self, spark: SparkSession, path: str, fmt: str = "parquet") -> None:
-        """Write ``<path>.model`` and ``<path>.metadata``; neither may exist yet."""
+        """Write ``<path>.model``, ``<path>.metadata`` and, last, ``<path>.manifest``; none may exist yet."""
         if fmt == "csv":
             model_store.write_lines(spark, path, self)
         elif fmt == "parquet":

@@ -439,6 +439,11 @@ _PART_DIGEST = f"sha256({_bit_text(PART_TESTS)})"
 
 ORACLE = {
     "split_counts": f"SELECT label, count(*) AS rows FROM ({PART_ROWS}) GROUP BY label",
+    "empty_sides": (
+        f"SELECT rows, label, NOT EXISTS (SELECT 1 FROM ({PART_ROWS}) i WHERE i.label = s.label "
+        "AND (rows = 'all' OR NOT ((bits >> 3) & 1 = 1 AND (bits >> 7) & 1 = 0 OR bits & 1 = 1))) AS empty "
+        "FROM (VALUES ('all', 1), ('all', 0), ('uncovered', 1), ('uncovered', 0)) s(rows, label)"
+    ),
     "literal_match": f"SELECT p_partkey AS id, {PART_LABEL} AS label FROM part WHERE {PROMO}",
     "literal_miss": f"SELECT p_partkey AS id, {PART_LABEL} AS label FROM part WHERE NOT ({PROMO})",
     "split_flags": (
@@ -563,6 +568,8 @@ FROM inst p, inst n WHERE p.label = 1 AND n.label = 0 GROUP BY 1""",
         f"FROM {_JUDGED}"
     ),
     "stream_user_counts": "SELECT user_id::VARCHAR AS seq, count(*) AS rows FROM events GROUP BY 1",
+    "stream_merged_counts": "SELECT user_id::VARCHAR AS seq, count(*) AS rows FROM events GROUP BY 1",
+    "stream_complete_counts": "SELECT event_type AS seq, count(*) AS rows FROM events GROUP BY 1",
     "stream_counts": "SELECT event_type AS seq, count(*) AS rows FROM events GROUP BY 1",
     "stream_classify": _CLASSES,
 }

@@ -1,10 +1,19 @@
-"""Saved models: two folders, ``<path>.model`` and ``<path>.metadata``."""
+"""Saved models: ``<path>.model``, ``<path>.metadata``, and ``<path>.manifest``, which is written last.
+
+The manifest names the other two. Without it there is no model: a save that stopped
+in between leaves nothing that loads. Text models that others wrote have no manifest;
+they are read where both folders are complete.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseforge.errors import IncompleteModelError
+from clauseforge.storage import folder_names, is_complete
+
+PARTS = ("model", "metadata")
 METADATA_SCHEMA = (
     "version string, formula string, training_time double, "
     "training_pos bigint, training_neg bigint, width int, term_count int"
@@ -14,9 +23,31 @@ METADATA_SCHEMA = (
 def write_tables(terms: DataFrame, metadata: DataFrame, path: str) -> None:
     terms.coalesce(1).write.mode("error").parquet(f"{path}.model")
     metadata.coalesce(1).write.mode("error").parquet(f"{path}.metadata")
+    write_manifest(terms.sparkSession, path)
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """The commit of a saved model."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    lines = spark.createDataFrame([("\n".join(f"{name}.{part}" for part in PARTS),)], "value string")
+    lines.coalesce(1).write.mode("error").text(f"{path}.manifest")
+
+
+def check_complete(spark: SparkSession, path: str, needs_manifest: bool = True) -> None:
+    """An error unless a whole model lies under ``path``."""
+    present = all(is_complete(spark, f"{path}.{part}") for part in PARTS)
+    if folder_names(spark, f"{path}.manifest"):
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        named = is_complete(spark, f"{path}.manifest") and set(_lines(spark, f"{path}.manifest"))
+        present = present and named == {f"{name}.{part}" for part in PARTS}
+    elif needs_manifest:
+        present = False
+    if not present:
+        raise IncompleteModelError(f"no complete model under {path}")
 
 
 def read_tables(spark: SparkSession, path: str) -> dict:
+    check_complete(spark, path)
     meta = spark.read.parquet(f"{path}.metadata").head()
     terms: list[dict[int, int]] = [{} for _ in range(meta["term_count"])]
     for row in spark.read.parquet(f"{path}.model").collect():  # one row per literal of the model
@@ -45,6 +76,7 @@ def write_lines(spark: SparkSession, path: str, model) -> None:
         # One row, so the order of the lines does not hang on partitioning.
         text = spark.createDataFrame([("\n".join(lines),)], "value string")
         text.coalesce(1).write.mode("error").text(f"{path}.{name}")
+    write_manifest(spark, path)
 
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
@@ -64,6 +96,7 @@ def parse_rows(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> dict:
+    check_complete(spark, path, needs_manifest=False)
     version, _, seconds, positives, negatives = _lines(spark, f"{path}.metadata")
     terms, width = [], 0
     for line in _lines(spark, f"{path}.model"):

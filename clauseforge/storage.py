@@ -53,8 +53,25 @@ def keep_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _found(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete what :func:`keep_table` wrote."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target, files = _found(spark, path)
+    files.delete(target, True)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder that Spark wrote has been committed."""
+    target, files = _found(spark, f"{path}/_SUCCESS")
+    return files.exists(target)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies under a folder; none where there is no folder."""
+    target, files = _found(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from tables import TESTDATA, instances
 
 from clauseforge import RuleModel, load_model
+from clauseforge.errors import IncompleteModelError
 from clauseforge.functions.formula import formula_column
 from clauseforge.plans import model as model_module
 from clauseforge.plans.fixtures import part_instances
@@ -78,6 +80,39 @@ def test_saved_models_come_back(spark, fmt):
         MODEL.save(spark, path, fmt)
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("ends_after", [0, 1])
+def test_a_save_that_stops_leaves_no_model(spark, monkeypatch, fmt, ends_after):
+    path, written = fresh_path(spark, "model"), []
+    for kind in ("parquet", "text"):
+        write = getattr(DataFrameWriter, kind)
+
+        def stopping(self, target, *args, _write=write, **kwargs):
+            if len(written) > ends_after:
+                raise OSError("stopped")
+            written.append(target)
+            return _write(self, target, *args, **kwargs)
+
+        monkeypatch.setattr(DataFrameWriter, kind, stopping)
+    with pytest.raises(OSError):
+        MODEL.save(spark, path, fmt)
+    monkeypatch.undo()
+    if fmt == "parquet" or ends_after == 0:
+        with pytest.raises(IncompleteModelError):
+            load_model(spark, path, fmt)
+    else:
+        # Both parts of a text model are there, as others write them.
+        assert load_model(spark, path, fmt) == MODEL
+
+
+def test_a_manifest_of_another_model_is_none(spark):
+    path = fresh_path(spark, "model")
+    MODEL.save(spark, path)
+    spark.createDataFrame([("a.model\nb.metadata",)], "value string").write.mode("overwrite").text(f"{path}.manifest")
+    with pytest.raises(IncompleteModelError):
+        load_model(spark, path)
+
+
 def test_text_layout(spark):
     path = fresh_path(spark, "model")
     MODEL.save(spark, path, "csv")

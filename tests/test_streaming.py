@@ -26,6 +26,59 @@ def test_keyed_counts_do_not_pass_through_the_driver(spark, tmp_path):
     assert found == {"k0": 2, "k1": 2, "k2": 2, "k3": 1, "k4": 1}
 
 
+def batch(spark, path, number, counts):
+    rows = spark.createDataFrame(list(counts.items()), "seq string, count bigint")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def keyed(spark, path):
+    return {r["seq"]: r["count"] for r in flows.read_keyed(spark, path).collect()}
+
+
+def test_merged_files_stay_bounded_and_lose_nothing(spark, tmp_path):
+    path, wanted = str(tmp_path), {}
+    most = 0
+    for number in range(50):
+        changed = {f"k{number % 7}": number + 1, f"once{number}": 1}
+        wanted |= changed
+        batch(spark, path, number, changed)
+        flows.merge_batches(spark, path, merge_after=5)
+        most = max(most, len(list(tmp_path.iterdir())))
+        if number in (3, 4, 22, 49):
+            assert keyed(spark, path) == wanted
+    # Two merges' worth of folders, however many batches there were.
+    assert most <= 12
+
+
+def test_stopped_merges_and_repeated_batches(spark, tmp_path):
+    path = str(tmp_path)
+    for number in range(5):
+        batch(spark, path, number, {"a": number + 1, f"b{number}": 1})
+    wanted = {"a": 5} | {f"b{n}": 1 for n in range(5)}
+    # A merge that stopped: files without the mark that ends a write.
+    half = spark.createDataFrame([("a", 2)], "seq string, count bigint")
+    half.coalesce(1).write.parquet(f"{path}/merged=4")
+    (tmp_path / "merged=4" / "_SUCCESS").unlink()
+    assert keyed(spark, path) == wanted
+    assert flows.merge_batches(spark, path, merge_after=5) and keyed(spark, path) == wanted
+    # The last batch again, and one that is older than the merge.
+    for number in (4, 2):
+        batch(spark, path, number, {"a": number + 1, f"b{number}": 1})
+        assert not flows.merge_batches(spark, path, merge_after=5)
+        assert keyed(spark, path) == wanted
+
+
+def test_a_stream_merges_its_batches(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for n in range(7):
+        spark.range(n + 1).selectExpr("concat('k', id) AS seq").coalesce(1).write.mode("append").csv(source, header=True)
+    stream = stream_csv(spark, source, csv_schema(spark, source), files_per_trigger=1)
+    flows.to_keyed(flows.counts(stream), out, state, once=True, merge_after=2).awaitTermination()
+    assert keyed(spark, out) == {f"k{n}": 7 - n for n in range(7)}
+    names = {p.name for p in (tmp_path / "out").iterdir()}
+    assert any(n.startswith("merged=") for n in names) and "batch=0" not in names and len(names) <= 6
+
+
 def test_counts_follow_new_files(spark, tmp_path):
     for name, reads in READS.items():
         write(tmp_path, name, reads)
