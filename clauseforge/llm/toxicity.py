@@ -2,8 +2,10 @@
 
 Voters are lexicons and patterns. The lexicons are a short list of insults and
 terms (words and beginnings of words) that a bounded sample of labelled rows
-shows to be used, in many surroundings, in toxic texts only; each term belongs
-to one voter. One pass counts every voter's hits in every document.
+shows to be used, in several surroundings, in toxic texts only; each term belongs
+to one voter. Whether a term qualifies is judged by a confidence bound, so the same
+test serves few labelled rows and many, and where no term qualifies the insults
+and patterns vote alone. One pass counts every voter's hits in every document.
 
 A generative label model explains the votes by one hidden label: the covariance
 of two voters that are independent given the label is the product of their
@@ -32,11 +34,12 @@ from clauseforge.llm.tokens import rows_of
 # Labelled rows that terms are chosen from and the classifier is trained on, at most.
 SAMPLE = 20_000
 FOLDS = 5
-# A term needs this many different surroundings in toxic texts, and this share
-# of its texts to be toxic; the most frequent ones are taken.
-SURROUNDINGS = 8
+# A term needs two different surroundings in toxic texts, and more where there are
+# many of these: one for so many distinct toxic texts of the sample.
+SURROUNDINGS_PER_TEXT = 0.02
+# The share of its texts that are toxic must be at least this, at the lower end of
+# its confidence interval (Wilson, one deviation).
 PURITY = 0.7
-TERMS = 2_000
 # Lexicons of terms above each purity, so many of each.
 TIERS = (0.97, 0.9, PURITY)
 PER_TIER = 4
@@ -84,8 +87,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return tables.stored(docs.join(F.broadcast(drawn), "doc_id"), "toxic-sample")
 
 
+def purity_bound(toxic: Column, texts: Column) -> Column:
+    """Lower end of the one-deviation Wilson interval of ``toxic / texts``."""
+    share = toxic / texts
+    spread = F.sqrt(share * (1 - share) / texts + 1 / (4 * texts * texts))
+    return (share + 1 / (2 * texts) - spread) / (1 + 1 / texts)
+
+
 def choose_terms(sample: DataFrame) -> dict[str, int]:
-    """Up to ``TERMS`` terms and the voter of each."""
+    """The terms that qualify and the voter of each; their number is bounded by the sample's texts."""
 
     def surroundings(batches) -> Iterator:
         import pyarrow as pa
@@ -104,50 +114,47 @@ def choose_terms(sample: DataFrame) -> dict[str, int]:
                 [pa.array(terms, pa.string()), pa.array(near, pa.int64())], names=["term", "near"]
             )
 
-    toxic = sample.where("toxic = 1").select("text").distinct()
-    used = (
-        toxic.mapInArrow(surroundings, "term string, near bigint")
-        .groupBy("term").agg(F.count_distinct("near").alias("n"))
-        .where(F.col("n") >= SURROUNDINGS)
-        .orderBy(F.desc("n"), "term").limit(10 * TERMS)
-    )
-    counts = {r["term"]: r["n"] for r in used.collect()}
-
-    def clean_counts(batches) -> Iterator:
+    def text_counts(batches) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found: dict[tuple[str, int], int] = {}
+            found: dict[str, list[int]] = {}
             for text, toxic in rows_of(batch, "text", "toxic"):
                 words = set(_WORD.findall(text.lower()))
-                for term in {t for w in words for t in terms_of(w)}.intersection(counts):
-                    found[term, toxic] = found.get((term, toxic), 0) + 1
-            keys = list(found)
+                for term in {t for w in words for t in terms_of(w)}:
+                    count = found.setdefault(term, [0, 0])
+                    count[0] += toxic
+                    count[1] += 1
             yield pa.record_batch(
                 [
-                    pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.int32()),
-                    pa.array([found[k] for k in keys], pa.int64()),
+                    pa.array(list(found), pa.string()),
+                    pa.array([c[0] for c in found.values()], pa.int64()),
+                    pa.array([c[1] for c in found.values()], pa.int64()),
                 ],
-                names=["term", "toxic", "n"],
+                names=["term", "toxic", "texts"],
             )
 
-    if not counts:
-        return {}
-    in_texts = (
-        sample.select("text", F.col("toxic").cast("int").alias("toxic"))
-        .mapInArrow(clean_counts, "term string, toxic int, n bigint")
-        .groupBy("term").agg(
-            F.sum(F.col("n") * F.col("toxic")).alias("toxic"), F.sum("n").alias("all")
-        )
-        .where(F.col("toxic") >= PURITY * F.col("all"))
-        .select("term", (F.col("toxic") / F.col("all")).alias("purity")).collect()
+    # A text that is repeated tells no more than once.
+    texts = sample.select("text", F.col("toxic").cast("int").alias("toxic")).distinct()
+    toxic = texts.where("toxic = 1").select("text")
+    least = max(2, round(SURROUNDINGS_PER_TEXT * toxic.count()))
+    used = (
+        toxic.mapInArrow(surroundings, "term string, near bigint")
+        .groupBy("term").agg(F.count_distinct("near").alias("n"))
+        .where(F.col("n") >= least)
+    )
+    counted = (
+        texts.mapInArrow(text_counts, "term string, toxic bigint, texts bigint")
+        .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
+        .where(F.col("toxic") >= PURITY * F.col("texts"))
+        .withColumn("purity", purity_bound(F.col("toxic"), F.col("texts")))
+        .where(F.col("purity") >= PURITY)
     )
-    best = sorted(in_texts, key=lambda r: (-counts[r["term"]], r["term"]))[:TERMS]
+    best = sorted(used.join(counted, "term").select("term", "n", "purity").collect(), key=lambda r: (-r["n"], r["term"]))
     # Within a tier turn by turn, so that voters have terms of every frequency.
     voters = {}
-    for tier, (least, most) in enumerate(zip(TIERS, (2.0, *TIERS))):
-        inside = [r["term"] for r in best if least <= r["purity"] < most]
+    for tier, (lower, upper) in enumerate(zip(TIERS, (2.0, *TIERS))):
+        inside = [r["term"] for r in best if lower <= r["purity"] < upper]
         voters |= {term: tier * PER_TIER + n % PER_TIER for n, term in enumerate(inside)}
     return voters
 
@@ -288,9 +295,10 @@ def score_documents(
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
     Null and empty texts have no hits and get the score that this gives. A null
-    id is not held out. Where no labelled row of either kind, or no term, is
-    there to learn from, every score is the share of toxic labels (0 without
-    labels). Repeated rows are scored each; an empty table gives no rows.
+    id is not held out. Where labelled rows of both kinds are not there to learn
+    from, every score is the share of toxic labels (0 without labels); without
+    terms the insults and patterns decide. Repeated rows are scored each; an empty
+    table gives no rows.
     """
     plain = tables.documents(docs, id_col, text_col)
     drawn = training_sample(plain, labels, sample)
@@ -299,12 +307,11 @@ def score_documents(
     }
     share = kinds.get(1, 0) / max(1, sum(kinds.values()))
     out = plain.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
-    terms = choose_terms(drawn) if 0 < share < 1 else {}
-    if not terms:
+    if not 0 < share < 1:
         return out.withColumn("score", F.lit(float(share))).withColumn(
             "predicted", (F.col("score") >= 0.5).cast("int")
         )
-    hits = tables.stored(voter_hits(plain, terms), "voter-hits")
+    hits = tables.stored(voter_hits(plain, choose_terms(drawn)), "voter-hits")
     together, rows = moments(hits)
     model = label_model(together, rows, share)
     odds = _votes_log_odds(*model, share)
