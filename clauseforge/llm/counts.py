@@ -76,8 +76,9 @@ def count_tokens(
     docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of every row; the cache at ``cache`` grows.
+    """``doc_id, n_bytes, n_tokens, over_limit, from_cache`` of every row; the cache at ``cache`` grows.
 
+    ``from_cache`` tells whether the count was stored before this call.
     Null and empty texts have no bytes and no tokens. Repeated rows and copies
     are encoded once. Rows with a null id count like any other. An empty table
     gives no rows and leaves the cache as it was.
@@ -95,7 +96,9 @@ def count_tokens(
     distinct = slim.groupBy("content").agg(
         F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("with_id")
     )
+    # The files there are now; what is appended below is not among them.
     known = read_cache(spark, cache, version).select("content")
+    hits = known.select(F.col("content").alias("hit"))
     wanted = distinct.join(known, "content", "left_anti")
     misses = keyed.join(
         wanted.select(F.col("doc_id").alias("w_id"), F.col("content").alias("w_content"))
@@ -104,9 +107,11 @@ def count_tokens(
     )
     encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, version)
+    counts = counts.join(hits, F.col("content") == F.col("hit"), "left")
     return slim.join(counts, "content").select(
         "doc_id",
         "n_bytes",
         "n_tokens",
         (F.col("n_tokens") > limit).alias("over_limit"),
+        F.col("hit").isNotNull().alias("from_cache"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clauseforge.llm import (
     binary, chat, counts, decontaminate, languages, minhash, oracle, packing, pii, quality, repair,
@@ -43,12 +44,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    path = fresh_path(spark, "shards")
+    sharding.write_shards(table(spark, sf_dir, "documents"), path)
+    return sharding.read_shards(spark, path)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = fresh_path(spark, "token-counts")
-    return counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, cache)
+    """An earlier delivery fills the cache, then the whole table meets it."""
+    cache, docs = fresh_path(spark, "token-counts"), table(spark, sf_dir, "documents")
+    counts.count_tokens(docs.where(F.xxhash64("text") < 0), WORD_BPE, cache)
+    return counts.count_tokens(docs, WORD_BPE, cache)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

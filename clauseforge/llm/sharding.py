@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseforge.llm import tables
@@ -63,10 +63,20 @@ def assign(
     after a ``+``. Null texts have no bytes; an empty table gives no rows;
     further columns are left out.
     """
+    return _assigned(_numbered(docs, id_col, text_col), limit).drop("row")
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row, doc_id, text``, written with its numbers, so that they stay the same."""
     plain = tables.documents(docs, id_col, text_col)
+    return tables.stored(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _assigned(rows: DataFrame, limit: int) -> DataFrame:
+    """``row`` and the columns of :func:`assign`."""
     left = tables.stored(
-        plain.select(
-            F.monotonically_increasing_id().alias("row"),
+        rows.select(
+            "row",
             "doc_id",
             F.octet_length("text").cast("bigint").alias("n_bytes"),
             row_hash(F.col("doc_id"), F.col("text")).alias("hash"),
@@ -87,7 +97,7 @@ def assign(
         bits = F.when(F.col("depth") > 0, F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
         done.append(
             placed.where(F.col("depth").isNotNull()).select(
-                "doc_id", "n_bytes",
+                "row", "doc_id", "n_bytes",
                 F.concat("path", F.coalesce(bits, F.lit(""))).alias("shard"),
                 (F.length("path") + F.col("depth")).alias("depth"),
                 "shard_bytes",
@@ -105,3 +115,33 @@ def assign(
             ).withColumn("hash", again.cast("bigint"))
             low, high = 0, 8
         left = tables.stored(over.select(*columns), "oversized")
+
+
+def write_shards(
+    docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
+) -> None:
+    """Write ``doc_id, text`` of every row of ``docs`` into the folder of its shard, as one file.
+
+    Null texts are written as empty ones; rows as in :func:`assign`.
+    """
+    rows = _numbered(docs, id_col, text_col)
+    places = tables.stored(_assigned(rows, limit).select("row", "shard"), "places")
+    # The letter keeps the only shard of a small table, which has no bits, a name.
+    named = rows.join(places, "row").select("doc_id", "text", F.concat(F.lit("b"), "shard").alias("shard"))
+    named.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def open_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, text, shard`` of what :func:`write_shards` wrote."""
+    files = spark.read.schema("doc_id bigint, text string, shard string").parquet(path)
+    return files.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.substring("shard", 2, 1 << 20).alias("shard"))
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of :func:`assign`, measured on the rows in the files."""
+    rows = open_shards(spark, path).select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "shard"
+    )
+    sizes = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"))
+    bits = F.length(F.regexp_replace("shard", r"\+", "")).alias("depth")
+    return rows.join(sizes, "shard").select("doc_id", "n_bytes", "shard", bits, "shard_bytes")

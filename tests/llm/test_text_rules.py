@@ -139,6 +139,44 @@ def test_near_duplicates_odd_rows(spark):
     assert ids.count(4) == 1 and ids.count(16) == 0 and ids.count(None) == 1 and ids.count(3) == 2
 
 
+def brute_groups(rows):
+    """Groups of rows with words, by place in ``rows``, whatever their ids."""
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for n, a in enumerate(sets):
+        for j, b in enumerate(sets[:n]):
+            both = len(a & b)
+            if a and b and 100 * both >= 75 * (len(a) + len(b) - both):
+                x, y = root[n], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    groups = {}
+    for n, r in enumerate(root):
+        if sets[n]:
+            groups.setdefault(r, []).append(rows[n])
+    return list(groups.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_null_and_repeated_ids_are_linked_like_others(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([i, i, None, i % 9]), t) for i, t in near_texts()[:120]]
+    rows += [(None, "a b c d e f " * 12 + "x"), (None, "a b c d e f " * 12 + "x y"), (None, "lonely words here")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    groups = brute_groups(rows)
+    low = lambda group: min((i for i, _ in group if i is not None), default=None)
+    wanted = sorted(
+        ((i, len(shingles(t)), low(g), i == low(g)) for g in groups for i, t in g), key=repr
+    )
+    wanted += [(i, 0, i, True) for i, t in rows if not shingles(t)]
+    assert by_row(minhash.near_duplicates(docs), *NEAR) == sorted(wanted, key=repr)
+    # One row of each group stays, one that has its smallest id.
+    kept = [tuple(r) for r in minhash.one_of_each(docs).collect()]
+    assert len(kept) == len(groups) + len({r for r in rows if not shingles(r[1])})
+    for g in groups:
+        assert any(r in kept and r[0] == low(g) for r in g)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (21, 21)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.root for r in minhash.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -263,6 +301,27 @@ def test_shards(spark, limit):
     assert sharding.assign(empty_documents(spark), limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [300, 10**9])
+def test_shards_are_files(spark, tmp_path, limit):
+    rows = odd_rows() + [(1000 + i, "x" * (i % 50)) for i in range(300)] + [(7, "equal rows here")] * 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    path = str(tmp_path / "shards")
+    sharding.write_shards(docs, path, limit)
+    back = sharding.open_shards(spark, path)
+    assert by_row(back, "doc_id", "text") == sorted(((i, t or "") for i, t in rows), key=repr)
+    names = ("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
+    got = by_row(sharding.read_shards(spark, path), *names)
+    planned = by_row(sharding.assign(docs, limit), *names)
+    # The splits of rows that are equal go by their places, which are others in another run.
+    plain = lambda rows: [r for r in rows if "+" not in r[2]]
+    assert plain(got) == plain(planned) and len(got) == len(planned)
+    # One file a shard.
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "shards").glob("shard=*"))
+    assert len(list((tmp_path / "shards").glob("shard=*"))) == len({r[2] for r in got})
+    sharding.write_shards(empty_documents(spark), f"{path}-none", limit)
+    assert sharding.read_shards(spark, f"{path}-none").count() == 0
+
+
 # Toxicity
 
 
@@ -306,3 +365,40 @@ def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(15)] + [(None, 1), (2, None)], "doc_id bigint, toxic int")
     assert len(toxicity.score_documents(odd_documents(spark), labels).collect()) == len(odd_rows())
     assert toxicity.score_documents(empty_documents(spark), labels).count() == 0
+
+
+def test_few_labelled_rows_still_have_voters(spark):
+    rows = [(i, "you are an idiot and a moron" if i % 3 == 0 else f"a calm text number {i}") for i in range(12)]
+    labels = [(i, int(i % 3 == 0)) for i in range(12)]
+    out = toxicity.score_documents(
+        spark.createDataFrame(rows, "doc_id bigint, text string"),
+        spark.createDataFrame(labels, "doc_id bigint, toxic int"),
+    ).collect()
+    toxic = [r.score for r in out if r.doc_id % 3 == 0]
+    other = [r.score for r in out if r.doc_id % 3]
+    assert min(toxic) >= 0.5 > max(other)
+
+
+def test_label_model_recovers_known_voters():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, share, n = 400_000, 0.2, toxicity.N_VOTERS
+    if_toxic, if_other = rng.uniform(0.4, 0.8, n), rng.uniform(0.02, 0.15, n)
+    label = rng.random(rows) < share
+    votes = rng.random((rows, n)) < np.where(label[:, None], if_toxic, if_other)
+    # The last voter mostly repeats the one before it: a correlation that the label does not explain.
+    copied = rng.random(rows) < 0.8
+    votes[copied, n - 1] = votes[copied, n - 2]
+    together = votes.T.astype("f8") @ votes
+    found_toxic, found_other, weight = toxicity.label_model(together, rows, share)
+    for i in range(n - 2):
+        assert abs(found_toxic[i] - if_toxic[i]) < 0.05 and abs(found_other[i] - if_other[i]) < 0.03
+    assert max(weight[-2:]) < min(weight[:-2])
+
+
+def test_term_bound_follows_the_evidence(spark):
+    rows = spark.createDataFrame([(2, 2), (3, 3), (30, 30), (7, 10), (70, 90), (700, 900)], "t bigint, n bigint")
+    got = {(r.t, r.n): r.b for r in rows.select("t", "n", toxicity.purity_bound(rows.t, rows.n).alias("b")).collect()}
+    assert got[2, 2] < toxicity.PURITY < got[3, 3] < got[30, 30]
+    assert got[7, 10] < toxicity.PURITY and got[70, 90] < got[700, 900]

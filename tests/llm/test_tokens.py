@@ -181,9 +181,10 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert {r.version for r in spark.read.parquet(cache).select("version").distinct().collect()} == {version}
     assert stored == counts.read_cache(spark, cache, version).count()
     # Everything is known the second time; one new text is appended.
-    counts.count_tokens(odd_documents(spark), WORD_BPE, cache).collect()
+    again = counts.count_tokens(odd_documents(spark), WORD_BPE, cache)
+    assert by_row(again, *names) == got and again.where("NOT from_cache").count() == 0
     assert spark.read.parquet(cache).count() == stored
     more = spark.createDataFrame([(1, "a new text"), (2, "a new  text ")], "doc_id bigint, text string")
-    assert by_row(counts.count_tokens(more, WORD_BPE, cache), "n_tokens") == [(3,), (3,)]
+    assert by_row(counts.count_tokens(more, WORD_BPE, cache), "n_tokens", "from_cache") == [(3, False), (3, False)]
     assert spark.read.parquet(cache).count() == stored + 1
     assert counts.count_tokens(empty_documents(spark), WORD_BPE, cache).count() == 0
