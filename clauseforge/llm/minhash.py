@@ -1,7 +1,9 @@
 """Near-duplicates by circulant MinHash, confirmed on whole sets.
 
-Texts with equal shingle sets are one class from the start. The 128 signature
-values of a class come from two permutations of the 32-bit numbers: the first
+Texts with equal shingle sets are one class from the start, by a 128-bit digest of
+the set, and classes, not documents, are the nodes that bands, pairs and components
+join; ids come back last. So rows without an id, and ids with several texts, are
+linked like all others. The 128 signature values of a class come from two permutations of the 32-bit numbers: the first
 is applied once to the hashed shingles, the second to the result less k for
 k = 0 to 127, which shifts it circularly. 32 bands of four values find the
 candidates: a pair at similarity 0.75 shares none with a probability below
@@ -9,7 +11,7 @@ candidates: a pair at similarity 0.75 shares none with a probability below
 
 Every bucket first tests its members against its smallest one only. Buckets
 whose members are then still in several components test the pairs across
-components, so that no pair is left out. Before such a pair becomes a row it is
+components, so that none is left out. Before such a pair becomes a row it is
 screened: its sets' sizes, the two-bit agreement of its signatures, and, for sets
 of up to 512 shingles, the bits in which hashed pictures of the sets differ. Each
 such bit is a shingle that only one set has, so that screen loses nothing.
@@ -150,12 +152,11 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, content, shingles`` of ``docs (doc_id, text)``."""
+    """``node, shingles`` of ``docs (node, text)``."""
 
     def build(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
             sets = [shingle_set(text) for text in batch.column("text").to_pylist()]
@@ -163,23 +164,28 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             values = np.concatenate(sets) if sets else np.empty(0, "u8")
             yield pa.record_batch(
                 [
-                    batch.column("doc_id"),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    batch.column("node"),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view("i8"))),
                 ],
-                names=["doc_id", "content", "shingles"],
+                names=["node", "shingles"],
             )
 
-    return docs.mapInArrow(build, "doc_id bigint, content binary, shingles array<bigint>")
+    return docs.select("node", "text").mapInArrow(build, "node bigint, shingles array<bigint>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left_set"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right_set"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("left_set", "right_set"))
-    total = F.size("left_set") + F.size("right_set")
+
+    def of(side: str) -> DataFrame:
+        """The sets of that side's nodes; the others are left where they lie."""
+        asked = pairs.select(F.col(side).alias("node")).distinct()
+        return sets.join(asked, "node", "left_semi").select(
+            F.col("node").alias(side), F.col("shingles").alias(f"set_{side}")
+        )
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    total = F.size("set_a") + F.size("set_b")
     return (
         both.select("a", "b", shared.alias("shared"), total.alias("total"))
         .where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared")))
@@ -282,35 +288,48 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 def _classes(
     docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row of ``docs``."""
+    """``doc_id, text_hash, n_shingles, component, component_id`` of every row of ``docs``.
+
+    ``component`` is a number of the component, null for texts without words.
+    """
     plain = tables.documents(docs, id_col, text_col)
     sketches = tables.stored(sketch(plain), "sketches")
-    classes = (
+    # Equal texts are one row per task before each shuffle.
+    texts = (
         sketches.where(F.col("content").isNotNull())
-        .groupBy("content")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-        .where(F.col("rep").isNotNull())
+        .groupBy("content", "text_hash")
+        .agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n_shingles"))
+    )
+    classes = texts.groupBy("content").agg(
+        F.min("low").alias("low_id"), F.min("text_hash").alias("rep_hash"), F.max("n_shingles").alias("n_shingles")
+    )
+    # Numbered by their smallest id, as the earliest text of a bucket is often the one the others
+    # are copies of; written with the numbers, so that they stay the same for all that follows.
+    ordered = classes.orderBy(F.asc_nulls_last("low_id"), "content")
+    classes = tables.stored(ordered.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    chosen = classes.select("rep", "content", F.col("rep_hash").alias("text_hash"))
+    # One row of each class: the smallest id of one of its texts.
+    chosen = texts.join(chosen, ["content", "text_hash"]).select(
+        "rep", F.col("text_hash").alias("_hash"), F.col("low").alias("_low")
+    )
+    chosen = tables.stored(chosen, "representatives")
+    its_row = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_low"))
+    reps = sketches.where(F.col("content").isNotNull()).join(chosen, its_row).select(
+        "rep", "n_shingles", "bands", "codes", "picture"
     )
-    classes = tables.stored(classes, "classes")
     # The bands of the representatives, one row per band.
-    reps = sketches.join(
-        classes.select(F.col("content").alias("c"), "rep"),
-        (F.col("content") == F.col("c")) & (F.col("doc_id") == F.col("rep")),
-    ).select("rep", "n_shingles", "bands", "codes", "picture")
     banded = reps.select("rep", F.explode("bands").alias("band")).distinct()
     buckets = banded.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n"))
     shared = tables.stored(
         banded.join(buckets.where("n > 1"), "band").select("band", "rep", "low"), "buckets"
     )
     sizes = classes.select("rep", "n_shingles")
-    involved = shared.select("rep").distinct()
+    involved = chosen.join(shared.select("rep").distinct(), "rep", "left_semi")
+    hashed = plain.withColumn("text_hash", tables.text_hash(F.col("text")))
     sets = tables.stored(
-        shingle_sets(plain.join(involved.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"))
-        .join(
-            classes.select(F.col("content"), F.col("rep").alias("doc_id")), ["doc_id", "content"],
-            "left_semi",
-        )
-        .dropDuplicates(["doc_id"]),
+        shingle_sets(
+            hashed.join(involved, its_row).select(F.col("rep").alias("node"), "text")
+        ).dropDuplicates(["node"]),
         "shingle-sets",
     )
 
@@ -327,25 +346,27 @@ def _classes(
     roots = tables.stored(
         components(tables.stored(_confirm(first, sets, percent), "links")), "roots"
     )
-    screens = reps.select("rep", "n_shingles", "codes", "picture")
+    screens = reps.select("rep", "n_shingles", "codes", "picture").dropDuplicates(["rep"])
     members = tables.stored(
         _mixed(shared.select("band", "rep"), roots).join(screens, "rep"), "mixed-buckets"
     )
-    open_pairs = _across(members, percent).join(first, ["a", "b"], "left_anti")
+    open_pairs = tables.stored(
+        _across(members, percent).join(first, ["a", "b"], "left_anti"), "open-pairs"
+    )
     links = tables.stored(_confirm(open_pairs, sets, percent), "links")
     if not links.isEmpty():
         roots = tables.stored(_joined(roots, links), "roots")
-    rooted = classes.select("content", "rep").join(
+    placed = classes.select("content", "rep", "low_id").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left"
-    ).select("content", F.coalesce("root", "rep").alias("root"))
+    ).select("content", "low_id", F.coalesce("root", "rep").alias("component"))
+    lowest = placed.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    rooted = placed.select("content", "component").join(lowest, "component")
     return sketches.select("doc_id", "text_hash", "n_shingles", "content").join(
         rooted, "content", "left"
     ).select(
-        "doc_id",
-        "text_hash",
-        "n_shingles",
-        F.coalesce("root", "doc_id").alias("component_id"),
-        F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        "doc_id", "text_hash", "n_shingles", "component",
+        # Without words a row is linked with nothing.
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
@@ -354,12 +375,14 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
-    Texts without words are linked with nothing. Rows with equal sets are one
-    class; a row with a null id belongs to the class of its text, is never its
-    representative, and is kept where no row of the class has an id. Repeated
-    rows are each returned. An empty table gives no rows.
+    Texts without words are linked with nothing. Rows with a null id are linked as
+    all others; a component without any id has a null component_id, and all of its
+    rows count as kept, as their ids equal it. An id with several texts may be in
+    several components. Repeated rows are each returned. An empty table gives no
+    rows.
     """
-    return _classes(docs, percent, id_col, text_col).drop("text_hash")
+    kept = F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")
+    return _classes(docs, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def one_of_each(
@@ -367,14 +390,23 @@ def one_of_each(
 ) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, columns as they were.
 
-    Of rows that repeat an id and a text one stays; so it does of rows without
-    an id that have the same text and no like with an id.
+    The row with the smallest id stays, also where none of the group has an id; of
+    several texts of that id the one with the smallest hash, and of equal rows one.
+    Rows without words are in no group; equal ones of the same id are one row.
     """
     found = tables.stored(_classes(docs, percent, id_col, text_col), "classes-of-rows")
+    lowest = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    first = found.where(lowest & F.col("component").isNotNull()).groupBy("component").agg(
+        F.min("text_hash").alias("first_hash")
+    )
+    stays = lowest & (F.col("component").isNull() | (F.col("text_hash") == F.col("first_hash")))
+    judged = tables.stored(
+        found.join(first, "component", "left").select("doc_id", "text_hash", stays.alias("kept")), "kept-rows"
+    )
     out = tables.without(
-        docs, found.where(~F.col("kept")).select("doc_id", "text_hash").distinct(), id_col, text_col
+        docs, judged.where(~F.col("kept")).select("doc_id", "text_hash").distinct(), id_col, text_col
     )
-    again = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    again = judged.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     if again.where("n > 1").isEmpty():
         return out
     names = [f"_{i}" for i in range(len(docs.columns))]
