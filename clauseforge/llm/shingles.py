@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-# Words whose hashes one worker keeps; a full table is emptied and filled anew.
-WORDS_KEPT = 500_000
+# Words whose hashes one worker keeps, and the longest of them in bytes; a full
+# table, of some 50 MB then, is emptied and filled anew.
+WORDS_KEPT, LONGEST_KEPT = 250_000, 32
 
 _kept: dict[bytes, int] = {}
 
@@ -31,7 +32,9 @@ def word_hashes(words: list[bytes]):
             _kept.clear()
             missing = set(words)
         digest = xxhash.xxh3_64_intdigest
-        _kept.update((w, digest(w)) for w in missing)
+        _kept.update((w, digest(w)) for w in missing if len(w) <= LONGEST_KEPT)
+        if any(len(w) > LONGEST_KEPT for w in missing):
+            return np.fromiter((_kept[w] if w in _kept else digest(w) for w in words), "u8", len(words))
     return np.fromiter(map(_kept.__getitem__, words), "u8", len(words))
 
 

@@ -15,7 +15,10 @@ from clauseforge.storage import fresh_path
 
 # A side is sent to every task only where its counted rows stay below this.
 BROADCAST_ROWS = 100_000
-
+# Bytes of the batches in which rows go to Python and back; the default holds
+# several times as much in memory per core.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_LIMIT = 8 << 20
 
 _shipped: set[str] = set()
 
@@ -27,6 +30,8 @@ def ship(spark: SparkSession) -> None:
     hashes) serves its later tasks too.
     """
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(BATCH_LIMIT))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -67,17 +72,14 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def stored(df: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the files.
 
     The files end the lineage: what is lost with an executor is read again.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    writer = df.write
-    if keys:
-        writer = writer.partitionBy(*keys)
-    writer.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

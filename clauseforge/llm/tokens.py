@@ -14,8 +14,9 @@ from array import array
 from collections.abc import Iterable
 
 # Pieces kept in one worker, twice: when a table is full it becomes the old one,
-# from which pieces that are met again move to the new one.
-PIECES_KEPT = 400_000
+# from which pieces that are met again move to the new one. Longer pieces are not
+# kept, so a table has some 40 MB.
+PIECES_KEPT, LONGEST_KEPT = 250_000, 48
 
 # White space other than blank and line end, as any of the libraries sees it.
 _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
@@ -126,7 +127,15 @@ class IdEncoder:
             old = self.old
             for part in missing:
                 kept[part] = old[part] if part in old else self._piece_ids(part)
-        return b"".join(map(kept.__getitem__, parts))
+        out = b"".join(map(kept.__getitem__, parts))
+        _forget_long(kept, missing)
+        return out
+
+
+def _forget_long(kept: dict, pieces: Iterable[str]) -> None:
+    """Long pieces hardly come again."""
+    for piece in [p for p in pieces if len(p) > LONGEST_KEPT]:
+        del kept[piece]
 
 
 class PieceCounter:
@@ -150,7 +159,9 @@ class PieceCounter:
             missing = [p for p in missing if p not in old]
             encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
             kept.update((p, len(got.ids)) for p, got in zip(missing, encoded))
-        return sum(map(kept.__getitem__, parts))
+        out = sum(map(kept.__getitem__, parts))
+        _forget_long(kept, missing)
+        return out
 
 
 _encoders: dict[tuple[type, str], object] = {}
