@@ -16,6 +16,7 @@ percentile of its ids needs; ids that need more are exceptions.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -63,8 +64,9 @@ def pack_blocks(ids, percentile: int = PERCENTILE) -> tuple[list[bytes], list[in
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         some = rest[rows]
-        big = some.astype(">u4").view("u1").reshape(len(rows), BLOCK, 4)
-        bits = np.unpackbits(big, axis=2)[:, :, 32 - int(w):]
+        size = 2 if w <= 16 else 4
+        big = some.astype(f">u{size}").view("u1").reshape(len(rows), BLOCK, size)
+        bits = np.unpackbits(big, axis=2)[:, :, 8 * size - int(w):]
         packed = np.packbits(bits.reshape(len(rows), -1), axis=1)
         for r, row in enumerate(rows):
             count = min(BLOCK, n - int(row) * BLOCK)
@@ -87,16 +89,34 @@ def unpack_block(payload: bytes, at: int):
     low, width, count, exceptions = struct.unpack_from("<IBHH", payload, at)
     at += 9
     size = (count * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(payload, "u1", size, at), count=count * width)
-    wide = np.zeros((count, 32), "u1")
-    wide[:, 32 - width:] = bits.reshape(count, width)
-    ids = np.packbits(wide, axis=1).view(">u4").reshape(-1).astype("<u4")
+    whole = 2 if width <= 16 else 4
+    first, shift = _places(width, whole)
+    # Every value lies within `whole` bytes and the next one.
+    raw = np.zeros(size + whole + 1, "u4" if whole == 2 else "u8")
+    raw[:size] = np.frombuffer(payload, "u1", size, at)
+    first = first[:count]
+    ids = raw[first]
+    for k in range(1, whole + 1):
+        ids <<= 8
+        ids |= raw[first + k]
+    ids >>= shift[:count]
+    ids &= (1 << width) - 1
+    ids = ids.astype("<u4")
     at += size
     places = np.frombuffer(payload, "<u2", exceptions, at)
     ids[places] = np.frombuffer(payload, "<u4", exceptions, at + 2 * exceptions)
     return ids + np.uint32(low)
 
 
+@functools.cache
+def _places(width: int, whole: int):
+    """The first byte of every value of a block, and the bits after it in ``whole + 1`` bytes."""
+    import numpy as np
+
+    bits = np.arange(BLOCK) * width
+    return bits >> 3, (8 * (whole + 1) - width - (bits & 7)).astype("u4" if whole == 2 else "u8")
+
+
 def write_file(doc_ids: list[int | None], lengths: list[int], ids) -> bytes:
     import numpy as np
 

@@ -15,8 +15,8 @@ from collections.abc import Iterable
 
 # Pieces kept in one worker, twice: when a table is full it becomes the old one,
 # from which pieces that are met again move to the new one. Longer pieces are not
-# kept, so a table has some 40 MB.
-PIECES_KEPT, LONGEST_KEPT = 250_000, 48
+# kept, so a table has some 70 MB.
+PIECES_KEPT, LONGEST_KEPT = 400_000, 48
 
 # White space other than blank and line end, as any of the libraries sees it.
 _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
