@@ -67,13 +67,13 @@ def assign(
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row, doc_id, text``, written with its numbers, so that they stay the same."""
+    """``row, doc_id, text``; the numbers stay the same once they are written."""
     plain = tables.documents(docs, id_col, text_col)
-    return tables.stored(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return plain.withColumn("row", F.monotonically_increasing_id())
 
 
 def _assigned(rows: DataFrame, limit: int) -> DataFrame:
-    """``row`` and the columns of :func:`assign`."""
+    """``row`` and the columns of :func:`assign`; what is written of ``rows`` has no texts."""
     left = tables.stored(
         rows.select(
             "row",
@@ -124,7 +124,7 @@ def write_shards(
 
     Null texts are written as empty ones; rows as in :func:`assign`.
     """
-    rows = _numbered(docs, id_col, text_col)
+    rows = tables.stored(_numbered(docs, id_col, text_col), "rows")
     places = tables.stored(_assigned(rows, limit).select("row", "shard"), "places")
     # The letter keeps the only shard of a small table, which has no bits, a name.
     named = rows.join(places, "row").select("doc_id", "text", F.concat(F.lit("b"), "shard").alias("shard"))
