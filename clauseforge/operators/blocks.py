@@ -265,14 +265,7 @@ def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
     """
     total = np.zeros(width + 1, dtype=object)
     for left, right in _tiles(pos, neg):
-        p, n = unpack(left.ones, width), unpack(right.ones, width)
-        gap = _gap(p.astype(np.float32), n.astype(np.float32))
-        if left.halves is not None:
-            ph = unpack(left.halves, width).astype(np.float32)
-            nh = unpack(right.halves, width).astype(np.float32)
-            # An uncertain value counts as 0 above: right against 1, not against 0.
-            gap = gap + ph @ (1.0 - n - nh).T + (1.0 - p - ph) @ nh.T
-        gap = gap.astype(np.intp)
+        gap = _distances(left, right, width)
         for right_shift, right_digit in _digits(right.mult):
             for left_shift, left_digit in _digits(left.mult):
                 weight = np.outer(left_digit, right_digit).ravel()
@@ -281,6 +274,35 @@ def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
     return total
 
 
+def distance_rows(pos: Block, neg: Block, width: int) -> np.ndarray:
+    """Of every row of ``neg`` the rows of ``pos``, with multiplicity, at each distance 0..n."""
+    total = np.zeros((len(neg), width + 1), dtype=np.int64)
+    for i in range(0, len(neg), TILE):
+        right = neg.take(slice(i, i + TILE))
+        own = np.arange(len(right)) * (width + 1)
+        for j in range(0, len(pos), TILE):
+            left = pos.take(slice(j, j + TILE))
+            cells = (own + _distances(left, right, width)).ravel()
+            for shift, digit in _digits(left.mult):
+                found = np.bincount(
+                    cells, weights=np.repeat(digit, len(right)), minlength=len(right) * (width + 1)
+                )
+                total[i : i + TILE] += found.astype(np.int64).reshape(len(right), -1) << shift
+    return total
+
+
+def _distances(left: Block, right: Block, width: int) -> np.ndarray:
+    """Differing features of every pair of rows."""
+    p, n = unpack(left.ones, width), unpack(right.ones, width)
+    gap = _gap(p.astype(np.float32), n.astype(np.float32))
+    if left.halves is not None:
+        ph = unpack(left.halves, width).astype(np.float32)
+        nh = unpack(right.halves, width).astype(np.float32)
+        # An uncertain value counts as 0 above: right against 1, not against 0.
+        gap = gap + ph @ (1.0 - n - nh).T + (1.0 - p - ph) @ nh.T
+    return gap.astype(np.intp)
+
+
 def coefficient_counts(pos: Block, neg: Block, width: int) -> Counter:
     """Pairs with a flagged row, with multiplicity, by what they give a literal.
 

@@ -35,6 +35,7 @@ from clauseforge.operators.blocks import (
     block_from_arrow,
     coefficient_counts,
     distance_counts,
+    distance_rows,
     literal_counts,
     relevance_sum,
 )
@@ -80,6 +81,11 @@ class TableSide:
         rows = self.df.filter(keep.exact(self.halves)).withColumn("flag", flag)
         return replace(self, df=rows)
 
+    def missing(self, keep: Mask) -> TableSide:
+        """The rows that :meth:`pick` leaves out."""
+        rows = self.df.filter(~keep.exact(self.halves)).withColumn("flag", F.lit(True))
+        return replace(self, df=rows)
+
     def marked(self, term: Mask) -> TableSide:
         """All rows, those flagged that ``term`` covers."""
         return replace(self, df=self.df.withColumn("flag", term.allows(self.halves)))
@@ -112,6 +118,10 @@ class ArraySide:
             flag = ~erased_by.exact_rows(rows.ones, rows.halves)
         return ArraySide(rows.flagged(flag), self.width)
 
+    def missing(self, keep: Mask) -> ArraySide:
+        rows = self.block.take(~keep.exact_rows(self.block.ones, self.block.halves))
+        return ArraySide(rows.flagged(np.ones(len(rows), dtype=bool)), self.width)
+
     def marked(self, term: Mask) -> ArraySide:
         flag = term.allows_rows(self.block.ones, self.block.halves)
         return ArraySide(self.block.flagged(flag), self.width)
@@ -189,6 +199,11 @@ def distance_tally(pos, neg, width: int) -> DataFrame:
     return partial_rows(pos, neg, _DistanceKernel(width))[0].select("key", "r")
 
 
+def histogram_tally(pos: TableSide, neg: TableSide) -> DataFrame:
+    """``(w*, [h*], mult, d, positives)`` of the negative vectors; a vector has rows from several cells."""
+    return _in_grid(pos, neg, _HistogramKernel(pos.width, pos.halves))
+
+
 def coefficient_tally(pos, neg, width: int) -> DataFrame:
     """``(lit, certain, unsure, full, part)`` partial rows over pairs with a flagged row."""
     return partial_rows(pos, neg, _CoefficientKernel(width))[0]
@@ -310,6 +325,42 @@ class _CoefficientKernel(Kernel):
         return pa.RecordBatch.from_arrays(columns, names=["lit", "certain", "unsure", "full", "part"])
 
 
+@dataclass(frozen=True)
+class _HistogramKernel(Kernel):
+    """Rows of single negative vectors, for cells of bounded blocks only."""
+
+    width: int
+    halves: bool
+    keys = 0
+
+    @property
+    def columns(self) -> list[str]:
+        return one_columns(self.width) + (half_columns(self.width) if self.halves else [])
+
+    @property
+    def schema(self) -> str:
+        return ", ".join(f"{c} bigint" for c in self.columns) + ", mult bigint, d int, positives bigint"
+
+    def zero(self):
+        return []
+
+    def sums(self, pos: Block, neg: Block):
+        return [(neg, distance_rows(pos, neg, self.width))]
+
+    def rows(self, sums, pos_counts, neg_counts) -> pa.RecordBatch:
+        ((neg, counts),) = sums
+        row, d = np.nonzero(counts)
+        words = np.hstack([neg.ones, neg.halves]) if self.halves else neg.ones
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(words[row, i]), pa.int64()) for i in range(len(self.columns))]
+            + [
+                pa.array(neg.mult[row], pa.int64()), pa.array(d, pa.int32()),
+                pa.array(counts[row, d], pa.int64()),
+            ],
+            names=[*self.columns, "mult", "d", "positives"],
+        )
+
+
 def _nothing(kernel):
     return np.zeros(kernel.keys, dtype=np.int64), 0
 

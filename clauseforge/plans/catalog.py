@@ -12,6 +12,7 @@ from clauseforge.functions.formula import formula_column
 from clauseforge.functions.masks import bit_string
 from clauseforge.functions.predicates import literal_matches, literal_misses, term_allows
 from clauseforge.operators import evaluate
+from clauseforge.operators import histograms as hist
 from clauseforge.operators import instances as inst
 from clauseforge.operators import relevance as rel
 from clauseforge.operators.rows import covered_rows as rows_covered
@@ -213,6 +214,17 @@ def pair_semi_uncovered(spark, sf_dir):
     return _text(rel.pair_distances(_gathered(left)), "pairs")
 
 
+def pair_semi_histograms(spark, sf_dir):
+    """Pairs among the survivors of a literal, from the stored histograms of all vectors."""
+    stored = hist.distance_histograms(_gathered(part_instances(spark, sf_dir)))
+    return _text(hist.distances_meeting(stored, {NOT_ONE - PART_WIDTH: 0}), "pairs")
+
+
+def pair_semi_uncovered_histograms(spark, sf_dir):
+    stored = hist.distance_histograms(_gathered(part_instances(spark, sf_dir)))
+    return _text(hist.distances_uncovered(stored, PROMO_TERM), "pairs")
+
+
 def _relevance(
     strategy: str, instances=part_instances, width: int = PART_WIDTH, halves: str = "weighted", **options
 ):
@@ -472,6 +484,8 @@ QUERIES = {
     "pair_distance_words": pair_distance_words,
     "pair_semi": pair_semi,
     "pair_semi_uncovered": pair_semi_uncovered,
+    "pair_semi_histograms": pair_semi_histograms,
+    "pair_semi_uncovered_histograms": pair_semi_uncovered_histograms,
     "relevance_vector": _relevance("auto"),
     "relevance_broadcast_positive": _relevance("broadcast_positive"),
     "relevance_broadcast_negative": _relevance("broadcast_negative"),

@@ -487,6 +487,10 @@ FROM inst p, inst n WHERE p.label = 1 AND n.label = 0 GROUP BY 1""",
     "pair_semi_uncovered": _distances(
         PART_ROWS, "label = 0 OR NOT ((bits >> 3) & 1 = 1 AND (bits >> 7) & 1 = 0)"
     ),
+    "pair_semi_histograms": _distances(PART_ROWS, "(bits >> 7) & 1 = 0"),
+    "pair_semi_uncovered_histograms": _distances(
+        PART_ROWS, "label = 0 OR NOT ((bits >> 3) & 1 = 1 AND (bits >> 7) & 1 = 0)"
+    ),
     "relevance_vector": _PART_RELEVANCE,
     "relevance_broadcast_positive": _PART_RELEVANCE,
     "relevance_broadcast_negative": _PART_RELEVANCE,
