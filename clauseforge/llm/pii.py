@@ -2,8 +2,8 @@
 
 Generators propose spans in one scan of the texts; only texts with a match go
 on. Spans of the four base kinds that pass their check are always found.
-Spans of the further kinds are scored by gradient-boosted trees over their format,
-trained here on weak labels (a keyword before a candidate or before the same match
+Spans of the further kinds are scored by gradient-boosted trees over their format and
+context, trained here on weak labels (a keyword before a candidate or before the same match
 elsewhere), and found where they are labelled, begin with a fixed key prefix, or
 their score reaches a threshold that all candidates of the kind set, each scored by
 trees that have not seen its match. Everything is DataFrame operations and Spark ML.
@@ -59,12 +59,19 @@ _WORDS_BEFORE = {
 }
 _KEY_PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|xox[abp]-|sk-|pk_|AIza|eyJ)"
 
-# Of the match alone. What stands around it gives the labels and is not among
-# them, or the trees would learn the place instead of the format.
-FEATURES = (
+FORMAT = (
     "changes", "hex_share", "length", "digits", "lower", "upper", "digit_share", "dashes", "dots",
     "blanks", "marks", "head", "tail", "kind_no",
 )
+# The words before a match give the labels. They are not among these, or the
+# trees would learn the keywords again.
+CONTEXT = (
+    "then_blank", "then_stop", "then_quote", "then_nothing", "ends_line", "digits_around", "upper_around",
+    "near",
+)
+FEATURES = FORMAT + CONTEXT
+# Other candidates count as near within so many characters.
+NEAR = 64
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -164,7 +171,7 @@ def spans(proposed: DataFrame) -> DataFrame:
 
 def with_features(candidates: DataFrame) -> DataFrame:
     """The candidates of the further kinds, without those inside valid base spans, with
-    features of their format and weak labels.
+    features of their format and context and weak labels.
 
     ``label`` holds where a keyword stands before the candidate, or before the
     same match elsewhere. ``settled`` ones share a place with a valid base span.
@@ -177,7 +184,9 @@ def with_features(candidates: DataFrame) -> DataFrame:
     next_base = F.min(F.when(valid, F.col("start"))).over(
         order.rowsBetween(1, Window.unboundedFollowing)
     )
-    match, left = F.col("match"), F.col("left")
+    around_it = Window.partitionBy("row").orderBy("start").rangeBetween(-NEAR, NEAR)
+    match, left, right = F.col("match"), F.col("left"), F.col("right")
+    after, around = F.left(right, F.lit(1)), F.concat(left, right)
 
     def count(pattern: str) -> Column:
         return F.length(F.regexp_replace(match, f"[^{pattern}]", "")).cast("double")
@@ -185,6 +194,14 @@ def with_features(candidates: DataFrame) -> DataFrame:
     def run(pattern: str) -> Column:
         return F.length(F.regexp_extract(match, pattern, 0)).cast("double")
 
+    def then(test: Column) -> Column:
+        return F.coalesce(test, F.lit(False)).cast("double")
+
+    def share(pattern: str) -> Column:
+        # In tenths, so that equal rows of features stay many.
+        found = F.length(F.regexp_replace(around, f"[^{pattern}]", ""))
+        return F.round(10 * found / F.greatest(F.length(around), F.lit(1))).cast("double")
+
     length = F.length(match).cast("double")
     of_kind = lambda patterns, c: reduce(
         lambda a, k: a | ((F.col("kind") == k) & c.rlike(patterns[k])), MORE_KINDS, F.lit(False)
@@ -195,6 +212,7 @@ def with_features(candidates: DataFrame) -> DataFrame:
     described = tables.stored(
         candidates.where(kinds | valid)
         .withColumn("reached", reached).withColumn("next_base", next_base)
+        .withColumn("near", F.least(F.count("*").over(around_it) - 1, F.lit(9)).cast("double"))
         .where(kinds & (F.coalesce("reached", F.lit(0)) < F.col("end")))
         .select(
             "row", "kind", "start", "end", "match",
@@ -218,6 +236,14 @@ def with_features(candidates: DataFrame) -> DataFrame:
             run("^[0-9]*").alias("head"),
             run("[0-9]*$").alias("tail"),
             kind_no.alias("kind_no"),
+            then(after == " ").alias("then_blank"),
+            then(after.rlike(r"[.,;:!?)\]]")).alias("then_stop"),
+            then(after.rlike("[\"'<>`]")).alias("then_quote"),
+            then(after == "").alias("then_nothing"),
+            then(right.rlike(r"^\W*(?:\n|$)")).alias("ends_line"),
+            share("0-9").alias("digits_around"),
+            share("A-Z").alias("upper_around"),
+            "near",
             F.pmod(F.xxhash64("match"), F.lit(2)).alias("fold"),
             of_kind(_WORDS_BEFORE, left).alias("keyword"),
             match.rlike(_KEY_PREFIX).alias("prefix"),

@@ -144,6 +144,22 @@ def test_format_finds_what_no_keyword_marks(spark):
     assert found[1::2] == wanted[1::2]
 
 
+def test_context_tells_equal_formats_apart(spark):
+    """Codes in quotes are sometimes marked by a keyword, those before a full stop never."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(800):
+        code = "a1" + "".join(rng.choice("0123456789abcdef") for _ in range(30))
+        texts.append(
+            [f'use token "{code}" for it', f'use it as "{code}" for it'][i % 2]
+            if i < 400 else f"it was built as {code}. So it is"
+        )
+    found = [len(f) for f in found_in(texts, spark)]
+    assert sum(found[:400:2]) == 200
+    assert sum(n > 0 for n in found[1:400:2]) >= 190
+    assert sum(n > 0 for n in found[400:]) <= 8
+
+
 def test_the_rule_holds_in_a_table_of_any_size(spark):
     code, key = "0123456789abcdef" * 2, "AKIA" + "Z9" * 8
     texts = [f'token = "{code}" and {key}', f"a {code} here"]
