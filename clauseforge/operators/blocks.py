@@ -18,6 +18,12 @@ UNIT_BITS = 36
 # weighted row sum under 512 * 2**8 * 2**36 = 2**53, exact in a double.
 TILE = 512
 DIGIT_BITS = 8
+# Rows without uncertain values meet in tiles that are four times as wide and half
+# as high: few features are in both sides of a low tile. Digits are shorter by as much.
+FLAT_WIDE, FLAT_HIGH = 4, 2
+FLAT_DIGIT_BITS = 6
+# Bins for which the distances of two rows are counted as one number.
+PAIRED_BINS = 1 << 17
 # Up to this many rows on both sides together, an uncertain value weighs
 # u = 0.5**(p+q) on the scale below. Beyond, u is smaller than any difference
 # of whole units, and a second sum per literal orders what the first leaves
@@ -213,15 +219,15 @@ def literal_counts(block: Block, width: int) -> np.ndarray:
     return counts
 
 
-def _digits(mult: np.ndarray):
-    """Multiplicities as base-256 digits: ``(shift, digit array)`` from low to high."""
+def _digits(mult: np.ndarray, bits: int = DIGIT_BITS):
+    """Multiplicities as digits of so many bits: ``(shift, digit array)`` from low to high."""
     shift, rest = 0, mult
     while rest.any():
-        digit = (rest & ((1 << DIGIT_BITS) - 1)).astype(np.float64)
+        digit = (rest & ((1 << bits) - 1)).astype(np.float64)
         if digit.any():
             yield shift, digit
-        rest = rest >> DIGIT_BITS
-        shift += DIGIT_BITS
+        rest = rest >> bits
+        shift += bits
 
 
 def _whole_sum(row_weight: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -248,29 +254,180 @@ def _tiles(pos: Block, neg: Block):
                 yield left.take(slice(i, i + TILE)), right.take(slice(j, j + TILE))
 
 
+def _flat_tiles(pos: Block, neg: Block, width: int):
+    """Tiles of rows without uncertain values, as 0/1 matrices of the features that count.
+
+    ``(left, p, right, n, shared)``: ``p`` has a row per row of ``left``, ``n`` a
+    column per row of ``right`` and a row per feature of ``shared``, those that occur
+    on both sides, then a row of ones and the row of sizes. A feature that is not
+    shared cannot make two rows alike in a one.
+    """
+    high, wide = max(1, TILE // FLAT_HIGH), TILE * FLAT_WIDE
+    for j in range(0, len(neg), wide):
+        right = neg.take(slice(j, j + wide))
+        bits = unpack(right.ones, width)
+        used = np.flatnonzero(bits.any(axis=0))
+        n = np.vstack([bits[:, used].T, np.ones(len(right)), _sizes(right)]).astype(np.float32)
+        for i in range(0, len(pos), high):
+            left = pos.take(slice(i, i + high))
+            p = unpack(left.ones, width)
+            at = np.flatnonzero(p.any(axis=0)[used])
+            yield left, p, right, n[np.append(at, [len(used), len(used) + 1])], used[at]
+
+
+def _flat_gap(p: np.ndarray, a: np.ndarray, n: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """``a + scale * b - 2 p.n`` in one product, for the sizes a and b of both sides."""
+    return np.column_stack([-2.0 * p, a, np.full(len(p), scale)]).astype(np.float32) @ n
+
+
+def _sizes(block: Block) -> np.ndarray:
+    """Ones of each row."""
+    return np.bitwise_count(block.ones.view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
 def relevance_sum(pos: Block, neg: Block, rule: Rule) -> np.ndarray:
     """Relevance units of the 2n literals, then their second sums if the rule has
     them, over pairs with a flagged row."""
     total = np.zeros(rule.sums, dtype=object)
-    tile = _fine_tile if rule.fine else _tile
+    if rule.halves is None:
+        for left, right in _products(pos, neg):
+            total += _certain_sum(left, right, rule.width)
+        return total
+    tile = _fine_tile if rule.fine else _uncertain_tile
     for left, right in _tiles(pos, neg):
         total += tile(left, right, rule)
     return total
 
 
+def _certain_sum(pos: Block, neg: Block, width: int) -> np.ndarray:
+    """Relevance units over all pairs of rows without uncertain values.
+
+    A literal that wants a one gets all pairs of its positives less those whose
+    negative has the one too, and the other way round for a zero. So only features
+    that both sides of a tile have take part in products.
+    """
+    sums: dict[int, np.ndarray] = {}  # shift -> high and low part per literal
+
+    def add(shift: int, literals: np.ndarray, parts, sign: int) -> None:
+        held = sums.setdefault(shift, np.zeros((2, 2 * width), dtype=np.int64))
+        held[:, literals] += sign * np.stack(parts)
+
+    negatives: dict[int, np.ndarray] = {}  # shift -> high and low part per row of the tile
+    before = None
+    for left, p, right, n, shared in _flat_tiles(pos, neg, width):
+        if before is not None and right is not before:
+            _add_negatives(before, negatives, width, add)
+            negatives = {}
+        before = right
+        own = p[:, shared].astype(np.float32)
+        mine = np.flatnonzero(p.any(axis=0))
+        ones = p[:, mine].astype(np.float64)
+        weight = _share(_flat_gap(own, _sizes(left), n))
+        left_digits = list(_digits(left.mult, FLAT_DIGIT_BITS))
+        for left_shift, digit in left_digits:
+            held = negatives.setdefault(left_shift, np.zeros((2, len(right)), dtype=np.int64))
+            held += np.stack(_halved(digit @ weight)).astype(np.int64)
+        for right_shift, right_digit in _digits(right.mult, FLAT_DIGIT_BITS):
+            # The last row collects all pairs of a positive.
+            product = weight @ (n[:-1] * right_digit).T
+            both, whole = own * product[:, :-1], product[:, -1]
+            for left_shift, digit in left_digits:
+                shift = left_shift + right_shift
+                wanted = [(digit * x @ ones).astype(np.int64) for x in _halved(whole)]
+                add(shift, mine, wanted, 1)
+                alike = [(digit @ x).astype(np.int64) for x in _halved(both)]
+                add(shift, shared, alike, -1)
+                add(shift, width + shared, alike, -1)
+    if before is not None:
+        _add_negatives(before, negatives, width, add)
+    total = np.zeros(2 * width, dtype=object)
+    for shift, (high, low) in sums.items():
+        total += high.astype(object) * (1 << (26 + shift)) + low.astype(object) * (1 << shift)
+    return total
+
+
+def _halved(values: np.ndarray):
+    """Whole values below 2**53 as multiples of 2**26, and the rest."""
+    high = np.floor(values * 2.0**-26)
+    return high, values - high * 2.0**26
+
+
+def _add_negatives(right: Block, negatives: dict[int, np.ndarray], width: int, add) -> None:
+    """What the rows of a tile's negatives give the literals that want a zero."""
+    bits = unpack(right.ones, width)
+    used = np.flatnonzero(bits.any(axis=0))
+    ones = bits[:, used].T.astype(np.int64)
+    for right_shift, digit in _digits(right.mult, FLAT_DIGIT_BITS):
+        for left_shift, parts in negatives.items():
+            add(left_shift + right_shift, width + used, [ones @ (x * digit.astype(np.int64)) for x in parts], 1)
+
+
 def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
     """Pairs with a flagged row, with multiplicity, at each distance 0..n.
 
     An uncertain value differs from a certain one and not from another uncertain one.
     """
     total = np.zeros(width + 1, dtype=object)
+    if pos.halves is None:
+        for left, right in _products(pos, neg):
+            # Tiles of rows alike in size have few distances; rows that occur once are counted faster.
+            for p, p_rows, n, n_rows in _flat_distance_tiles(_by_size(left), _by_size(right), width):
+                found = _paired_counts if p_rows.mult.max() == n_rows.mult.max() == 1 else _flat_counts
+                counts = found(p, p_rows, n, n_rows)
+                total[: len(counts)] += counts[: width + 1]
+        return total
     for left, right in _tiles(pos, neg):
         gap = _distances(left, right, width)
-        for right_shift, right_digit in _digits(right.mult):
-            for left_shift, left_digit in _digits(left.mult):
-                weight = np.outer(left_digit, right_digit).ravel()
-                found = np.bincount(gap.ravel(), weights=weight, minlength=width + 1)
-                total += _integers(found) * (1 << (left_shift + right_shift))
+        total += _weighted_counts(gap, left.mult, right.mult, width + 1)
+    return total
+
+
+def _by_size(block: Block) -> Block:
+    return block.take(np.lexsort((_sizes(block), block.mult > 1)))
+
+
+def _flat_distance_tiles(pos: Block, neg: Block, width: int):
+    for left, p, right, n, shared in _flat_tiles(pos, neg, width):
+        yield p[:, shared].astype(np.float32), left, n, right
+
+
+def _weighted_counts(gap: np.ndarray, left_mult, right_mult, size: int) -> np.ndarray:
+    total = np.zeros(size, dtype=object)
+    for right_shift, right_digit in _digits(right_mult):
+        for left_shift, left_digit in _digits(left_mult):
+            weight = np.outer(left_digit, right_digit).ravel()
+            found = np.bincount(gap.ravel(), weights=weight, minlength=size)
+            total += _integers(found) * (1 << (left_shift + right_shift))
+    return total
+
+
+def _flat_counts(p: np.ndarray, left: Block, n: np.ndarray, right: Block) -> np.ndarray:
+    sizes = _sizes(left)
+    gap = _flat_gap(p, sizes, n).astype(np.intp)
+    return _weighted_counts(gap, left.mult, right.mult, int(sizes.max() + n[-1].max()) + 1)
+
+
+def _paired_counts(p: np.ndarray, left: Block, n: np.ndarray, right: Block) -> np.ndarray:
+    """Pairs at each distance where every row occurs once.
+
+    Two rows of ``p`` are one row of the product: with B above every distance, d + B e
+    is one whole number for the distances d of the first and e of the second.
+    """
+    a = _sizes(left)
+    size = int(a.max() + n[-1].max()) + 1
+    half = len(p) // 2
+    if size * size > PAIRED_BINS:
+        half = 0
+
+    def counted(gap: np.ndarray, bins: int) -> np.ndarray:
+        return np.bincount(gap.astype(np.intp).ravel(), minlength=bins)
+
+    total = counted(_flat_gap(p[2 * half :], a[2 * half :], n), size)
+    if half:
+        first, second = slice(0, half), slice(half, 2 * half)
+        gap = _flat_gap(p[first] + size * p[second], a[first] + size * a[second], n, 1.0 + size)
+        both = counted(gap, size * size).reshape(size, size)
+        total += both.sum(axis=0) + both.sum(axis=1)
     return total
 
 
@@ -371,34 +528,10 @@ def _share(gap: np.ndarray, bits: int = UNIT_BITS) -> np.ndarray:
     return np.rint(weight, out=weight)
 
 
-def _tile(pos: Block, neg: Block, rule: Rule) -> np.ndarray:
-    p1 = unpack(pos.ones, rule.width).astype(np.float32)
-    n1 = unpack(neg.ones, rule.width).astype(np.float32)
-    if rule.halves is None:
-        return _certain_tile(pos.mult, neg.mult, p1, n1)
-    return _uncertain_tile(pos, neg, p1, n1, rule)
-
-
-def _certain_tile(pos_mult, neg_mult, p1: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    width = p1.shape[1]
-    weight = _share(_gap(p1, n1))
-    total = np.zeros(2 * width, dtype=object)
-    for right_shift, right_digit in _digits(neg_mult):
-        # The last column collects the whole row, from which the zeros follow.
-        right = np.column_stack([n1 * right_digit[:, None], right_digit])
-        product = weight @ right
-        to_one = product[:, :width]
-        wants_one = p1 * (product[:, width:] - to_one)
-        wants_zero = (1.0 - p1) * to_one
-        for left_shift, left_digit in _digits(pos_mult):
-            scale = 1 << (left_shift + right_shift)
-            total[:width] += _whole_sum(left_digit, wants_one) * scale
-            total[width:] += _whole_sum(left_digit, wants_zero) * scale
-    return total
-
-
-def _uncertain_tile(pos: Block, neg: Block, p1, n1, rule: Rule) -> np.ndarray:
+def _uncertain_tile(pos: Block, neg: Block, rule: Rule) -> np.ndarray:
     width = rule.width
+    p1 = unpack(pos.ones, width).astype(np.float32)
+    n1 = unpack(neg.ones, width).astype(np.float32)
     total = np.zeros(rule.sums, dtype=object)
     ph = unpack(pos.halves, width).astype(np.float32)
     nh = unpack(neg.halves, width).astype(np.float32)

@@ -25,6 +25,7 @@ from clauseforge.functions.masks import half_columns, one_columns
 from clauseforge.functions.predicates import feature_array, feature_column, is_feature_set
 from clauseforge.operators import blocks
 from clauseforge.operators.blocks import packed_batch
+from clauseforge.operators.pairs import pair_work
 from clauseforge.storage import discard, keep_table
 
 # Packing travels inside the task, so executors need no copy of this package.
@@ -212,7 +213,7 @@ def _tasks(found: Instances, parallelism: int) -> int:
     """As many tasks as the pair work of a full step fills, one per core at first,
     and as the bytes and long work need, whatever number of cores there is now."""
     rows = found.positive_vectors + found.negative_vectors
-    work = found.positive_vectors * found.negative_vectors * 2 * found.width
+    work = pair_work(found.positive_vectors, found.negative_vectors, found.width)
     filled = min(parallelism, math.ceil(work / TASK_WORK))
     by_size = math.ceil(rows * found.row_bytes / TASK_BYTES)
     return max(1, filled, min(rows, math.ceil(work / LONG_TASK_WORK)), by_size)

@@ -57,6 +57,8 @@ CELLS_PER_CORE = 4
 # for which one more task is, whatever number of cores there is.
 CELL_WORK = 1 << 28
 LONG_CELL_WORK = 1 << 36
+# Of more literals than this, hardly any pair of blocks has more in use.
+WORK_LITERALS = 1 << 8
 # Partial rows the driver may add up itself; more are merged in Spark.
 DRIVER_ROWS = 1 << 16
 # The key under which the flagged rows of each side are counted.
@@ -403,13 +405,18 @@ class Grid:
     tasks: int
 
 
+def pair_work(pos_vectors: int, neg_vectors: int, width: int) -> int:
+    """Pair-literal products of two sides."""
+    return pos_vectors * neg_vectors * min(2 * width, WORK_LITERALS)
+
+
 def grid_of(pos_vectors: int, neg_vectors: int, most: tuple[int, int], width: int, cores: int) -> Grid:
     """Blocks so large that cells are few and so small that every core gets several.
 
     ``most`` is the number of vectors a block of either side may hold. Little work
     is one cell; much work is more tasks than there are cores now.
     """
-    work = pos_vectors * neg_vectors * 2 * width
+    work = pair_work(pos_vectors, neg_vectors, width)
     wanted = max(1, min(CELLS_PER_CORE * cores, math.ceil(work / CELL_WORK)))
     even = math.isqrt(max(1, pos_vectors * neg_vectors // wanted))
     rows = [min(max(even, blocks.TILE), BLOCK_ROWS, max(1, m)) for m in most]

@@ -105,3 +105,60 @@ def test_masks_agree_with_the_definition(data):
     mask = Mask.of(term, width)
     assert mask.exact_rows(packed.ones, packed.halves)[0] == all(row[k] == w for k, w in term.items())
     assert mask.allows_rows(packed.ones, packed.halves)[0] == all(row[k] != 1 - w for k, w in term.items())
+
+
+@pytest.mark.parametrize("tile", [3, 512])
+def test_rows_of_many_sizes_and_multiplicities(monkeypatch, tile):
+    monkeypatch.setattr(blocks, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    width = 130
+    pos, neg = (
+        [(rng.random(width) < rng.random() ** 3).astype(int).tolist() for _ in range(n)] for n in (37, 45)
+    )
+    neg[3] = pos[5]
+    mp, mn = (rng.choice([1, 1, 1, 2, 63, 64, 4097], size=n).tolist() for n in (37, 45))
+    left, right = block(pos, width, mp), block(neg, width, mn)
+    want, pairs = [0] * (2 * width), [0] * (width + 1)
+    for p, a in zip(pos, mp):
+        for n, b in zip(neg, mn):
+            want = [w + a * b * x for w, x in zip(want, units([p], [n]))]
+            pairs[sum(x != y for x, y in zip(p, n))] += a * b
+    assert blocks.relevance_sum(left, right, Rule(width)).tolist() == want
+    assert blocks.distance_counts(left, right, width).tolist() == pairs
+
+
+def test_products_take_the_features_in_use(monkeypatch):
+    """2,000 features of which a block has a few cost what the few cost."""
+    rng = np.random.default_rng(9)
+    width, used, rows = 2000, 20, 300
+    small = [random_rows(rng, rows, used) for _ in "pn"]
+    wide = [[row[:10] + [0] * (width - used) + row[10:] for row in side] for side in small]
+    entries = []
+
+    def run(function, sides, *args):
+        entries.clear()
+        real = blocks.np
+        with monkeypatch.context() as patch:
+            patch.setattr(blocks, "np", _Counting(real, entries))
+            function(*[block(s, len(s[0])) for s in sides], *args)
+        return sum(entries)
+
+    for function, narrow_args, wide_args in (
+        (blocks.relevance_sum, [Rule(used)], [Rule(width)]), (blocks.distance_counts, [used], [width]),
+    ):
+        assert run(function, wide, *wide_args) <= run(function, small, *narrow_args) * 2
+
+
+class _Counting:
+    """numpy, noting the sizes of the matrices that products are built from."""
+
+    def __init__(self, real, entries):
+        self.real, self.entries = real, entries
+
+    def __getattr__(self, name):
+        return getattr(self.real, name)
+
+    def column_stack(self, parts):
+        out = self.real.column_stack(parts)
+        self.entries.append(out.size)
+        return out
