@@ -17,6 +17,9 @@ from collections.abc import Iterable
 # from which pieces that are met again move to the new one. Longer pieces are not
 # kept, so a table has some 70 MB.
 PIECES_KEPT, LONGEST_KEPT = 400_000, 48
+# Marks that follow a word as one run, and how many such runs are kept. Not the
+# apostrophe, which begins runs of letters, nor what special strings are written with.
+MARKS, RUNS_KEPT = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~", 10_000
 
 # White space other than blank and line end, as any of the libraries sees it.
 _RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
@@ -66,51 +69,75 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+def _is_latin(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+
+
+class _Kept(dict):
+    """Ids by piece; those of a piece that is not there are taken from ``old``, or made."""
+
+    def __init__(self, make, old: dict[str, bytes]):
+        self.make, self.old = make, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        # Long pieces hardly come again.
+        if len(piece) <= LONGEST_KEPT:
+            self[piece] = ids
+        return ids
+
+
 class IdEncoder:
     """Byte-level ids of texts as little-endian unsigned 32-bit strings.
 
     A piece that is one word of Latin letters is one token run of the
-    vocabulary's splitting rule and goes to its merges directly; a mark after
-    such a word is a run of its own. All other pieces go through the whole rule.
+    vocabulary's splitting rule and goes to its merges directly; marks after
+    such a word are a run of their own. All other pieces go through the whole rule.
     """
 
     def __init__(self, name: str):
         self.tokenizer = load(name)
         self.merges = self.tokenizer.model
         self.letters = _byte_letters()
-        self.kept: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.kept = _Kept(self._piece_ids, {})
         self.line_end = self._ids("\n")
-        self.marks = {mark: self._ids(mark) for mark in ".,;:!?"}
+        self.runs = {"": b""}
 
     def _ids(self, text: str) -> bytes:
         encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return array("I", encoded[0].ids).tobytes()
 
-    def _word_ids(self, word: str) -> bytes:
-        """Ids of a word with its blank, if any, written as a vocabulary writes them."""
+    def _word_ids(self, word: str, blank: str) -> bytes:
+        """Ids of a word after ``blank``, written as a vocabulary writes them."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merges.tokenize(word.replace(" ", "\u0120"))]).tobytes()
+        return array("I", [t.id for t in self.merges.tokenize(blank + word)]).tobytes()
+
+    def _run_ids(self, marks: str) -> bytes:
+        ids = self.runs.get(marks)
+        if ids is None:
+            ids = self._ids(marks)
+            if len(self.runs) < RUNS_KEPT and len(marks) <= LONGEST_KEPT:
+                self.runs[marks] = ids
+        return ids
 
     def _piece_ids(self, piece: str) -> bytes:
-        if piece.startswith("\r"):
+        word = piece.rstrip(MARKS)
+        if _is_latin(word):
+            if len(word) == len(piece):
+                return self._word_ids(word, "\u0120")
+            return self.kept[word] + self._run_ids(piece[len(word) :])
+        first = piece[:1]
+        if first == "\r":
             return self._ids(piece[1:])
-        bare = piece.startswith("\n")
-        word = piece[1:] if bare else piece
-        mark = b""
-        if word[-1:] in self.marks:
-            word, mark = word[:-1], self.marks[word[-1]]
-        if not word.isalpha() or max(word) > "\xff":
-            return self._ids(piece if bare else " " + piece)
-        if bare:
-            return self.line_end + self._word_ids(word) + mark
-        if mark:
-            known = self.kept.get(word)
-            if known is None:
-                known = self.kept[word] = self._word_ids(" " + word)
-            return known + mark
-        return self._word_ids(" " + word)
+        if first != "\n":
+            return self._ids(" " + piece)
+        word = word[1:]
+        if not _is_latin(word):
+            return self._ids(piece)
+        return self.line_end + self._word_ids(word, "") + self._run_ids(piece[1 + len(word) :])
 
     def encode(self, text: str) -> bytes:
         parts = pieces(text)
@@ -118,18 +145,9 @@ class IdEncoder:
             return b"".join(map(self._ids, _LONE.split(text)))
         # The first piece has no blank; no other begins with this character.
         parts[0] = "\r" + parts[0]
-        kept = self.kept
-        missing = set(parts).difference(kept)
-        if missing:
-            if len(kept) > PIECES_KEPT:
-                self.old, self.kept = kept, {}
-                kept, missing = self.kept, set(parts)
-            old = self.old
-            for part in missing:
-                kept[part] = old[part] if part in old else self._piece_ids(part)
-        out = b"".join(map(kept.__getitem__, parts))
-        _forget_long(kept, missing)
-        return out
+        if len(self.kept) > PIECES_KEPT:
+            self.kept = _Kept(self._piece_ids, dict(self.kept))
+        return b"".join(map(self.kept.__getitem__, parts))
 
 
 def _forget_long(kept: dict, pieces: Iterable[str]) -> None:

@@ -188,3 +188,17 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert by_row(counts.count_tokens(more, WORD_BPE, cache), "n_tokens", "from_cache") == [(3, False), (3, False)]
     assert spark.read.parquet(cache).count() == stored + 1
     assert counts.count_tokens(empty_documents(spark), WORD_BPE, cache).count() == 0
+
+
+def test_words_with_marks_go_to_the_merges(byte_bpe):
+    """Marks after a word are a run of their own and are not encoded with every word."""
+    words = [a + b for a in ("Haus", "être", "wood", "ñu", "straße") for b in ("al", "bet", "corn", "dig", "elf")]
+    tails = ["&&&", ".%%%", "!!", ",***", "$$$", "...", ")", "-", "_", '"', ",", "'", "'s", "<", "|>", "!'"]
+    encoder = tokens.IdEncoder("byte_bpe_50k.json")
+    through, rule = [], encoder._ids
+    encoder._ids = lambda text: through.append(text) or rule(text)
+    for tail in tails:
+        for text in ("x " + " ".join(w + tail for w in words), "x\n" + "\n".join(w + tail for w in words)):
+            want = byte_bpe.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+    assert not [t for t in through if t.endswith("&&&") and t != "&&&"]
