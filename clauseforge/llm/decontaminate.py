@@ -32,6 +32,7 @@ def words(text: Column) -> Column:
 
 def word_table(texts: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """``row, id, text_hash, words`` of every row, stored; ``row`` names the row from then on."""
+    tables.small_batches(texts.sparkSession)
     plain = tables.pick(texts, id_col, text_col)
     return tables.stored(
         plain.select(

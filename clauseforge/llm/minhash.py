@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauseforge.llm import tables
-from clauseforge.llm.shingles import window_hashes, words_of
+from clauseforge.llm.shingles import giving_back, window_hashes, words_of
 from clauseforge.llm.tokens import rows_of
 
 BANDS, ROWS = 32, 4
@@ -148,7 +148,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             )
 
     hashed = docs.withColumn("text_hash", tables.text_hash(F.col("text")))
-    return hashed.mapInArrow(build, SKETCH_SCHEMA)
+    return hashed.mapInArrow(giving_back(build), SKETCH_SCHEMA)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 names=["node", "shingles"],
             )
 
-    return docs.select("node", "text").mapInArrow(build, "node bigint, shingles array<bigint>")
+    return docs.select("node", "text").mapInArrow(giving_back(build), "node bigint, shingles array<bigint>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

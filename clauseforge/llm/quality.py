@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from clauseforge.llm import tables
-from clauseforge.llm.shingles import window_hashes, words_of
+from clauseforge.llm.shingles import giving_back, window_hashes, words_of
 from clauseforge.llm.tokens import rows_of
 
 SYMBOLS = "#*$%&|<>"
@@ -107,7 +107,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             )
 
     schema = ", ".join(f"{name} bigint" for name in ("doc_id", *MEASURES))
-    measured = tables.documents(docs, id_col, text_col).mapInArrow(measure, schema)
+    measured = tables.documents(docs, id_col, text_col).mapInArrow(giving_back(measure), schema)
     return _with_bits(measured)
 
 
@@ -171,5 +171,5 @@ def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
             )
 
     schema = StructType([*plain.schema.fields, *[StructField(m, LongType()) for m in MEASURES]])
-    measured = plain.mapInArrow(measure, schema)
+    measured = plain.mapInArrow(giving_back(measure), schema)
     return apply_policy(_with_bits(measured), policy).where("kept").select(*names).toDF(*docs.columns)

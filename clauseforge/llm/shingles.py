@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-# Words whose hashes one worker keeps, and the longest of them in bytes; a full
-# table, of some 50 MB then, is emptied and filled anew.
-WORDS_KEPT, LONGEST_KEPT = 250_000, 32
+# Words whose hashes one worker keeps within a task, and the longest of them in bytes;
+# a full table, of some 20 MB then, is emptied and filled anew.
+WORDS_KEPT, LONGEST_KEPT = 100_000, 32
 
 _kept: dict[bytes, int] = {}
 
@@ -15,6 +15,27 @@ _PLACES = (
 )
 
 
+def giving_back(task):
+    """``task``, after whose last batch the worker keeps no words and no unused memory.
+
+    Workers stay beside the executor while other stages run, and count as its memory.
+    """
+
+    def run(batches):
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    _kept.clear()
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def words_of(text: str, lower: bool = False) -> list[bytes]:
     """Runs of characters other than ASCII white space; ``lower`` turns A-Z small."""
     raw = text.encode()

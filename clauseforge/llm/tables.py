@@ -18,11 +18,23 @@ BROADCAST_ROWS = 100_000
 # Bytes of the batches in which rows go to Python and back; the default holds
 # several times as much in memory per core.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_LIMIT = 8 << 20
+BATCH_LIMIT = 2 << 20
+# Rows that a scan holds at once; the default of 4096 is some two million words of
+# whole documents in each task, in arrays that grow by doubling.
+SCAN_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+SCAN_LIMIT = 512
 
 _shipped: set[str] = set()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches that fit whole documents, unless the session was built with other sizes."""
+    built = spark.sparkContext.getConf()
+    for name, limit in ((BATCH_BYTES, BATCH_LIMIT), (SCAN_ROWS, SCAN_LIMIT)):
+        if not built.contains(name):
+            spark.conf.set(name, str(limit))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application.
 
@@ -30,8 +42,7 @@ def ship(spark: SparkSession) -> None:
     hashes) serves its later tasks too.
     """
     context = spark.sparkContext
-    if not context.getConf().contains(BATCH_BYTES):
-        spark.conf.set(BATCH_BYTES, str(BATCH_LIMIT))
+    small_batches(spark)
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]

@@ -3,8 +3,10 @@ import random
 import re
 
 import pytest
+from pyspark import cloudpickle
 
-from clauseforge.llm import chat, decontaminate, minhash, quality, sharding, toxicity
+from clauseforge.llm import chat, decontaminate, minhash, quality, sharding, tables, toxicity
+from clauseforge.llm import shingles as hashes_of_words
 from odd import by_row, empty_documents, odd_documents, odd_rows
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -402,3 +404,23 @@ def test_term_bound_follows_the_evidence(spark):
     got = {(r.t, r.n): r.b for r in rows.select("t", "n", toxicity.purity_bound(rows.t, rows.n).alias("b")).collect()}
     assert got[2, 2] < toxicity.PURITY < got[3, 3] < got[30, 30]
     assert got[7, 10] < toxicity.PURITY and got[70, 90] < got[700, 900]
+
+
+def test_a_worker_keeps_no_words_between_tasks():
+    def hashes(batches):
+        for batch in batches:
+            hashes_of_words.window_hashes(hashes_of_words.words_of(batch))
+            yield len(hashes_of_words._kept)
+
+    # As it travels to a worker.
+    task = cloudpickle.loads(cloudpickle.dumps(hashes_of_words.giving_back(hashes)))
+    hashes_of_words._kept.clear()
+    assert list(task(["a b c d e f", "f g"])) == [6, 7]
+    assert not hashes_of_words._kept
+
+
+def test_scans_of_words_hold_few_documents(spark):
+    spark.conf.unset(tables.SCAN_ROWS)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    assert decontaminate.word_table(docs, "doc_id", "text", "corpus-words").count() == 1
+    assert int(spark.conf.get(tables.SCAN_ROWS)) <= 512
