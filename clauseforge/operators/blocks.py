@@ -18,10 +18,18 @@ UNIT_BITS = 36
 # weighted row sum under 512 * 2**8 * 2**36 = 2**53, exact in a double.
 TILE = 512
 DIGIT_BITS = 8
-# Rows without uncertain values meet in tiles that are four times as wide and half
-# as high: few features are in both sides of a low tile. Digits are shorter by as much.
+# Rows without uncertain values meet in tiles that are up to four times as wide, and
+# half as high or, for relevance, of as many pairs. Digits are shorter by as much.
 FLAT_WIDE, FLAT_HIGH = 4, 2
 FLAT_DIGIT_BITS = 6
+# Relevance is added up a piece of rows of either side at a time, with 2**15 rows at
+# most: sums over all pairs of a piece in two parts stay exact in doubles.
+PIECE, PIECE_BITS = 1 << 15, 1 << 26
+# A feature is listed by pair where fewer than one in so many pairs of a tile are listed.
+RARE = 160
+# Groups of rows alike: how many and of how many rows, the features and the rows
+# per group that are looked at to find them, and how often centres move.
+GROUPS, GROUP_ROWS, GROUP_FEATURES, GROUP_PROBES, GROUP_MOVES = 16, 1 << 10, 256, 128, 6
 # Bins for which the distances of two rows are counted as one number.
 PAIRED_BINS = 1 << 17
 # Up to this many rows on both sides together, an uncertain value weighs
@@ -306,60 +314,230 @@ def _certain_sum(pos: Block, neg: Block, width: int) -> np.ndarray:
     negative has the one too, and the other way round for a zero. So only features
     that both sides of a tile have take part in products.
     """
-    sums: dict[int, np.ndarray] = {}  # shift -> high and low part per literal
+    total = np.zeros(2 * width, dtype=object)
+    grouped = min(len(pos), len(neg)) >= GROUP_ROWS
+    step = min(PIECE, max(TILE, PIECE_BITS // width))
+    for j in range(0, len(neg), step):
+        right = _piece(neg.take(slice(j, j + step)), width, grouped)
+        for i in range(0, len(pos), step):
+            total += _piece_sum(_piece(pos.take(slice(i, i + step)), width, grouped), right, width)
+    return total
 
-    def add(shift: int, literals: np.ndarray, parts, sign: int) -> None:
-        held = sums.setdefault(shift, np.zeros((2, 2 * width), dtype=np.int64))
-        held[:, literals] += sign * np.stack(parts)
 
-    negatives: dict[int, np.ndarray] = {}  # shift -> high and low part per row of the tile
-    before = None
-    for left, p, right, n, shared in _flat_tiles(pos, neg, width):
-        if before is not None and right is not before:
-            _add_negatives(before, negatives, width, add)
-            negatives = {}
-        before = right
-        own = p[:, shared].astype(np.float32)
-        mine = np.flatnonzero(p.any(axis=0))
-        ones = p[:, mine].astype(np.float64)
-        weight = _share(_flat_gap(own, _sizes(left), n))
-        left_digits = list(_digits(left.mult, FLAT_DIGIT_BITS))
-        for left_shift, digit in left_digits:
-            held = negatives.setdefault(left_shift, np.zeros((2, len(right)), dtype=np.int64))
-            held += np.stack(_halved(digit @ weight)).astype(np.int64)
-        for right_shift, right_digit in _digits(right.mult, FLAT_DIGIT_BITS):
-            # The last row collects all pairs of a positive.
-            product = weight @ (n[:-1] * right_digit).T
-            both, whole = own * product[:, :-1], product[:, -1]
-            for left_shift, digit in left_digits:
-                shift = left_shift + right_shift
-                wanted = [(digit * x @ ones).astype(np.int64) for x in _halved(whole)]
-                add(shift, mine, wanted, 1)
-                alike = [(digit @ x).astype(np.int64) for x in _halved(both)]
-                add(shift, shared, alike, -1)
-                add(shift, width + shared, alike, -1)
-    if before is not None:
-        _add_negatives(before, negatives, width, add)
+@dataclass(frozen=True)
+class _Piece:
+    """Rows as a matrix with a row per feature, rows alike side by side in ``groups``."""
+
+    mult: np.ndarray
+    sizes: np.ndarray
+    bits: np.ndarray
+    groups: list[tuple[int, int]]
+
+    def found(self, start: int, end: int, features=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ones of some rows are: the places of features and of rows, by feature."""
+        at = np.flatnonzero(self.bits[features, start:end])
+        feature = at // (end - start)
+        return feature, at - feature * (end - start)
+
+    def counts(self, start: int, end: int) -> np.ndarray:
+        return np.bincount(self.found(start, end)[0], minlength=len(self.bits))
+
+    def per_feature(self, values: np.ndarray) -> np.ndarray:
+        """Whole numbers of rows, a column each, added up for the features the rows have."""
+        total = np.zeros((len(self.bits), values.shape[1]), dtype=np.int64)
+        for i in range(0, len(values), TILE):
+            total += (self.bits[:, i : i + TILE].astype(np.float64) @ values[i : i + TILE]).astype(np.int64)
+        return total
+
+
+def _piece(block: Block, width: int, grouped: bool) -> _Piece:
+    groups = [(0, len(block))]
+    if grouped:
+        group = _groups(block, width)
+        # Rows that occur often stand together: few tiles have a second digit.
+        block = block.take(np.lexsort((block.mult, group)))
+        ends = np.cumsum(np.bincount(group)).tolist()
+        groups = [(s, e) for s, e in zip([0, *ends], ends) if s < e]
+    bits = np.empty((width, len(block)), dtype=bool)
+    for i in range(0, len(block), TILE):
+        bits[:, i : i + TILE] = unpack(block.ones[i : i + TILE], width).T
+    return _Piece(block.mult, _sizes(block), bits, groups)
+
+
+def _groups(block: Block, width: int) -> np.ndarray:
+    """A group for every row, so that rows of a group have many features in common.
+
+    Centres move a few times among evenly spaced rows, then every row goes to the
+    nearest one. Groups decide in which tile a pair is added up, not what it adds.
+    """
+    rows = len(block)
+    count = min(GROUPS, rows // GROUP_ROWS)
+    if count < 2:
+        return np.zeros(rows, dtype=np.intp)
+    probe = unpack(block.ones[:: max(1, rows // (GROUP_PROBES * count))], width)
+    often = probe.sum(axis=0, dtype=np.int64)
+    telling = np.argsort(-often * (len(probe) - often), kind="stable")[:GROUP_FEATURES]
+
+    def nearest(values: np.ndarray) -> np.ndarray:
+        return ((centres * centres).sum(axis=1) - 2.0 * values @ centres.T).argmin(axis=1)
+
+    probe = probe[:, telling].astype(np.float32)
+    centres = probe[np.linspace(0, len(probe) - 1, count).astype(np.intp)]
+    for _ in range(GROUP_MOVES):
+        own = nearest(probe)
+        centres = np.stack([probe[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(count)])
+    parts = [unpack(block.ones[i : i + TILE], width)[:, telling] for i in range(0, rows, TILE)]
+    return np.concatenate([nearest(part.astype(np.float32)) for part in parts])
+
+
+def _piece_sum(left: _Piece, right: _Piece, width: int) -> np.ndarray:
+    """:func:`_certain_sum` of two pieces."""
+    sums = _Parts(width)  # of pairs that both have a feature
+    left_rows, right_rows = _Parts(len(left.mult)), _Parts(len(right.mult))
+    group_counts = [left.counts(*group) for group in left.groups]
+    for start, end in _chunks(right.groups, TILE * FLAT_WIDE):
+        negatives = slice(start, end)
+        n_count = right.counts(start, end)
+        for group, p_count in zip(left.groups, group_counts):
+            chosen = _plan(p_count, n_count, group[1] - group[0], end - start)
+            _group_sum(left, slice(*group), right, negatives, chosen, sums, left_rows, right_rows)
     total = np.zeros(2 * width, dtype=object)
-    for shift, (high, low) in sums.items():
-        total += high.astype(object) * (1 << (26 + shift)) + low.astype(object) * (1 << shift)
+    ones, zeros = total[:width], total[width:]
+    for literals, side, rows in ((ones, left, left_rows), (zeros, right, right_rows)):
+        for shift, parts in rows.held.items():
+            for own_shift, digit in _digits(side.mult, FLAT_DIGIT_BITS):
+                _add_parts(literals, shift + own_shift, side.per_feature(_carried(parts).T * digit[:, None]).T)
+        for shift, parts in sums.held.items():
+            _add_parts(literals, shift, -parts)
     return total
 
 
-def _halved(values: np.ndarray):
-    """Whole values below 2**53 as multiples of 2**26, and the rest."""
-    high = np.floor(values * 2.0**-26)
-    return high, values - high * 2.0**26
+class _Parts:
+    """Whole numbers as multiples of 2**26 and the rest, by the shift of the digits they were made with."""
 
+    def __init__(self, size: int):
+        self.size = size
+        self.held: dict[int, np.ndarray] = {}
 
-def _add_negatives(right: Block, negatives: dict[int, np.ndarray], width: int, add) -> None:
-    """What the rows of a tile's negatives give the literals that want a zero."""
-    bits = unpack(right.ones, width)
-    used = np.flatnonzero(bits.any(axis=0))
-    ones = bits[:, used].T.astype(np.int64)
-    for right_shift, digit in _digits(right.mult, FLAT_DIGIT_BITS):
-        for left_shift, parts in negatives.items():
-            add(left_shift + right_shift, width + used, [ones @ (x * digit.astype(np.int64)) for x in parts], 1)
+    def at(self, shift: int) -> np.ndarray:
+        return self.held.setdefault(shift, np.zeros((2, self.size), dtype=np.int64))
+
+
+def _carried(parts: np.ndarray) -> np.ndarray:
+    return np.stack([parts[0] + (parts[1] >> 26), parts[1] & ((1 << 26) - 1)])
+
+
+def _add_parts(total: np.ndarray, shift: int, parts: np.ndarray) -> None:
+    total += parts[0].astype(object) * (1 << (26 + shift)) + parts[1].astype(object) * (1 << shift)
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """How the features that both sides of a tile have are dealt with.
+
+    ``dense`` ones are multiplied as matrices. For the others few pairs are (1, 1), or
+    few are (0, 1), (1, 0) or (0, 0) where nearly all rows of a side have the feature:
+    those pairs are listed, and all pairs follow from the rows. ``left_zero`` and
+    ``right_zero`` tell which value is the listed one.
+    """
+
+    dense: np.ndarray
+    listed: np.ndarray
+    left_zero: np.ndarray
+    right_zero: np.ndarray
+
+    @property
+    def sign(self) -> np.ndarray:
+        """1 where a listed pair adds to the pairs that have the feature, else -1."""
+        return np.where(self.left_zero == self.right_zero, 1.0, -1.0)
+
+
+def _plan(p_count: np.ndarray, n_count: np.ndarray, high: int, wide: int) -> _Plan:
+    used = np.flatnonzero((p_count > 0) & (n_count > 0))
+    p, n = p_count[used], n_count[used]
+    kinds = np.stack([p * n, (high - p) * n, p * (wide - n), (high - p) * (wide - n)])
+    kind = kinds.argmin(axis=0)
+    dense = kinds.min(axis=0) * RARE > high * wide
+    listed, kind = used[~dense], kind[~dense]
+    return _Plan(used[dense], listed, kind % 2 == 1, kind >= 2)
+
+
+def _group_sum(
+    left: _Piece, group: slice, right: _Piece, tile: slice, plan: _Plan,
+    sums: _Parts, left_rows: _Parts, right_rows: _Parts,
+) -> None:
+    """Adds all pairs of a group of positives and a tile of negatives."""
+    dense, size, wide = plan.dense, len(plan.dense), tile.stop - tile.start
+    width = len(left.bits)
+    by_left, by_right = plan.listed[plan.right_zero], plan.listed[plan.left_zero]
+    neither = plan.listed[plan.left_zero & plan.right_zero]
+    # |p| + |n| - 2 p.n, less what all pairs share by the features that are not listed as (1, 1).
+    left_sizes = left.sizes[group] - 2 * left.bits[by_left, group].sum(axis=0) + 2 * len(neither)
+    right_sizes = right.sizes[tile] - 2 * right.bits[by_right, tile].sum(axis=0)
+    # A row per feature, then a row of ones and the row of sizes.
+    n = np.empty((size + 2, wide), dtype=np.float32)
+    n[:size], n[size], n[size + 1] = right.bits[dense, tile], 1.0, right_sizes
+    values = [(shift, digit, n[: size + 1] * digit) for shift, digit in _digits(right.mult[tile], FLAT_DIGIT_BITS)]
+    at = np.flatnonzero(right.bits[plan.listed, tile] != plan.right_zero[:, None])
+    n_rows, n_ends = at % wide, np.searchsorted(at, np.arange(1, len(plan.listed) + 1) * wide)
+    n_count = np.diff(n_ends, prepend=0)
+    row_sums, column_sums = _Parts(group.stop - group.start), _Parts(wide)
+    # A narrow tile is high instead, as far as sums of its columns are exact too.
+    most = min(TILE * FLAT_WIDE, max(1, TILE // FLAT_HIGH, TILE * TILE // wide))
+    for start, end in _chunks([(group.start, group.stop)], most):
+        high, own_rows = end - start, slice(start - group.start, end - group.start)
+        own = left.bits[dense, start:end].astype(np.float32)
+        gap = _flat_gap(own.T, left_sizes[own_rows], n)
+        # The listed pairs, by feature and positive.
+        at = np.flatnonzero(left.bits[plan.listed, start:end] != plan.left_zero[:, None])
+        at = at[n_count[at // high] > 0]
+        feature = at // high
+        row, times = at - feature * high, n_count[feature]
+        firsts = np.cumsum(times) - times
+        met = n_rows[np.repeat(n_ends[feature] - times - firsts, times) + np.arange(times.sum())]
+        pairs = np.repeat(row * wide, times) + met
+        sign = plan.sign[feature]
+        np.subtract.at(gap.reshape(-1), pairs, np.repeat((2.0 * sign).astype(np.float32), times))
+        weight = _share(gap)
+        left_digits = list(_digits(left.mult[start:end], FLAT_DIGIT_BITS))
+        for left_shift, digit in left_digits:
+            column_sums.at(left_shift)[:] += _halved(digit @ weight).astype(np.int64)
+        listed = weight.reshape(-1)[pairs]
+        for right_shift, right_digit, weighted in values:
+            product = weighted @ weight.T
+            row_sums.at(right_shift)[:, own_rows] += _halved(product[size]).astype(np.int64)
+            shared = _halved(product[:size]) * own
+            few = _halved(np.add.reduceat(listed * right_digit[met], firsts)) * sign if len(pairs) else ()
+            for left_shift, digit in left_digits:
+                found = sums.at(left_shift + right_shift)
+                found[:, dense] += (shared @ digit).astype(np.int64)
+                for total, part in zip(found, few):
+                    total[plan.listed] += np.bincount(feature, part * digit[row], len(plan.listed)).astype(np.int64)
+    # What all pairs of a row give the features that are not listed as (1, 1).
+    for piece, rows, features, own_sums, all_sums in (
+        (left, group, by_left, row_sums, left_rows), (right, tile, by_right, column_sums, right_rows)
+    ):
+        for shift, parts in own_sums.held.items():
+            all_sums.at(shift)[:, rows] += parts
+            for own_shift, digit in _digits(piece.mult[rows], FLAT_DIGIT_BITS):
+                given = _carried(parts) * digit
+                found = sums.at(shift + own_shift)
+                found[:, features] += (given @ piece.bits[features, rows].T).astype(np.int64)
+                if piece is left:
+                    found[:, neither] -= given.sum(axis=1).astype(np.int64)[:, None]
+
+
+def _chunks(groups: list[tuple[int, int]], size: int):
+    """Every group, at most ``size`` rows at a time."""
+    for start, end in groups:
+        for i in range(start, end, size):
+            yield i, min(i + size, end)
+
+
+def _halved(values: np.ndarray) -> np.ndarray:
+    """Whole values below 2**53 as multiples of 2**26, and the rest."""
+    high = np.floor(values * 2.0**-26)
+    return np.stack([high, values - high * 2.0**26])
 
 
 def distance_counts(pos: Block, neg: Block, width: int) -> np.ndarray:
@@ -519,8 +697,8 @@ def _gap(p: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _share(gap: np.ndarray, bits: int = UNIT_BITS) -> np.ndarray:
     """round(2**bits / gap), with nothing where the gap is 0."""
+    none = gap == 0.0 if gap.min() == 0.0 else None
     weight = gap.astype(np.float64)
-    none = weight == 0.0 if weight.min() == 0.0 else None
     with np.errstate(divide="ignore"):
         np.divide(2.0**bits, weight, out=weight)
     if none is not None:

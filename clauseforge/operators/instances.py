@@ -35,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CONFLICT_CHOICES = ("error", "drop")
 # Pair-literal products one task should get before a second task is worth it.
 TASK_WORK = 1 << 28
-LONG_TASK_WORK = 1 << 36
+LONG_TASK_WORK = 1 << 37
 TASK_BYTES = 128 << 20
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import sys
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from decimal import Decimal
 
@@ -49,8 +50,8 @@ BROADCAST_LIMIT = 64 * 1024 * 1024
 TALLY_SCHEMA = "key int, r decimal(38,0), pos bigint, neg bigint"
 COEFFICIENT_SCHEMA = "lit int, certain int, unsure int, full decimal(38,0), part decimal(38,0)"
 BLOCK_SCHEMA = "first int, n int, ones binary, halves binary, mult binary, flag binary"
-# Two blocks of this many vectors are some seconds of work for a core.
-BLOCK_ROWS = 1 << 14
+# Two blocks of this many vectors are some ten seconds of work for a core.
+BLOCK_ROWS = 1 << 15
 # Cells for each core there is now, so that tasks of uneven work even out.
 CELLS_PER_CORE = 4
 # Pair-literal products for which a cell on a core of its own is worth it, and
@@ -375,11 +376,8 @@ def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positi
     def task(batches):
         held = Block(*sent.value)
         sums, counts, seen = kernel.zero(), _nothing(kernel), False
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for rows in _joined(batches, width, halves):
             seen = True
-            rows = block_from_arrow(batch, width, halves)
             sums = sums + (kernel.sums(held, rows) if small_is_positive else kernel.sums(rows, held))
             here = kernel.counts(rows, not small_is_positive)
             counts = (counts[0] + here[0], counts[1] + here[1])
@@ -391,6 +389,20 @@ def _against_broadcast(big: TableSide, small: ArraySide, kernel, small_is_positi
     return big.df.mapInArrow(task, kernel.schema), sent
 
 
+def _joined(batches, width: int, halves: bool) -> Iterator[Block]:
+    """The rows of batches as blocks of some ``BLOCK_ROWS``: what is sent is prepared for each of them."""
+    pending = None
+    for batch in batches:
+        if batch.num_rows:
+            block = block_from_arrow(batch, width, halves)
+            pending = block if pending is None else pending.joined(block)
+            if len(pending) >= BLOCK_ROWS:
+                yield pending
+                pending = None
+    if pending is not None:
+        yield pending
+
+
 # Both sides large
 
 

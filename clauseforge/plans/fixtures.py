@@ -139,11 +139,24 @@ def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ascii_words(text: Column) -> Column:
+    """The distinct lower-case ASCII words of a whole text.
+
+    Distinct words are put in lower case together, once they are few and ASCII: looking
+    up every character of the text cost more than taking it apart.
+    """
+    found = F.array_distinct(F.split(text, "[^A-Za-z]+"))
+    return F.array_distinct(F.split(F.lower(F.array_join(found, " ")), " "))
+
+
+def listed_words(words: Column) -> Column:
+    """Those of the words that are in the list."""
+    return F.array_intersect(F.array(*[F.lit(w) for w in DOCUMENT_WORDS]), words)
+
+
 def document_words(text: Column) -> Column:
     """The distinct lower-case ASCII words of a whole text that are in the list."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    listed = F.array(*[F.lit(w) for w in DOCUMENT_WORDS])
-    return F.array_intersect(listed, F.split(lowered, "[^a-z]+"))
+    return listed_words(ascii_words(text))
 
 
 def document_features(documents: DataFrame) -> DataFrame:
@@ -166,9 +179,10 @@ def document_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_shape_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, label, features)`` of all documents: the shapes of all their words, as sets of features."""
     documents = widened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    named = documents.withColumn("__words", document_words(F.col("text")))
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.array_distinct(F.split(lowered, "[^a-z]+")), lambda w: F.length(w) >= 2)
+    # Both the label and the features read this column, so the text is taken apart once.
+    named = documents.withColumn("__found", ascii_words(F.col("text")))
+    named = named.withColumn("__words", listed_words(F.col("__found")))
+    words = F.filter("__found", lambda w: F.length(w) >= 2)
 
     def shape(word: Column) -> Column:
         letters = (F.ascii(word) - 97) * 26 + F.ascii(F.substring(word, 2, 1)) - 97

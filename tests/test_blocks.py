@@ -162,3 +162,50 @@ class _Counting:
         out = self.real.column_stack(parts)
         self.entries.append(out.size)
         return out
+
+
+def _grouped_sides(rng, width, rows):
+    """Rows in four vocabularies: features of nearly all rows, of some, of few, and common to all."""
+    sides = []
+    for count in rows:
+        kind = rng.integers(0, 4, count)
+        share = np.full((4, width), 0.01)
+        for k in range(4):
+            share[k, 10 * k : 10 * k + 5] = [0.98, 1.0, 0.97, 0.5, 0.99]
+            share[k, 10 * k + 5 : 10 * k + 10] = 0.02
+        share[:, 40:44] = [0.995, 0.5, 0.98, 0.03]
+        sides.append((rng.random((count, width)) < share[kind]).astype(int))
+    return sides
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_groups_and_listed_pairs_give_the_same_sums(monkeypatch, tile):
+    rng = np.random.default_rng(tile)
+    width, rows = 70, (90, 110)
+    pos, neg = _grouped_sides(rng, width, rows)
+    neg[3], pos[4], neg[5] = pos[5], 0, 1
+    mp, mn = (rng.choice([1, 1, 1, 63, 64, 2**40 + 5], size=n) for n in rows)
+    differ = pos[:, None, :] != neg[None]
+    unit = np.array([0] + [round(2**36 / d) for d in range(1, width + 1)], dtype=object)
+    weight = unit[differ.sum(axis=2)] * np.outer(mp.astype(object), mn.astype(object))
+    want = [int(weight[differ[:, :, k] & (pos[:, None, k] == one)].sum()) for one in (1, 0) for k in range(width)]
+    for name, value in (("TILE", tile), ("GROUP_ROWS", 8), ("PIECE", 50), ("RARE", 20)):
+        monkeypatch.setattr(blocks, name, value)
+    got = blocks.relevance_sum(block(pos.tolist(), width, mp), block(neg.tolist(), width, mn), Rule(width))
+    assert got.tolist() == want
+    monkeypatch.setattr(blocks, "RARE", 0)
+    got = blocks.relevance_sum(block(pos.tolist(), width, mp), block(neg.tolist(), width, mn), Rule(width))
+    assert got.tolist() == want
+
+
+def test_products_leave_out_what_few_pairs_of_a_group_tell(monkeypatch):
+    """Matrices of rows in four vocabularies have at most ten of 1,000 features a row and tile."""
+    rng = np.random.default_rng(4)
+    width = 1000
+    pos, neg = (block(side.tolist(), width) for side in _grouped_sides(rng, width, (4096, 4096)))
+    entries = []
+    monkeypatch.setattr(blocks, "np", _Counting(np, entries))
+    blocks.relevance_sum(pos, neg, Rule(width))
+    # Two of them are the size and the one that carry both row sums.
+    tiles = 4096 / 512
+    assert sum(entries) <= 4096 * tiles * 10
